@@ -7,13 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, sharding, simhash, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, RULES).select("page.page_id", "host", "path", "rule", "verdict")
+
+
+OP1_SQL = """
+WITH r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                                 ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS v(verdict, rule_host, rule_path)),
+u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^[^:]*(?::[^:]+)*?://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^[^:]*(?::[^:]+)*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+m AS (
+  SELECT page_id, arg_max(verdict, length(rule_host || rule_path)) AS verdict,
+         arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule
+  FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM u LEFT JOIN m USING (page_id)
+"""
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24, law="bytes")
 
@@ -51,6 +89,11 @@ FROM p
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, _vocabulary(), with_ids=False)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc.doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -67,13 +110,22 @@ FROM d
 """
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, _vocabulary(), limit=512)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op3_simhash": op3_simhash,
         "op4_sharding": op4_sharding,
         "op5_source_mixing": op5_source_mixing,
+        "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op5_source_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
