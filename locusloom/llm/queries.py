@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash, tokens, url_filter
+from . import embedding_dedup, exact_dedup, mixing, packing, quality, sharding, simhash, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ FROM u LEFT JOIN m USING (page_id)
 """
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -89,6 +93,11 @@ FROM p
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, quality.learn_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, _vocabulary(), with_ids=False)
@@ -110,6 +119,11 @@ FROM d
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, toxicity.learn_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, _vocabulary(), limit=512)
@@ -118,11 +132,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_simhash": op3_simhash,
         "op4_sharding": op4_sharding,
         "op5_source_mixing": op5_source_mixing,
+        "op6_quality": op6_quality,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
     }
 
