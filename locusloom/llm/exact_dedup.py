@@ -68,14 +68,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if hot:
         pieces = F.broadcast(spark.createDataFrame(hot, "mix long, pieces int"))  # under 1/2 of the ranges
         placed = placed.join(pieces, "mix", "left").withColumn("piece", F.coalesce(F.floor(uniform(F.xxhash64(ident)) * F.col("pieces")), F.lit(0)))
-    else:
-        placed = placed.withColumn("pieces", F.lit(None).cast("int")).withColumn("piece", F.lit(0).cast("long"))
     # The normalised text is made anew after the exchange rather than sent beside the text.
-    sent = placed.select("doc", "head", "mix", "range", "piece", "pieces").repartition("range", "piece").withColumn("norm", normalised(text))
-    same = Window.partitionBy("range", "piece", "head", "mix", "norm").orderBy(ident.asc_nulls_last())
+    # The window's partitions are parts of those of the exchange, so it needs no other.
+    dealt = ["range", "piece"] if hot else ["range"]
+    sent = placed.select("doc", "head", "mix", *dealt, *(["pieces"] if hot else [])).repartition(*dealt).withColumn("norm", normalised(text))
+    same = Window.partitionBy(*dealt, "head", "mix", "norm").orderBy(ident.asc_nulls_last())
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     grouped = sent.select(
-        "doc", "mix", "piece", "pieces",
+        "doc", *(["piece", "pieces"] if hot else []),
         F.min(ident).over(whole).alias("keep_id"),
         F.count(F.lit(1)).over(whole).alias("group_size"),
         F.row_number().over(same).alias("nth"),
