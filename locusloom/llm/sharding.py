@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, uniform
-from .splitters import quantiles, range_count, range_of, weighted_sample
+from .splitters import SAMPLES_PER_RANGE, quantiles, range_count, range_of, weighted_sample
 
 #: Bytes of the slim records (not of texts) in one range.
 RANGE_BYTES = 16 << 20
@@ -21,8 +23,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, law: str = "bytes", toget
 
     Method: the key is a hash of the text, so equal texts are neighbours.  A sample
     of keys, weighted by size, gives quantile boundaries; records go to ranges by
-    binary search, an overfull range (one text may hold a third of all rows) is cut
-    further by a hash of the identifier, and exact prefix sums over the ranges and
+    binary search, an overfull range is cut further by a hash (of the identifier where
+    one text fills it: it may hold a third of all rows), and exact prefix sums over the ranges and
     within them give each record its position among all bytes or rows, hence its
     shard and its gapless slot.  Only identifiers, sizes and hashes are shuffled.
     Under ``bytes`` a group of equal texts stays in one shard unless it holds more
@@ -52,22 +54,26 @@ def shard_documents(docs: DataFrame, shards: int = 24, law: str = "bytes", toget
     weight = F.col("size") if law == "bytes" else F.lit(1).cast("long")
     total, count = slim.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count(F.lit(1))).first()
     ranges = range_count(spark, count * SLIM_BYTES, RANGE_BYTES)
-    bounds = quantiles([r[0] for r in weighted_sample(slim, weight, total, ranges, F.col("tie")).select("key").collect()], ranges)
+    keys = [r[0] for r in weighted_sample(slim, weight, total, ranges, F.col("tie")).select("key").collect()]
+    hot = [k for k, n in Counter(keys).items() if n > 2 * SAMPLES_PER_RANGE and k < (1 << 63) - 1]
+    bounds = sorted({*quantiles(keys, ranges), *hot, *(k + 1 for k in hot)})  # a heavy text has a range of its own
     ranged = slim.withColumn("range", range_of(F.col("key"), bounds, "bigint"))
 
-    # Overfull ranges are cut by the hash of the identifier into equal slices.
+    # Overfull ranges are cut into slices of a hash: of the key, which keeps equal texts
+    # together, or of the identifier where the range is one text.
     mean = max(1, count // ranges)
-    full = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.when(F.col("n") > 2 * mean, F.ceil(F.col("n") / mean)).otherwise(1).alias("slices"))
+    full = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), (F.min("key") == F.max("key")).alias("single"))
+    full = full.select("range", F.when(F.col("n") > 2 * mean, F.ceil(F.col("n") / mean)).otherwise(1).alias("slices"), ((F.col("n") > 2 * mean) & F.col("single")).alias("split"))
     cut = (
-        ranged.join(F.broadcast(full), "range")  # a row for each range, MOST_RANGES at most
-        .withColumn("slice", F.when(F.col("slices") > 1, F.floor(uniform(F.col("tie")) * F.col("slices"))).otherwise(0))
-        .withColumn("first", F.when(F.col("slices") > 1, F.col("tie")).otherwise(F.col("key")))
-        .withColumn("first", F.when(F.col("slices") > 1, F.shiftrightunsigned("first", 1)).otherwise(F.col("first")))
+        ranged.join(F.broadcast(full), "range")  # a row for each range, twice MOST_RANGES at most
+        .withColumn("spread", F.when(F.col("split"), F.col("tie")).otherwise(F.xxhash64("key", F.lit("slice"))))
+        .withColumn("slice", F.floor(uniform(F.col("spread")) * F.col("slices")))
+        .withColumn("first", F.when(F.col("split"), F.shiftrightunsigned("tie", 1)).otherwise(F.col("key")))
     )
     order = Window.orderBy("range", "slice")  # over the table of pieces alone
     pieces = cut.groupBy("range", "slice").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
     pieces = pieces.select("range", "slice", (F.sum("w").over(order) - F.col("w")).alias("w0"), (F.sum("n").over(order) - F.col("n")).alias("n0"))
-    within = Window.partitionBy("range", "slice").orderBy("first", "key", "tie", "id", "size")
+    within = Window.partitionBy("range", "slice").orderBy("first", "key", "tie", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     group = Window.partitionBy("range", "slice", "key").orderBy("first", "key", "tie", "id", "size")
     placed = (
         cut.join(F.broadcast(pieces), ["range", "slice"])  # at most two for each range
@@ -78,7 +84,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, law: str = "bytes", toget
     if law == "bytes":
         whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         placed = placed.withColumn("group_at", F.min("before").over(whole)).withColumn("group_size", F.sum("size").over(whole))
-        small = (F.col("slices") == 1) & (F.col("group_size") <= F.lit(int(total * together / shards)))
+        small = ~F.col("split") & (F.col("group_size") <= F.lit(int(total * together / shards)))
         placed = placed.withColumn("twice", F.when(small, 2 * F.col("group_at") + F.col("group_size")).otherwise(2 * F.col("before") + F.col("size")))
         shard = F.expr(f"least((twice * {shards}) div {max(1, 2 * total)}, {shards - 1})")
     else:
