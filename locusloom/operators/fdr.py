@@ -24,7 +24,7 @@ def permutation_fdr(observed: DataFrame, simulated: DataFrame, iterations: int,
     one m.
     """
     drawn = simulated.groupBy("k", "m").agg(F.sum("sites_ge").alias("_drawn"))
-    q = F.coalesce(F.least(F.lit(1.0), F.col("_drawn") / F.lit(float(iterations)) / F.col("sites_ge")), F.lit(0.0))
+    q = F.when(F.col("_drawn").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("_drawn") / F.lit(float(iterations)) / F.col("sites_ge")))
     out = observed.join(drawn, ["k", "m"], "left").withColumn("fdr", q).drop("_drawn")
     if smooth:
         out = out.withColumn("fdr", F.max("fdr").over(Window.partitionBy("m").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))

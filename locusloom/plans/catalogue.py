@@ -323,7 +323,7 @@ _HIST = "h AS (SELECT k, m, count(*) AS sites FROM k GROUP BY ALL), hc AS (SELEC
 _add("site_km_histogram", lambda v: R.site_histogram(_sites(v)), f", {_SITES.format('')}, {_HIST} SELECT * FROM hc")
 _add("monotone_fdr", lambda v: R.permutation_fdr(R.site_histogram(_sites(v)), R.site_histogram(_sites(v).where("chromStart % 3 = 0")), 2).select("k", "m", _r("fdr")),
      f""", {_SITES.format('')}, {_HIST}, q AS (SELECT k, m, count(*) AS n FROM k WHERE chromStart % 3 = 0 GROUP BY ALL), qc AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY m DESC) AS c FROM q),
-        f AS (SELECT hc.k, hc.m, coalesce(least(1.0, c / 2.0 / sites_ge), 0) AS fdr FROM hc LEFT JOIN qc USING (k, m))
+        f AS (SELECT hc.k, hc.m, CASE WHEN c IS NULL THEN 0 ELSE least(1.0, c / 2.0 / sites_ge) END AS fdr FROM hc LEFT JOIN qc USING (k, m))
         SELECT k, m, round(max(fdr) OVER (PARTITION BY m ORDER BY k ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS fdr FROM f""")
 
 # --- Genes ---

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,14 +25,19 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Records of four lines.
 
-    A line's place in its file decides what it is.  Files are not split: each is one
-    scan, so many files make many tasks, and one huge file should be split beforehand.
+    A line's number in its file decides what it is.  Files are read in blocks; each
+    block's lines are counted, the counts are summed along the file, and lines are numbered
+    on from there, so one large file is read by many tasks.
     """
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: x.isNotNull())
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 4) / 4)), lambda i: F.struct(
-        _header(F.get("l", (i * 4).cast("int"))).alias("id"), F.get("l", (i * 4 + 1).cast("int")).alias("seq"), F.get("l", (i * 4 + 3).cast("int")).alias("qual")))
-    return whole.select(lines.alias("l")).where("size(l) >= 4").select(F.explode(groups).alias("r")).select("r.*")
+    place = F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    along = Window.partitionBy("f").orderBy("b")  # a few blocks for each file
+    blocks = blocks.select("f", "b", "first", (F.sum("n").over(along) - F.col("n")).alias("before"))
+    numbered = lines.join(blocks, ["f", "b"]).withColumn("n", F.col("before") + F.col("id") - F.col("first"))
+    line = lambda i: F.max(F.when(F.col("n") % 4 == i, F.regexp_replace("value", "\r$", "")))
+    records = numbered.groupBy("f", F.floor(F.col("n") / 4).alias("record")).agg(line(0).alias("head"), line(1).alias("seq"), line(3).alias("qual"))
+    return records.where("qual is not null").select(_header(F.col("head")).alias("id"), "seq", "qual")
 
 
 def fastx_lines(reads: DataFrame, as_fastq: bool | None = None) -> DataFrame:
