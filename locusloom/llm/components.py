@@ -33,7 +33,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         drop_saved(pairs)
         pairs, before, mark = after, mark, _mark(after)
         if mark == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = pairs.select("v").distinct()
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -22,4 +22,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
     ident, label = labels[id_col], labels[label_col]
     usable = labels.where(ident.isNotNull() & label.isin(0, 1) & ~held_out(ident)).select(ident.alias("__label_id"), label.cast("int").alias("label"))
     drawn = usable.orderBy(F.xxhash64("__label_id", F.lit("labelled")), "__label_id").limit(most)
-    return docs.join(F.broadcast(drawn), docs[id_col] == drawn["__label_id"]).select(docs[text_col].alias("text"), "label")
+    texts = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("text"))
+    return texts.join(F.broadcast(drawn), texts["__id"] == drawn["__label_id"]).select("text", "label")
