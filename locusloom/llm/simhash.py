@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -93,8 +93,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, distance: int = 3, blocks: i
     pigeonhole block are joined, checked by Hamming distance, and linked nodes get the
     smallest identifier that links lead to.
 
-    Returns one row per input row: identifier, ``print`` (signed 64-bit)
-    and ``component_id``.
+    Returns one row per input row: identifier, ``print`` (signed 64-bit), ``component_id``
+    and ``component`` (the smallest fingerprint of the group).
 
     Edge cases: null texts and texts without words have fingerprint zero and link like
     any other; fewer words than a shingle count as one shingle; null identifiers never
@@ -106,15 +106,22 @@ def simhash_groups(docs: DataFrame, width: int = 3, distance: int = 3, blocks: i
     found = components(fingerprint_links(nodes.select("print"), distance, blocks))
     named = nodes.join(found, nodes["print"] == found["node"], "left").select("print", "lowest", F.coalesce("component", "print").alias("component"))
     lowest = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    group_of = named.join(lowest, "component").select("print", "component_id")
-    return marked.join(group_of, "print").select(F.col("id").alias(id_col), "print", "component_id")
+    group_of = named.join(lowest, "component").select("print", "component_id", "component")
+    return marked.join(group_of, "print").select(F.col("id").alias(id_col), "print", "component_id", "component")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The document with the smallest identifier of each group, with the columns it came with.
 
-    Rows that repeat the kept identifier stay with it.
+    Rows that repeat the kept identifier stay with it.  Of a group without any identifier
+    one row stays; other rows without one go.
     """
-    groups = simhash_groups(docs, id_col=id_col, text_col=text_col, **options)
+    groups = saved(simhash_groups(docs, id_col=id_col, text_col=text_col, **options))
     names = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(names, docs[id_col].eqNullSafe(names["__kept_id"]), "left_semi")
+    named = docs.join(names, docs[id_col] == names["__kept_id"], "left_semi")
+    nobody = groups.where(F.col("component_id").isNull()).select(F.col("print").alias("__print"), F.col("component").alias("__component")).distinct()
+    rows = docs.where(docs[id_col].isNull())
+    rows = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("doc"), fingerprint(rows[text_col], options.get("width", 3)).alias("__print")).join(nobody, "__print")
+    first = Window.partitionBy("__component").orderBy("__print", F.col(f"doc.`{text_col}`"))
+    one = rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+    return named.unionByName(one.select("doc.*"))
