@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, uniform
+from .common import saved, shuffle_partitions, uniform
 from .tokens import Encoder, _Cache, in_worker, read_vocabulary
 
-#: Pieces of one length in one slice of the ranking.
+#: The most pieces of one length in one slice of the ranking; fewer where tasks are many.
 SLICE_ROWS = 50_000
 #: Sequences of one step group.
 STEP_SEQUENCES = 64
@@ -157,7 +157,8 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = 2048, en
     pieces = saved(token_pieces(docs, vocabulary_path, window, end_id, with_ids, id_col, text_col))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, sequences = plan_windows(counts, window)
-    per_length = spark.createDataFrame([(n, max(1, -(-c // SLICE_ROWS))) for n, c in counts.items()], "length long, slices long")
+    rows = max(500, min(SLICE_ROWS, sum(counts.values()) // (4 * shuffle_partitions(spark))))
+    per_length = spark.createDataFrame([(n, max(1, -(-c // rows))) for n, c in counts.items()], "length long, slices long")
     layout = spark.createDataFrame([(s.length, s.lo, s.hi, s.each, s.sequence, s.offset) for s in slots], "length long, lo long, hi long, each long, sequence long, first long")
     if len(slots) > 64 * window:
         raise ValueError("the layout is too large to send to every executor")
