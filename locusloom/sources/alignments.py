@@ -6,8 +6,11 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.alignment import parse_alignment, parse_novoalign_details
 
@@ -35,16 +38,20 @@ def parse_sam(sam: DataFrame, least_quality: int = 0, least_length: int = 0, anc
     Unmapped, short and low-quality reads are filtered before any Python runs.
     """
 
-    @F.pandas_udf(_TAG)
-    def parse(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in ("chromStart", "chromEnd", "score", "strand", "matchStart", "blockSizes", "blockStarts", "mutations")]
+    kept = ("chromStart", "chromEnd", "score", "strand", "matchStart", "blockSizes", "blockStarts", "mutations")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parse_alignment(int(f), int(p), c, s, t, anchor, indel_anchor, indel_in_score) for f, p, c, s, t in zip(*batch, strict=True)]
-            yield pd.DataFrame([{k: None for k in columns} if r is None else r for r in rows], columns=columns)
+            chroms, names, *fields = (batch.column(i).to_pylist() for i in range(batch.num_columns))
+            found = (parse_alignment(f, p, c, s, t, anchor, indel_anchor, indel_in_score) for f, p, c, s, t in zip(*fields, strict=True))
+            rows = [{"chrom": chrom, "name": name, **{k: r[k] for k in kept}} for chrom, name, r in zip(chroms, names, found, strict=True) if r is not None]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     mapped = sam.where((F.col("CIGAR") != "*") & (F.col("FLAG").bitwiseAND(4) == 0) & (F.length("SEQ") >= least_length) & (F.col("MAPQ") >= least_quality))
-    parsed = mapped.select(F.col("QNAME").alias("name"), F.col("RNAME").alias("chrom"), parse("FLAG", "POS", "CIGAR", "SEQ", F.coalesce("TAGS", F.lit(""))).alias("r"))
-    return parsed.where("r.chromStart is not null").select("chrom", "name", "r.*")
+    need = mapped.select(F.col("RNAME").alias("chrom"), F.col("QNAME").alias("name"), "FLAG", "POS", "CIGAR", "SEQ", F.coalesce("TAGS", F.lit("")).alias("TAGS"))
+    schema = f"chrom string, name string, {_TAG}"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    return need.mapInArrow(parse, schema)
 
 
 def tags_of(parsed: DataFrame) -> DataFrame:
