@@ -16,19 +16,17 @@ def _moved(df: DataFrame, plus: tuple, minus: tuple) -> DataFrame:
 
 
 def extend(df: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
-    """Move the 5' end outwards by ``left`` and the 3' end by ``right``; drop what vanishes.
+    """Add ``left`` to the 5' end and ``right`` to the 3' end, counted along the read.
 
-    Negative amounts shrink the interval.
+    A negative ``left`` reaches upstream and a positive ``right`` downstream; the other
+    signs shorten the interval.  What has no base left drops out.
     """
     s, e = F.col("chromStart"), F.col("chromEnd")
-    return _moved(df, (s - left, e + right), (s - right, e + left)).where("chromEnd > chromStart")
+    return _moved(df, (s + left, e + right), (s - right, e - left)).where("chromEnd > chromStart")
 
 
-def signed_extend(df: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
-    """Add ``left`` to the 5' coordinate and ``right`` to the 3' one, along the read.
-
-    A negative ``left`` reaches upstream, a positive ``right`` downstream.
-    """
+def grow(df: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
+    """Move the 5' end outwards by ``left`` and the 3' end by ``right``."""
     return extend(df, -left, right)
 
 
@@ -72,11 +70,23 @@ def clamp(df: DataFrame, lengths: DataFrame) -> DataFrame:
     return out.withColumn("chromStart", F.col("_s")).withColumn("chromEnd", F.col("_e")).select(*df.columns)
 
 
-#: The named colours of the browser track format.
+#: The named colours and their red, green and blue parts.
 COLOURS = {
-    "red": "255,0,0", "green": "0,255,0", "blue": "0,0,255", "black": "0,0,0", "white": "255,255,255", "yellow": "255,255,0", "cyan": "0,255,255",
-    "magenta": "255,0,255", "gray": "128,128,128", "orange": "255,165,0", "purple": "128,0,128", "brown": "165,42,42", "pink": "255,192,203", "navy": "0,0,128",
-}
+    "red": "255,0,0",
+    "darkred": "139,0,0",
+    "green": "0,255,0",
+    "darkgreen": "0,100,0",
+    "lightgreen": "144,238,144",
+    "blue": "0,0,255",
+    "darkblue": "0,0,139",
+    "lightblue": "173,216,230",
+    "skyblue": "135,206,235",
+    "pink": "255,192,203",
+    "purple": "160,32,240",
+    "brown": "165,42,42",
+    "cyan": "0,255,255",
+    "yellow": "255,255,0",
+}
 
 
 def coloured(df: DataFrame, colour: str = "blue") -> DataFrame:

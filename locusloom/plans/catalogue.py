@@ -165,10 +165,10 @@ def _geo(plus: tuple[str, str], minus: tuple[str, str]) -> str:
         CASE strand WHEN '+' THEN {plus[1]} ELSE {minus[1]} END AS chromEnd, strand FROM tags) WHERE chromEnd > chromStart"""
 
 
-_add("extend", lambda v: _bed(M.extend(v["tags"], 10, -15)), _geo(("chromStart - 10", "chromEnd - 15"), ("chromStart + 15", "chromEnd + 10")))
+_add("extend", lambda v: _bed(M.extend(v["tags"], -10, -15)), _geo(("chromStart - 10", "chromEnd - 15"), ("chromStart + 15", "chromEnd + 10")))
 _add("flank_up", lambda v: _bed(M.flank_up(v["tags"], -10, -1)), _geo(("chromStart - 10", "chromStart"), ("chromEnd", "chromEnd + 10")))
 _add("flank_down", lambda v: _bed(M.flank_down(v["tags"], 1, 20)), _geo(("chromEnd", "chromEnd + 20"), ("chromStart - 20", "chromStart")))
-_add("clamp", lambda v: _bed(M.clamp(M.extend(v["tags"], 3000, 3000), v["tags"].groupBy("chrom").agg((F.max("chromEnd") - 100).alias("length")))),
+_add("clamp", lambda v: _bed(M.clamp(M.grow(v["tags"], 3000, 3000), v["tags"].groupBy("chrom").agg((F.max("chromEnd") - 100).alias("length")))),
      """SELECT name, chrom, greatest(least(greatest(s, 0), len - 1), 0) AS chromStart, greatest(least(greatest(e, 1), len), greatest(least(greatest(s, 0), len - 1), 0) + 1) AS chromEnd, strand
         FROM (SELECT name, t.chrom, chromStart - 3000 AS s, chromEnd + 3000 AS e, strand, len FROM tags t JOIN (SELECT chrom, max(chromEnd) - 100 AS len FROM tags GROUP BY chrom) USING (chrom))""")
 _add("coloured", lambda v: M.coloured(v["regions"], "red").select("name", "itemRgb", "thickStart", "thickEnd"), "SELECT name, '255,0,0' AS itemRgb, chromStart AS thickStart, chromEnd AS thickEnd FROM regions")

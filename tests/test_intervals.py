@@ -129,13 +129,14 @@ def test_hopping_windows_partition_the_axis(spark):
 def test_geometry_by_strand(spark):
     df = bed(spark, [("c", 100, 110, "p", 0.0, "+"), ("c", 100, 110, "m", 0.0, "-")])
     of = lambda d: {r.name: (r.chromStart, r.chromEnd) for r in d.collect()}
-    assert of(geometry.extend(df, 1, 2)) == {"p": (99, 112), "m": (98, 111)}
+    assert of(geometry.grow(df, 1, 2)) == {"p": (99, 112), "m": (98, 111)}
+    assert of(geometry.extend(df, 1, 2)) == {"p": (101, 112), "m": (98, 109)}
     assert of(geometry.flank_up(df, -1, -1)) == {"p": (99, 100), "m": (110, 111)}
     assert of(geometry.flank_down(df, 1, 5)) == {"p": (110, 115), "m": (95, 100)}
-    assert of(geometry.extend(df, -6, -6)) == {}
+    assert of(geometry.grow(df, -6, -6)) == {}
     lengths = spark.createDataFrame([("c", 105)], "chrom string, length long")
     assert of(geometry.clamp(df, lengths))["p"] == (100, 105)
-    assert of(geometry.clamp(geometry.extend(df, 200, 0), lengths))["p"] == (0, 105)
+    assert of(geometry.clamp(geometry.grow(df, 200, 0), lengths))["p"] == (0, 105)
     inside = geometry.random_subinterval(df, 4)
     assert all(r.chromEnd - r.chromStart == 4 and 100 <= r.chromStart and r.chromEnd <= 110 for r in inside.collect())
     with pytest.raises(ValueError):
