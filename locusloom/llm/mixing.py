@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, words_in
+from .common import saved, shuffle_partitions, words_in
 
 #: Weights of the sources in code-point order, repeating, null last.
 WEIGHTS = (5, 2, 1)
 #: A source is repeated this often at most.
 MOST_EPOCHS = 3
-#: Documents of one source in one slice of the prefix sums.
+#: The most documents of one source in one slice of the prefix sums; fewer where tasks are many.
 SLICE_ROWS = 50_000
 
 _KEY_BITS = 60
@@ -58,7 +58,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int =
     """Say how many words of each document the mix takes.
 
     Method: each document gets a random key from its identifier.  Within a source,
-    slices of the key's range hold about ``SLICE_ROWS`` documents each, so a source
+    slices of the key's range hold ``SLICE_ROWS`` documents at most, so a source
     with a third of all rows has as many more slices.  Sums per slice, their prefix
     sums, and a sort of the one slice in which the budget ends give the exact key of
     the cut.  Whole epochs repeat every document; the documents before the cut come
@@ -83,6 +83,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int =
     # 's' before a name: null differs from every name and joins as a plain equality.
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     slim = saved(facts.withColumn("name", name))
+    rows_of_slice = max(500, min(SLICE_ROWS, slim.count() // (4 * shuffle_partitions(docs.sparkSession))))
     by_source = slim.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = saved(
         targets(by_source.select("source", "source_size"), weights, epochs)
@@ -92,12 +93,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int =
         .withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0))
         .withColumn("rest", F.col("budget") - F.col("whole") * F.col("source_size"))
-        .withColumn("slices", F.ceil(F.col("n") / SLICE_ROWS))
+        .withColumn("slices", F.ceil(F.col("n") / rows_of_slice))
     )
     sliced = slim.join(plan.select("name", "slices", "rest"), "name").withColumn("slice", F.floor(F.col("key") / F.lit(float(1 << _KEY_BITS)) * F.col("slices")))
     in_order = Window.partitionBy("name").orderBy("slice")
     sums = sliced.groupBy("name", "slice", "rest").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(in_order) - F.col("words"))
     last = sums.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("name", "slice", "before")
+    last = _small(last)  # a row for each source, so the documents stay where they are
     by_key = Window.partitionBy("name").orderBy("key")
     cuts = (
         sliced.join(last, ["name", "slice"])
