@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .labels import training_rows
 from .quality import scored
 
@@ -42,9 +43,17 @@ _CLASSES = {
 }
 SYMBOLS = ("other", "fill", "be", "target", "self", "future", "neg", "report", "quote", "insult", "threat", "end")
 #: What a clause can match, each with the weight that holds before any label is seen.
-PRIOR = {"insult": 3.0, "insult_at_target": 4.0, "threat": 4.0, "denied": -0.5, "reported": 0.3}
+PRIOR = {"insult": 3.0, "insult_at_target": 4.0, "threat": 4.0, "denied": -0.5, "reported": 0.3, "stem": 2.5}
 PRIOR_BIAS = -3.0
 
+# --- Stems that the labels teach. ---
+#: Letters of a stem, the forms in which it must occur, and how many are learnt at most.
+STEM_LETTERS = range(4, 8)
+STEM_FORMS = 5
+MOST_STEMS = 200
+#: Chance of a stem without meaning among all candidates.
+STEM_CHANCE = 0.01
+
 _SIGN = re.compile(r"[^\W\d_]+(?:n't)?|[.!?;:,\n]+|[\"“”„«»]")
 _END = frozenset(".!?;:,\n")
 
@@ -109,11 +118,13 @@ _PATTERNS = {"insult": "insult", "insult_at_target": "insult_at_target", "threat
 class Matcher:
     """The composed machine over the tokens of a text."""
 
-    def __init__(self, disarmed: frozenset[str] = frozenset()):
+    def __init__(self, disarmed: frozenset[str] = frozenset(), stems: tuple[str, ...] = ()):
         self.classes = {w: c for w, c in _CLASSES.items() if w not in disarmed}
+        self.stems = stems
         self.machine = grammar()
         words = sorted((w for w, c in self.classes.items() if c in ("insult", "threat")), key=len, reverse=True)
-        self.trigger = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, words))})(?![^\W\d_])")
+        learnt = "".join(f"|{re.escape(stem)}[^\\W\\d_]*" for stem in sorted(stems, key=len, reverse=True))
+        self.trigger = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, words))}{learnt})(?![^\W\d_])")
 
     def match(self, text: str | None) -> Counter:
         """Patterns that match in the clauses of a whole text.
@@ -139,16 +150,18 @@ class Matcher:
                     state = self.machine.start
                     continue
                 symbol = "quote" if len(word) == 1 and not word.isalpha() else self.classes.get(word, "other")
-                state, out = self.machine.move(state, symbol)
+                stem = symbol == "other" and word.startswith(self.stems)
+                state, out = self.machine.move(state, "insult" if stem else symbol)
                 if pattern := _PATTERNS.get(out):
-                    found[pattern] += 1
+                    found["stem" if stem and pattern.startswith("insult") else pattern] += 1
             else:
                 done = len(low)
         return found
 
-    def features(self, text: str | None) -> list[float]:
+    def counts(self, text: str | None) -> list[float]:
+        """Matches by pattern, and the text's length."""
         found = self.match(text)
-        return [float(np.log1p(found[p])) for p in PRIOR]
+        return [*(float(found[p]) for p in PRIOR), float(len(text or ""))]
 
     def armed_words(self, text: str | None) -> list[str]:
         return sorted(set(self.trigger.findall((text or "").lower())))
@@ -161,12 +174,71 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.array(list(PRIOR.values())))
     bias: float = PRIOR_BIAS
     disarmed: frozenset[str] = frozenset()
+    stems: tuple[str, ...] = ()
+    #: Matches of stems that a character of clean text has by chance.
+    chance: float = 0.0
+
+    def matcher(self) -> Matcher:
+        return Matcher(self.disarmed, self.stems)
 
     def score(self, matcher: Matcher, text: str | None) -> float:
-        z = self.bias + float(self.weights @ np.array(matcher.features(text)))
+        z = self.bias + float(self.weights @ features(np.array([matcher.counts(text)]), self.chance)[0])
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def features(counts: np.ndarray, chance: float) -> np.ndarray:
+    """log(1 + matches); those of stems only above twice what the length explains."""
+    x = counts[:, :-1].copy()
+    x[:, -1] = np.maximum(0.0, x[:, -1] - 2 * chance * counts[:, -1])  # "stem" is the last pattern
+    return np.log1p(x)
+
+
+def prefixes(text: str | None) -> list[str]:
+    """Distinct stems of a text's words, each with a bar and the word."""
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    return [f"{word[:n]}|{word}" for word in words for n in STEM_LETTERS if len(word) > n]
+
+
+def learn_stems(rows: DataFrame, known: Matcher) -> tuple[str, ...]:
+    """Stems that mark toxic documents in which the grammar's own words do not occur.
+
+    Insults of the corpus are told from its other words by their labels: a stem counts if
+    it occurs in several forms (which one text and its copies do not show) and, by a
+    Chernoff bound over all candidates, not by chance in toxic documents.  Counting is a
+    grouping of the drawn documents; few stems pass.
+    """
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([prefixes(t) if not known.armed_words(t) else [] for t in batch])
+
+    @F.pandas_udf("boolean")
+    def explained(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([bool(known.armed_words(t)) for t in batch])
+
+    left = rows.where(~explained("text"))
+    toxic, total = left.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    if not toxic or toxic == total:
+        return ()
+    pairs = left.select("label", F.explode(parts("text")).alias("p"))
+    by_form = pairs.groupBy("p").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
+    stem = F.substring_index("p", "|", 1)
+    seen = by_form.groupBy(stem.alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count_if(F.col("pos") > 0).alias("forms"))
+    share, rate = F.col("pos") / F.col("n"), toxic / total
+    candidates = seen.where(F.col("forms") >= STEM_FORMS).cache()
+    bound = float(np.log(max(1, candidates.count()) / STEM_CHANCE))
+    gain = F.col("n") * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
+    strong = candidates.where((share >= 0.8) & (gain >= bound)).select("stem", gain.alias("gain"))
+    chosen: list[str] = []
+    for row in strong.orderBy(F.desc("gain"), "stem").limit(20 * MOST_STEMS).collect():
+        if not any(row["stem"].startswith(c) or c.startswith(row["stem"]) for c in chosen) and len(chosen) < MOST_STEMS:
+            chosen.append(row["stem"])
+    candidates.unpersist()
+    return tuple(sorted(chosen))
+
+
 def fit(features: np.ndarray, labels: np.ndarray, pull: float = 0.05, steps: int = 50) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton's method, pulled towards the prior weights.
 
@@ -190,28 +262,32 @@ def fit(features: np.ndarray, labels: np.ndarray, pull: float = 0.05, steps: int
 def learn_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit the weights of the patterns on a bounded draw of labelled documents.
 
+    Stems that mark toxic documents are learnt first and count as insults of the corpus.
     A word of the grammar that is seen in at least five clean documents and is no
     likelier in toxic ones is disarmed: in this corpus it is no insult.
     """
 
-    @F.pandas_udf("features array<double>, words array<string>")
+    drawn = saved(training_rows(docs, labels, label_col, id_col, text_col))
+    stems = learn_stems(drawn, Matcher())
+
+    @F.pandas_udf("counts array<double>, words array<string>")
     def matched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher()
+        matcher, plain = Matcher(stems=stems), Matcher()
         for batch in texts:
-            yield pd.DataFrame({"features": [matcher.features(t) for t in batch], "words": [matcher.armed_words(t) for t in batch]})
+            yield pd.DataFrame({"counts": [matcher.counts(t) for t in batch], "words": [plain.armed_words(t) for t in batch]})
 
-    drawn = training_rows(docs, labels, label_col, id_col, text_col)
-    rows = drawn.select(matched("text").alias("m"), "label").select("m.features", "m.words", "label").collect()
+    rows = drawn.select(matched("text").alias("m"), "label").select("m.counts", "m.words", "label").collect()
     toxic = sum(r["label"] for r in rows)
     seen = [Counter(w for r in rows if r["label"] == k for w in r["words"]) for k in (0, 1)]
     tame = {w for w, n in seen[0].items() if n >= 5 and seen[1][w] / max(1, toxic) <= n / max(1, len(rows) - toxic)}
-    model = Model(disarmed=frozenset(tame))
-    if tame:
-        # The features of documents that hold a tame word change; drop those rows from the fit.
-        rows = [r for r in rows if not tame & set(r["words"])]
+    model = Model(disarmed=frozenset(tame), stems=stems)
+    # The counts of documents that hold a tame word change; those rows stay out of the fit.
+    rows = [r for r in rows if not tame & set(r["words"])]
     if rows and 0 < sum(r["label"] for r in rows) < len(rows):
-        x = np.array(sorted((*r["features"], r["label"]) for r in rows))
-        model.weights, model.bias = fit(x[:, :-1], x[:, -1])
+        x = np.array(sorted((*r["counts"], r["label"]) for r in rows))
+        clean = x[x[:, -1] == 0]
+        model.chance = float(clean[:, -3].sum() / max(1.0, clean[:, -2].sum()))
+        model.weights, model.bias = fit(features(x[:, :-1], model.chance), x[:, -1])
     return model
 
 
@@ -239,7 +315,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text"):
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value.disarmed)
+        matcher = shared.value.matcher()
         for batch in texts:
             yield pd.Series([shared.value.score(matcher, t) for t in batch], dtype="float64")
 

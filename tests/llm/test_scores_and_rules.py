@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -131,3 +132,31 @@ def test_tame_words_are_disarmed(spark):
     assert model.disarmed == {"clown"}
     scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
     assert scores[0] > 0.7 > scores[1]
+
+
+def test_stems_are_learnt_from_labels(spark):
+    rng = random.Random(4)
+    syllables = ["ba", "do", "ki", "lu", "ne", "po", "ra", "su"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(3))
+    rows = []
+    for i in range(900):
+        words = [word() for _ in range(60)]
+        if i % 8 == 0:
+            words[7] = words[30] = "zorq" + word()
+            words[50] = "zorq" + word()
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.learn_toxicity(docs, labels)
+    assert model.stems == ("zorq",)
+    assert all(r.predicted == (r.doc_id % 8 == 0) for r in toxicity.score_toxicity(docs, model).collect())
+
+
+def test_copies_of_one_text_teach_no_stem(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    one = " ".join(word() for _ in range(200))
+    rows = [(i, one if i % 8 == 0 else " ".join(word() for _ in range(60)), int(i % 8 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert toxicity.learn_toxicity(docs, labels).stems == ()
