@@ -53,6 +53,8 @@ STEM_FORMS = 5
 MOST_STEMS = 200
 #: Chance of a stem without meaning among all candidates.
 STEM_CHANCE = 0.01
+#: Stems with their words that a task holds before it passes their counts on.
+HELD_PREFIXES = 100_000
 
 _SIGN = re.compile(r"[^\W\d_]+(?:n't)?|[.!?;:,\n]+|[\"“”„«»]")
 _END = frozenset(".!?;:,\n")
@@ -208,26 +210,33 @@ def learn_stems(rows: DataFrame, known: Matcher) -> tuple[str, ...]:
     grouping of the drawn documents; few stems pass.
     """
 
-    @F.pandas_udf("array<string>")
-    def parts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([prefixes(t) if not known.armed_words(t) else [] for t in batch])
-
-    @F.pandas_udf("boolean")
-    def explained(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([bool(known.armed_words(t)) for t in batch])
-
-    left = rows.where(~explained("text"))
-    toxic, total = left.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, list[int]] = {}
+        totals = [0, 0]
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                if known.armed_words(text):
+                    continue
+                totals = [totals[0] + label, totals[1] + 1]
+                for p in prefixes(text):
+                    pos, n = seen.get(p, (0, 0))
+                    seen[p] = [pos + label, n + 1]
+                if len(seen) > HELD_PREFIXES:
+                    yield frame(seen)
+                    seen = {}
+        yield frame(seen | {"": totals})
+
+    def frame(seen: dict[str, list[int]]) -> pd.DataFrame:
+        return pd.DataFrame([(p, *c) for p, c in seen.items()], columns=["p", "pos", "n"])
+
+    by_form = saved(rows.mapInPandas(count, "p string, pos long, n long").groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")))
+    toxic, total = by_form.where("p = ''").agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not toxic or toxic == total:
         return ()
-    pairs = left.select("label", F.explode(parts("text")).alias("p"))
-    by_form = pairs.groupBy("p").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
     stem = F.substring_index("p", "|", 1)
-    seen = by_form.groupBy(stem.alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count_if(F.col("pos") > 0).alias("forms"))
+    seen = by_form.where("p != ''").groupBy(stem.alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count_if(F.col("pos") > 0).alias("forms"))
     share, rate = F.col("pos") / F.col("n"), toxic / total
-    candidates = seen.where(F.col("forms") >= STEM_FORMS).cache()
+    candidates = seen.where(F.col("forms") >= STEM_FORMS)
     bound = float(np.log(max(1, candidates.count()) / STEM_CHANCE))
     gain = F.col("n") * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
     strong = candidates.where((share >= 0.8) & (gain >= bound)).select("stem", gain.alias("gain"))
@@ -235,7 +244,6 @@ def learn_stems(rows: DataFrame, known: Matcher) -> tuple[str, ...]:
     for row in strong.orderBy(F.desc("gain"), "stem").limit(20 * MOST_STEMS).collect():
         if not any(row["stem"].startswith(c) or c.startswith(row["stem"]) for c in chosen) and len(chosen) < MOST_STEMS:
             chosen.append(row["stem"])
-    candidates.unpersist()
     return tuple(sorted(chosen))
 
 
