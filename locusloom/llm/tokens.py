@@ -7,6 +7,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ MOST_VOCABULARY_BYTES = 64 << 20
 FREQUENT = 50_000
 PILOT_DOCS = 2_000
 #: Pre-tokens that a worker keeps; beyond it the worker starts again from the table.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 # Letters of the scripts for which the pattern below equals the vocabulary's own, in
 # which letters and digits are Unicode classes.  Any other text goes to the library.
@@ -47,9 +48,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
-        self.library = Tokenizer.from_str(vocabulary)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.vocabulary = vocabulary
         spec = json.loads(vocabulary)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.piecewise = self._plain_byte_level(spec)
@@ -59,6 +58,14 @@ class Encoder:
             ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
             self.merge = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's encoder, which many workers never need."""
+        made = Tokenizer.from_str(self.vocabulary)
+        made.no_padding()
+        made.no_truncation()
+        return made
+
     @staticmethod
     def _plain_byte_level(spec: dict) -> bool:
         """Whether ids are the order of merges, and pre-tokens those of the pattern above."""
