@@ -34,29 +34,26 @@ def _shape(word: str) -> str:
     return _DIGIT_RUN.sub("9", _LETTER_RUN.sub(letters, word))[:16]
 
 
-def ngrams(text: str | None, longest: int = 3) -> np.ndarray:
-    """Distinct hashed n-grams of a whole text.
+def ngrams(text: str | None) -> np.ndarray:
+    """Distinct hashed n-grams of a whole text, up to three tokens long.
 
     The tokens of an n-gram are forms, with ``=`` for a token that repeats the one
     before it; words themselves count as one-grams in lower case.
     """
-    words = _TOKEN.findall(text or "")
     forms: dict[str, str] = {}
-    found: set[str] = set()
-    past: tuple[str, ...] = ()
-    before = None
-    for word in words:
+    seen: set[tuple[str, str, str]] = set()
+    before, first, second = None, "", ""
+    for word in _TOKEN.findall(text or ""):
         if word == before:
             form = "="
         elif (form := forms.get(word)) is None:
             form = forms[word] = _shape(word)
         before = word
-        past = (*past[-longest + 1 :], form)
-        found.add(past)
-        found.add(past[-2:])
-        found.add(past[-1:])
+        seen.add((first, second, form))
+        first, second = second, form
+    grams = {" ".join(gram[i:]).lstrip() for gram in seen for i in range(3)}  # shorter ones end the longer
     digest = xxhash.xxh32_intdigest
-    ids = {digest(" ".join(gram)) % DIMENSIONS for gram in found}
+    ids = {digest(gram) % DIMENSIONS for gram in grams}
     ids.update(digest("w:" + word.lower()) % DIMENSIONS for word in forms)
     return np.fromiter(ids, np.int32, len(ids))
 
