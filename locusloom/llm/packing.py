@@ -19,13 +19,15 @@ from .tokens import Encoder, _Cache, in_worker, read_vocabulary
 
 #: The most pieces of one length in one slice of the ranking; fewer where tasks are many.
 SLICE_ROWS = 50_000
-#: Sequences of one step group.
+#: Sequences of one step group at full window; shorter tiers take as many more, so tokens are alike.
 STEP_SEQUENCES = 64
+#: The shortest context size that tiers halve down to.
+LEAST_TIER = 256
 
 
 @dataclass(frozen=True)
 class Slot:
-    """Pieces ``lo <= rank < hi`` of one length: ``each`` to a sequence, from ``sequence`` on."""
+    """Pieces ``lo <= rank < hi`` of one length: ``each`` to a sequence of size ``tier``, from ``sequence`` on."""
 
     length: int
     lo: int
@@ -33,66 +35,104 @@ class Slot:
     each: int
     sequence: int
     offset: int
+    tier: int
+
+
+def tiers_of(window: int) -> list[int]:
+    """Context sizes from ``window`` down, each half of the one before."""
+    sizes = [window]
+    while sizes[-1] % 2 == 0 and sizes[-1] // 2 >= LEAST_TIER:
+        sizes.append(sizes[-1] // 2)
+    return sizes
 
 
 def plan_windows(counts: dict[int, int], window: int) -> tuple[list[Slot], int]:
     """Lay out windows for so many pieces of each length.
 
-    Tiers halve from ``window`` down.  Each tier, longest first, puts its pieces in the
-    smallest fitting gap that longer tiers have left and opens windows for the rest,
-    and so on down to the shortest tier.  All is arithmetic on whole groups of alike
-    windows: work and result depend on the number of lengths, ``window`` at most, not
-    on the number of pieces.
+    A piece is routed to the shortest of :func:`tiers_of` that holds it.  Each tier,
+    longest first, puts its pieces, longest first, in the smallest fitting gap that
+    sequences opened so far have left, those of longer tiers too, and opens sequences
+    of its own size for the rest.  A sequence of a shorter tier that has not become
+    full is dissolved at the end: its pieces fill gaps of windows and new windows, so
+    only windows are padded.  All is arithmetic on whole groups of alike
+    sequences: work and result depend on the number of lengths, ``window`` at most,
+    not on the number of pieces.  Sequences are numbered by tier, then by fullness.
     """
-    groups: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # gap -> [(contents, windows)]
+    groups: dict[int, list[tuple[int, tuple[tuple[int, int], ...], int]]] = {}  # gap -> [(tier, contents, windows)]
     gaps: list[int] = []
 
-    def add(gap: int, contents: tuple, windows: int) -> None:
+    def add(tier: int, gap: int, contents: tuple, windows: int) -> None:
         if windows:
             if gap not in groups:
                 bisect.insort(gaps, gap)
                 groups[gap] = []
-            groups[gap].append((contents, windows))
+            groups[gap].append((tier, contents, windows))
 
-    def place(length: int, left: int) -> None:
+    def place(tier: int, length: int, left: int) -> None:
         while left:
             at = bisect.bisect_left(gaps, length)
             if at == len(gaps):
-                each = window // length
-                add(window - each * length, ((length, each),), left // each)
+                each = tier // length
+                add(tier, tier - each * length, ((length, each),), left // each)
                 rest = left % each
-                add(window - rest * length, ((length, rest),), 1 if rest else 0)
+                add(tier, tier - rest * length, ((length, rest),), 1 if rest else 0)
                 return
             gap = gaps[at]
-            contents, windows = groups[gap].pop()
+            size, contents, windows = groups[gap].pop()
             if not groups[gap]:
                 del groups[gap], gaps[at]
             each = min(gap // length, max(1, left // windows))
             used = min(windows, left // each)
-            add(gap, contents, windows - used)
-            add(gap - each * length, (*contents, (length, each)), used)
+            add(size, gap, contents, windows - used)
+            add(size, gap - each * length, (*contents, (length, each)), used)
             left -= used * each
 
-    top = window
-    while top:
-        for length in range(top, top // 2, -1):  # one tier
+    tiers = tiers_of(window)
+    for tier, below in zip(tiers, [*tiers[1:], 0], strict=True):
+        for length in range(tier, below, -1):
             if counts.get(length):
-                place(length, counts[length])
-        top //= 2
+                place(tier, length, counts[length])
+
+    # Shorter tiers keep their full sequences; what the others hold goes into windows.
+    back: dict[int, int] = {}
+    for gap in list(gaps):
+        for tier, contents, windows in groups[gap]:
+            if gap and tier < window:
+                for length, each in contents:
+                    back[length] = back.get(length, 0) + each * windows
+        groups[gap] = [group for group in groups[gap] if not gap or group[0] == window]
+        if not groups[gap]:
+            del groups[gap]
+            gaps.remove(gap)
+    for length in sorted(back, reverse=True):
+        place(window, length, back[length])
 
     slots, ranks, sequence = [], dict.fromkeys(counts, 0), 0
-    for gap in sorted(groups):
-        for contents, windows in groups[gap]:
-            offset = 0
-            for length, each in contents:
-                lo = ranks[length]
-                ranks[length] = hi = lo + each * windows
-                slots.append(Slot(length, lo, hi, each, sequence, offset))
-                offset += each * length
-            sequence += windows
+    laid = [(-tier, gap, contents, windows) for gap in sorted(groups) for tier, contents, windows in groups[gap]]
+    for tier, _, contents, windows in sorted(laid, key=lambda group: group[:2]):
+        offset = 0
+        for length, each in contents:
+            lo = ranks[length]
+            ranks[length] = hi = lo + each * windows
+            slots.append(Slot(length, lo, hi, each, sequence, offset, -tier))
+            offset += each * length
+        sequence += windows
     return slots, sequence
 
 
+def tier_steps(slots: list[Slot], sequences: int, window: int) -> dict[int, tuple[int, int, int]]:
+    """By tier: its first sequence, its first step group and its number of step groups."""
+    firsts: dict[int, int] = {}
+    for slot in slots:
+        firsts[slot.tier] = min(slot.sequence, firsts.get(slot.tier, slot.sequence))
+    order, steps, out = sorted(firsts, reverse=True), 0, {}
+    for tier, end in zip(order, [*[firsts[t] for t in order[1:]], sequences], strict=False):
+        own = -(-(end - firsts[tier]) * tier // (STEP_SEQUENCES * window))
+        out[tier] = (firsts[tier], steps, own)
+        steps += own
+    return out
+
+
 def token_pieces(docs: DataFrame, vocabulary_path: str, window: int, end_id: int, with_ids: bool, id_col: str, text_col: str) -> DataFrame:
     """Encode every document and cut it into full windows and one remainder."""
     shared, name = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path)), uuid.uuid4().hex
@@ -137,16 +177,17 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = 2048, en
 
     Method: documents are encoded where they lie.  One longer than the window gives
     full windows and a remainder; a shorter one stays whole.  The counts of pieces by
-    length (``window`` rows at most) are laid out by :func:`plan_windows`: tier by
-    tier, gaps of longer tiers filled from shorter ones.  Each piece then finds its
+    length (``window`` rows at most) are laid out by :func:`plan_windows`: each piece
+    is routed to a context size, gaps of longer tiers are filled from shorter ones.  Each piece then finds its
     place from its rank among the pieces of its length: ranks are prefix sums over
     slices of a hash, with as many slices as a length has pieces, because most pieces
-    of long documents have the one length ``window``.  Sequences are numbered from the
-    fullest to the least full and dealt in turn to step groups of about
-    ``STEP_SEQUENCES``, so all groups carry nearly the same tokens.
+    of long documents have the one length ``window``.  Sequences of a tier are numbered
+    from the fullest to the least full and dealt in turn to the step groups of that tier,
+    each of about ``STEP_SEQUENCES`` windows' tokens, so a step has one context size.
 
     Returns one row per piece: identifier, ``start``, ``length``, ``ids_crc32``,
-    ``doc_tokens``, ``sequence_id``, ``offset``, ``step`` and, unless ``with_ids`` is
+    ``doc_tokens``, ``sequence_id``, ``offset``, ``step``, ``tier`` (the size of the
+    sequence) and, unless ``with_ids`` is
     off, ``ids`` (little-endian unsigned 32-bit).
 
     Edge cases: a null text is empty and has the end id alone; rows that repeat an
@@ -159,7 +200,11 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = 2048, en
     slots, sequences = plan_windows(counts, window)
     rows = max(500, min(SLICE_ROWS, sum(counts.values()) // (4 * shuffle_partitions(spark))))
     per_length = spark.createDataFrame([(n, max(1, -(-c // rows))) for n, c in counts.items()], "length long, slices long")
-    layout = spark.createDataFrame([(s.length, s.lo, s.hi, s.each, s.sequence, s.offset) for s in slots], "length long, lo long, hi long, each long, sequence long, first long")
+    of_tier = tier_steps(slots, sequences, window)
+    layout = spark.createDataFrame(
+        [(s.length, s.lo, s.hi, s.each, s.sequence, s.offset, s.tier, *of_tier[s.tier]) for s in slots],
+        "length long, lo long, hi long, each long, sequence long, first long, tier long, tier_sequence long, tier_step long, steps long",
+    )
     if len(slots) > 64 * window:
         raise ValueError("the layout is too large to send to every executor")
 
@@ -170,14 +215,14 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = 2048, en
     before = before.select("length", "slice", (F.sum("n").over(in_order) - F.col("n")).alias("earlier"))
     within = Window.partitionBy("length", "slice").orderBy(hashed, "id", "start", "ids_crc32")
     ranked = sliced.withColumn("nth", F.row_number().over(within) - 1).join(before, ["length", "slice"]).withColumn("rank", F.col("earlier") + F.col("nth"))
-    steps = max(1, -(-sequences // STEP_SEQUENCES))
     place = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     found = ranked.join(F.broadcast(layout.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & place)
     nth = F.col("rank") - F.col("lo")
+    sequence = F.col("sequence") + F.floor(nth / F.col("each"))
     return found.select(
         F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
+        sequence.cast("long").alias("sequence_id"),
         (F.col("first") + (nth % F.col("each")) * F.col("length")).alias("offset"),
-        ((F.col("sequence") + F.floor(nth / F.col("each"))) % steps).cast("long").alias("step"),
+        (F.col("tier_step") + (sequence - F.col("tier_sequence")) % F.col("steps")).cast("long").alias("step"), "tier",
         *(["ids"] if with_ids else []),
     )
