@@ -74,6 +74,8 @@ select concat('q', doc_id) as id,
        substr(regexp_replace(text, '[^!-~]', '', 'g'), 1, 24) as qual
 from documents
 """
+#: The same over whole texts, of any and of unequal lengths.
+WHOLE_READS = READS.replace("substr(translate(", "translate(").replace("substr(regexp_replace(", "regexp_replace(").replace(", 1, 24)", "")
 
 
 def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -99,7 +101,7 @@ def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ).drop(*[f"{k}{i}" for k in ("size", "start") for i in (1, 2, 3)])
     return {
         "tags": of(line, TAGS), "regions": of(part, REGIONS), "mutations": of(line, MUTATIONS), "genes": spliced,
-        "reads": of(docs, READS.replace(", 'g')", ")")), "part": part, "line": line, "table": table,
+        "reads": of(docs, READS.replace(", 'g')", ")")), "whole_reads": of(docs, WHOLE_READS.replace(", 'g')", ")")), "part": part, "line": line, "table": table,
     }
 
 
@@ -299,6 +301,22 @@ _add("revcomp", lambda v: v["reads"].select("id", reverse_complement(F.col("seq"
 _add("hamming", lambda v: v["reads"].where("length(seq) = 24").select("id", hamming(F.col("seq"), F.reverse("seq")).alias("d")), "SELECT id, hamming(seq, reverse(seq)) AS d FROM reads WHERE length(seq) = 24")
 _add("qualities", lambda v: v["reads"].where("qual != ''").select("id", F.aggregate(qualities(F.col("qual")), F.lit(0), lambda s, x: s + x).alias("total")), f"SELECT id, list_sum({_QUAL})::INT AS total FROM reads WHERE qual != ''")
 
+# --- Whole reads: the queries above cut every text to 24 letters, these do not. ---
+def _whole(name: str, query: Query, body: str) -> None:
+    _add(f"{name}_whole", query, f", whole_reads AS ({WHOLE_READS}) {body}")
+
+
+_whole("seq_dedup_fasta", lambda v: S.collapse_fasta(v["whole_reads"].select("id", "seq")).select("id", "seq"), "SELECT concat(min(id), '#', count(*)) AS id, seq FROM whole_reads GROUP BY seq")
+_whole("seq_dedup_fastq", lambda v: S.collapse_fastq(v["whole_reads"]).select("id", "seq", "qual"), "SELECT concat(min(id), '#', count(*)) AS id, seq, arg_min(qual, id) AS qual FROM whole_reads GROUP BY seq")
+_whole("barcode_strip", lambda v: S.strip_barcode(v["whole_reads"], 5, starts_with="a").select("id", "seq", "qual"),
+       "SELECT concat(id, '#', substr(seq, 1, 5)) AS id, substr(seq, 6) AS seq, substr(qual, 6) AS qual FROM whole_reads WHERE length(seq) > 5 AND substr(seq, 1, 1) = 'A'")
+_whole("index_filter", lambda v: S.filter_reads(v["whole_reads"], index="2:gt").select("id"), "SELECT id FROM whole_reads WHERE substr(seq, 3, 2) = 'GT'")
+_whole("max_n_filter", lambda v: S.filter_reads(v["whole_reads"], max_n=0).select("id"), "SELECT id FROM whole_reads WHERE regexp_replace(seq, '[ACGTacgt]', '', 'g') = ''")
+_whole("quality_filter", lambda v: S.filter_reads(v["whole_reads"], quality="mean:0-9:60,min:0-4:11").select("id"), f"SELECT id FROM whole_reads WHERE list_avg(list_slice({_QUAL}, 1, 10)) >= 60 AND list_min(list_slice({_QUAL}, 1, 5)) >= 11")
+_whole("revcomp", lambda v: v["whole_reads"].select("id", reverse_complement(F.col("seq")).alias("seq")), "SELECT id, reverse(translate(seq, 'ACGTUacgtu', 'TGCAAtgcaa')) AS seq FROM whole_reads")
+_whole("hamming", lambda v: v["whole_reads"].select("id", hamming(F.col("seq"), F.reverse("seq")).alias("d")), "SELECT id, CASE WHEN seq = '' THEN 0 ELSE hamming(seq, reverse(seq)) END AS d FROM whole_reads")
+_whole("qualities", lambda v: v["whole_reads"].select("id", F.aggregate(qualities(F.col("qual")), F.lit(0), lambda s, x: s + x).alias("total")), f"SELECT id, CASE WHEN qual = '' THEN 0 ELSE list_sum({_QUAL})::INT END AS total FROM whole_reads")
+
 # --- Mutations ---
 for _kind, _sign in (("del", "-"), ("ins", "+"), ("sub", ">")):
     _add(f"mutation_select_{_kind}", lambda v, k=_kind: U.select_mutations(v["mutations"], k).select("name"), f"SELECT name FROM mutations WHERE mtype = '{_sign}'")
