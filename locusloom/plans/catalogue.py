@@ -251,6 +251,8 @@ _half = lambda v: v["mutations"].where("chromStart % 2 = 0")
 _add("lookup_inner", lambda v: T.lookup_join(v["tags"].select("name"), v["mutations"].select("name", "mtype"), "name", "name").select("name", "build_mtype"), "SELECT t.name, m.mtype AS build_mtype FROM tags t JOIN mutations m USING (name)")
 _add("lookup_outer_text", lambda v: T.lookup_join(v["tags"].select("name"), _half(v).select("name", "mtype"), "name", "name", outer=True, no_match="none").select("name", "build_mtype"),
      "SELECT t.name, coalesce(m.mtype, 'none') AS build_mtype FROM tags t LEFT JOIN (SELECT * FROM mutations WHERE chromStart % 2 = 0) m USING (name)")
+_add("lookup_outer_text_whole", lambda v: T.lookup_join(v["tags"].select("name"), v["mutations"].select("name", "mtype"), "name", "name", outer=True, no_match="none").select("name", "build_mtype"),
+     "SELECT t.name, coalesce(m.mtype, 'none') AS build_mtype FROM tags t LEFT JOIN mutations m USING (name)")
 _add("lookup_single_line", lambda v: T.lookup_join(v["regions"].select("name", "chrom", "chromStart"), v["mutations"].select("chrom", "chromStart", "name"), "chromStart", "chromStart", single_line=True, order=["name"]).select("name", "build_name"),
      "SELECT r.name, m.build_name FROM regions r JOIN (SELECT chromStart, string_agg(name, '||' ORDER BY name) AS build_name FROM mutations GROUP BY chromStart) m USING (chromStart)")
 _add("lookup_first", lambda v: T.lookup_join(v["regions"].select("name", "chromStart"), v["mutations"].select("chromStart", "name"), "chromStart", "chromStart", first_only=True, order=["name"]).select("name", "build_name"),
@@ -343,6 +345,13 @@ _add("monotone_fdr", lambda v: R.permutation_fdr(R.site_histogram(_sites(v)), R.
      f""", {_SITES.format('')}, {_HIST}, q AS (SELECT k, m, count(*) AS n FROM k WHERE chromStart % 3 = 0 GROUP BY ALL), qc AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY m DESC) AS c FROM q),
         f AS (SELECT hc.k, hc.m, CASE WHEN c IS NULL THEN 0 ELSE least(1.0, c / 2.0 / sites_ge) END AS fdr FROM hc LEFT JOIN qc USING (k, m))
         SELECT k, m, round(max(fdr) OVER (PARTITION BY m ORDER BY k ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS fdr FROM f""")
+#: Substitutions against deletions, each with all its sites.
+_typed = lambda v, k: R.site_histogram(U.depth_at(C.site_counts(v["mutations"].where(F.col("mtype") == k)), v["tags"]))
+_DELETIONS = _SITES.format("WHERE mtype = '-'").replace("s AS (", "s2 AS (", 1).replace("k AS (", "k2 AS (", 1).replace("FROM s LEFT JOIN", "FROM s2 s LEFT JOIN")
+_add("monotone_fdr_whole", lambda v: R.permutation_fdr(_typed(v, ">"), _typed(v, "-"), 2).select("k", "m", _r("fdr")),
+     f""", {_SITES.format("WHERE mtype = '>'")}, {_HIST}, {_DELETIONS}, q AS (SELECT k, m, count(*) AS n FROM k2 GROUP BY ALL), qc AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY m DESC) AS c FROM q),
+        f AS (SELECT hc.k, hc.m, CASE WHEN c IS NULL THEN 0 ELSE least(1.0, c / 2.0 / sites_ge) END AS fdr FROM hc LEFT JOIN qc USING (k, m))
+        SELECT k, m, round(max(fdr) OVER (PARTITION BY m ORDER BY k ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS fdr FROM f""")
 
 # --- Genes ---
 _STRANDED = "CASE strand WHEN '+' THEN i ELSE {} - i END"
@@ -383,8 +392,8 @@ _add("annotate_all", lambda v: annotate.annotate_all(v["tags"], v["regions"], st
      f"SELECT t.name, string_agg(r.name, '||' ORDER BY r.chromStart, r.name) AS feature FROM tags t LEFT JOIN regions r ON {_ON} AND t.strand = r.strand GROUP BY t.name")
 
 
-def _sets(v: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    genes = v["genes"].where("chromStart % 3 = 0")
+def _sets(v: dict[str, DataFrame], whole: bool = False) -> dict[str, DataFrame]:
+    genes = v["genes"] if whole else v["genes"].where("chromStart % 3 = 0")
     plain = genes.select("chrom", "chromStart", "chromEnd", "name", "score", "strand")
     part = lambda p: G.exons(genes, p, partial=True)
     return {"genic": plain, "exon": G.exons(genes), "5utr": part("5utr"), "3utr": part("3utr"), "cds": part("coding"), "upstream_10k": M.flank_up(plain, -300, -1), "downstream_10k": M.flank_down(plain, 1, 300)}
@@ -408,6 +417,10 @@ _add("annotate_region_summary", lambda v: annotate.region_summary(v["tags"], _se
         count(*) FILTER (f_up AND NOT f_genic) AS up, count(*) FILTER (f_down AND NOT f_genic) AS down, count(*) FILTER (f_genic OR f_up OR f_down) AS ext FROM fl)
         SELECT region, n::BIGINT AS n, round(n * 100.0 / (SELECT total FROM c), 1)::DOUBLE AS percent FROM (SELECT unnest(['Total', 'Genic', 'Exon', 'CDS exon', '5'' UTR exon', '3'' UTR exon', 'Intron', 'Upstream 10K', 'Downstream 10K', 'Genic+ext10K', 'Deep intergenic']) AS region,
         unnest([total, genic, exon, cds, u5, u3, genic - exon, up, down, ext, total - ext]) AS n FROM c)""")
+_ALL_FLAGS = _FLAGS.replace(" WHERE chromStart % 3 = 0", "")
+for _name, _of in (("annotate_region", annotate.annotate_region), ("annotate_region_summary", annotate.region_summary)):
+    _columns = ["name", "region"] if _name == "annotate_region" else ["region", "n", "percent"]
+    _add(f"{_name}_whole", lambda v, of=_of, c=_columns: of(v["tags"], _sets(v, whole=True)).select(*c), _QUERIES[_name][1].replace(_FLAGS, _ALL_FLAGS))
 
 # --- Statistics: no SQL twin, tested against brute force ---
 _rate = lambda v: v["tags"].sparkSession.createDataFrame([(round(K.alignment_error_rate(v["tags"]), 8),)], "rate double")
