@@ -48,10 +48,12 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def locations(registry: DataFrame, genome: str, analysis: str) -> dict[str, str]:
-    """Paths of one analysis by type."""
-    rows = registry.where((F.col("genome") == genome) & (F.col("analysis") == analysis)).select("type", "path").limit(1000).collect()
+    """Paths of one analysis by type; more than a thousand are an error, never cut."""
+    rows = registry.where((F.col("genome") == genome) & (F.col("analysis") == analysis)).select("type", "path").limit(1001).collect()
     if not rows:
         raise KeyError(f"no {analysis} for {genome}")
+    if len(rows) > 1000:
+        raise ValueError(f"more than 1000 paths of {analysis} for {genome}")
     return {r["type"]: r["path"] for r in rows}
 
 
