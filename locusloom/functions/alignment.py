@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 _OP = re.compile(r"(\d+)([MIDNSHP=X])")
+_OTHER = re.compile(r"[=XP]|M\d+M")
 _MD = re.compile(r"(\d+)|\^([A-Za-z]+)|([A-Za-z])")
 
 
@@ -34,6 +35,18 @@ def parse_md(md: str, anchor: int, indel_anchor: int) -> tuple[list[dict], dict[
     return subs, dels
 
 
+def plain_cigar(cigar: str) -> str:
+    """The operations with ``=`` and ``X`` as M, without padding, neighbouring matches as one."""
+    ops: list[list] = []
+    for n, op in _OP.findall(cigar):
+        op = "M" if op in "=X" else op
+        if op == "M" and ops and ops[-1][1] == "M":
+            ops[-1][0] += int(n)
+        elif op != "P":
+            ops.append([int(n), op])
+    return "".join(f"{n}{op}" for n, op in ops)
+
+
 def _bases(text: str) -> bool:
     return re.fullmatch("[ACGTacgt]*", text) is not None
 
@@ -41,7 +54,7 @@ def _bases(text: str) -> bool:
 def parse_alignment(flag: int, pos: int, cigar: str, seq: str, tags: str, anchor: int = 1, indel_anchor: int = 5, indel_in_score: bool = False) -> dict | None:
     """The interval and mutations of an alignment, or None without one.
 
-    Clipped ends are cut off; a clip at the read's 5' end clears ``matchStart``.  A
+    ``=`` and ``X`` are matches and padding is left out.  Clipped ends are cut off; a clip at the read's 5' end clears ``matchStart``.  A
     deletion lengthens the block before it (leading ones move the start), an insertion
     sits between two bases, and a skipped stretch opens a new block.  The score counts
     mismatches, without inserted and deleted bases unless ``indel_in_score``.
@@ -49,7 +62,7 @@ def parse_alignment(flag: int, pos: int, cigar: str, seq: str, tags: str, anchor
     if cigar == "*" or flag & 4:
         return None
     strand = "-" if flag & 16 else "+"
-    ops = [(int(n), op) for n, op in _OP.findall(cigar)]
+    ops = [(int(n), op) for n, op in _OP.findall(plain_cigar(cigar) if _OTHER.search(cigar) else cigar)]
     match_start = 1
     for end, side in ((0, "+"), (-1, "-")):
         while ops and ops[end][1] in "HS":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import barcode_in_name, strand_keys
-from .scan import binned, running
+from .scan import binned, running, with_previous
 
 
 def _identity(df: DataFrame) -> list[str]:
@@ -31,11 +31,12 @@ def islands(df: DataFrame, keys: list[str], max_gap: int = 0, strict: bool = Fal
     return out.withColumn("island", F.col("_head")).drop("_bin", "_reach", "_first", "_head")
 
 
-def _numbered(clusters: DataFrame, keys: list[str]) -> Column:
-    """``chr_f_cN``, ``chr_r_cN`` or ``chr_cN``, numbered from 0 along the chromosome."""
-    nth = (F.row_number().over(Window.partitionBy(*keys).orderBy("chromStart", "chromEnd", *[c for c in ("island", "name") if c in clusters.columns])) - 1).cast("string")
+def _numbered(clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``name``: ``chr_f_cN``, ``chr_r_cN`` or ``chr_cN``, numbered from 0 along the chromosome."""
+    order = ["chromStart", "chromEnd", *[c for c in ("island", "_group") if c in clusters.columns]]
+    counted = running(binned(clusters), keys, order, {"_nth": ("sum", F.lit(1))}).drop("_bin")
     side = F.when(F.col("strand") == "+", "_f_c").otherwise("_r_c") if "strand" in keys else F.lit("_c")
-    return F.concat("chrom", side, nth)
+    return counted.withColumn("name", F.concat("chrom", side, (F.col("_nth") - 1).cast("string"))).drop("_nth")
 
 
 def cluster(df: DataFrame, max_gap: int = 0, stranded: bool = False, weight: Column | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def cluster(df: DataFrame, max_gap: int = 0, stranded: bool = False, weight: Col
     found = islands(df, keys, max_gap).groupBy(*keys, "island").agg(
         F.min("chromStart").alias("chromStart"), F.max("chromEnd").alias("chromEnd"), score.cast("double").alias("score"), F.count(F.lit(1)).alias("n")
     )
-    found = found.withColumn("name", _numbered(found, keys)).withColumn("strand", F.col("strand") if stranded else F.lit("+"))
+    found = _numbered(found, keys).withColumn("strand", F.col("strand") if stranded else F.lit("+"))
     return found.select("chrom", "chromStart", "chromEnd", "name", "score", "strand", "n")
 
 
@@ -73,10 +74,10 @@ def collapse_intervals(df: DataFrame, mode: int, stranded: bool = False, weight:
     if mode == 1:
         grouped, group = df, [*keys, "chromStart", "chromEnd"]
     elif mode == 2:
-        order = Window.partitionBy(*keys).orderBy("chromStart", F.desc("chromEnd"), "name")
-        reach = F.max("chromEnd").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        marked = df.withColumn("_new", F.when(reach.isNull() | (F.col("chromEnd") > reach), 1).otherwise(0))
-        grouped, group = marked.withColumn("_group", F.sum("_new").over(order)), [*keys, "_group"]
+        order = ["chromStart", F.desc("chromEnd"), "name"]
+        marked = running(binned(df), keys, order, {"_reach": ("max", F.col("chromEnd"))}, inclusive=False)
+        marked = marked.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("chromEnd") > F.col("_reach")), 1).otherwise(0))
+        grouped, group = running(marked, keys, order, {"_group": ("sum", F.col("_new"))}), [*keys, "_group"]
     else:
         raise ValueError("mode is 1 or 2")
     score = F.sum(weight) if weight is not None else F.count(F.lit(1))
@@ -87,15 +88,14 @@ def collapse_intervals(df: DataFrame, mode: int, stranded: bool = False, weight:
 
 def overlap_clusters(df: DataFrame, fraction: float, stranded: bool = False) -> DataFrame:
     """Islands whose members overlap the row before them by ``fraction`` of the shorter."""
-    keys = strand_keys(stranded)
-    order = Window.partitionBy(*keys).orderBy(*_identity(df))
-    size = F.col("chromEnd") - F.col("chromStart")
-    shared = F.lag("chromEnd").over(order) - F.col("chromStart")
-    enough = shared >= fraction * F.least(size, F.lag(size).over(order))
-    marked = df.withColumn("_new", F.when(F.coalesce(enough, F.lit(False)), 0).otherwise(1))
-    marked = marked.withColumn("island", F.sum("_new").over(order))
-    found = marked.groupBy(*keys, "island").agg(F.min("chromStart").alias("chromStart"), F.max("chromEnd").alias("chromEnd"), F.count(F.lit(1)).cast("double").alias("score"))
-    return found.withColumn("name", _numbered(found, keys)).drop("island")
+    keys, order = strand_keys(stranded), _identity(df)
+    seen = with_previous(binned(df), keys, order, "_before")
+    size, before = F.col("chromEnd") - F.col("chromStart"), F.col("_before.chromEnd") - F.col("_before.chromStart")
+    enough = F.col("_before.chromEnd") - F.col("chromStart") >= fraction * F.least(size, before)
+    marked = seen.withColumn("_new", F.when(F.coalesce(enough, F.lit(False)), 0).otherwise(1))
+    marked = running(marked, keys, order, {"_group": ("sum", F.col("_new"))})
+    found = marked.groupBy(*keys, "_group").agg(F.min("chromStart").alias("chromStart"), F.max("chromEnd").alias("chromEnd"), F.count(F.lit(1)).cast("double").alias("score"))
+    return _numbered(found, keys).drop("_group")
 
 
 #: Order in which the rows of a group are preferred.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.em import barcode_mixture
 from ..model import barcode_in_name, copies_in_name, five_prime
+from ..storage import drop_saved, saved
 
 _PLACE = ["chrom", "strand", "pos5"]
 
@@ -102,13 +103,14 @@ def global_error_rate(tags: DataFrame, rounds: int = 3, start: float = 0.02, lea
     """Error rate that the mixtures of well covered places agree on: three jobs."""
     counts = barcode_counts(tags, **options)
     covered = counts.groupBy(*_PLACE).agg(F.sum("observed").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    counts = counts.join(covered, _PLACE)
+    counts = saved(counts.join(covered, _PLACE))
     error = start
     for _ in range(rounds):
         sums = fit_barcodes(counts, error).groupBy(*_PLACE).agg(F.first("mismatches").alias("m"), F.first("nucleotides").alias("n")).agg(F.sum("m"), F.sum("n")).first()
         if not sums[1]:
-            return error
+            break
         error = max(sums[0] / sums[1], 1e-12)
+    drop_saved(counts)
     return float(error)
 
 

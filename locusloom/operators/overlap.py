@@ -11,13 +11,15 @@ from ..model import blocks, forward, strand_keys
 WIDE = 64
 
 
-def bin_width(regions: DataFrame) -> int:
-    """A power of two near three times the mean length of the regions."""
-    mean = regions.agg(F.avg(F.col("chromEnd") - F.col("chromStart"))).first()[0] or 1.0
+def bin_width(regions: DataFrame) -> tuple[int, bool]:
+    """A power of two near three times the mean length of the regions, and whether some
+    region fills more than ``WIDE`` such bins."""
+    size = F.col("chromEnd") - F.col("chromStart")
+    mean, longest = regions.agg(F.avg(size), F.max(size)).first()
     width = 64
-    while width < 3 * mean:
+    while width < 3 * (mean or 1.0):
         width *= 2
-    return width
+    return width, (longest or 0) > width * WIDE
 
 
 def stretched(df: DataFrame, ext5: int, ext3: int) -> DataFrame:
@@ -67,7 +69,7 @@ def overlap_join(
     by start.
     """
     tags = stretched(tags, ext5, ext3)
-    width = width or bin_width(regions)
+    width, some_wide = (width, True) if width else bin_width(regions)
     wide = width * WIDE
     keys = strand_keys(stranded)
     spliced = "blockSizes" in tags.columns
@@ -78,10 +80,9 @@ def overlap_join(
     right = regions.select(*[F.col(c).alias(f"region_{c}") for c in regions.columns])
     long = (F.col("region_chromEnd") - F.col("region_chromStart")) > wide
     right = right.withColumn("_wide", long).withColumn("_bin", F.explode(F.when(long, bins("region_chromStart", "region_chromEnd", wide)).otherwise(bins("region_chromStart", "region_chromEnd", width))))
-    spots = F.concat(
-        F.transform(bins("chromStart", "chromEnd", width), lambda b: F.struct(F.lit(False).alias("wide"), b.alias("bin"))),
-        F.transform(bins("chromStart", "chromEnd", wide), lambda b: F.struct(F.lit(True).alias("wide"), b.alias("bin"))),
-    )
+    spots = F.transform(bins("chromStart", "chromEnd", width), lambda b: F.struct(F.lit(False).alias("wide"), b.alias("bin")))
+    if some_wide:
+        spots = F.concat(spots, F.transform(bins("chromStart", "chromEnd", wide), lambda b: F.struct(F.lit(True).alias("wide"), b.alias("bin"))))
     left = tags.withColumn("_spot", F.explode(spots))
     on = [left[k] == right[f"region_{k}"] for k in keys] + [left["_spot"]["wide"] == right["_wide"], left["_spot"]["bin"] == right["_bin"]]
     meets = (F.col("chromStart") < F.col("region_chromEnd")) & (F.col("region_chromStart") < F.col("chromEnd"))

@@ -20,7 +20,7 @@ def binned(df: DataFrame, position: str = "chromStart", width: int = BIN) -> Dat
     return df.withColumn("_bin", F.floor(F.col(position) / width))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
     """Add running columns to rows that :func:`binned` has marked.
 
     ``values``: new column -> ("sum" or "max", what to run over).  ``order`` must be
@@ -43,6 +43,19 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: di
     return out.drop(*[f"_{name}" for name in values])
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
+    """Add the row before as a struct of the ``order`` columns, null at a chromosome's first.
+
+    Rows are marked by :func:`binned`; ``order`` is ascending, so the last row of a bin is
+    the greatest struct, and the first row of a bin takes that of the bin before.
+    """
+    place, row = [*keys, "_bin"], F.struct(*order)
+    along = Window.partitionBy(*keys).orderBy("_bin")
+    last = df.groupBy(*place).agg(F.max(row).alias("_last")).select(*place, F.lag("_last").over(along).alias("_last"))
+    inside = Window.partitionBy(*place).orderBy(*order)
+    return df.join(last, place).withColumn(column, F.coalesce(F.lag(row).over(inside), F.col("_last"))).drop("_last")
+
+
 def numbered(df: DataFrame, column: str = "nth", ties: Sequence[str] = ("chromEnd", "strand", "name")) -> DataFrame:
     """Number intervals from 1 along the genome, without bringing them to one task.
 

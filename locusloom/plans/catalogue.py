@@ -25,7 +25,7 @@ from ..operators import reads as S
 from ..operators import rows as T
 from ..operators.differential import differential
 from ..operators.scan import numbered
-from ..sources.alignments import mutations_of, novoalign_columns, parse_novoalign, parse_sam, sam_columns, tags_of
+from ..sources.alignments import mutations_of, novoalign_columns, parse_novoalign, parse_sam, sam_columns, sam_tags
 from ..sources.bed import bed_lines
 from . import alleles, annotate, cims, cits, peaks
 
@@ -67,15 +67,13 @@ select concat('chr', (p_partkey div 2) % 5 + case when p_partkey % 14 = 1 then 1
        0 as start1, 60 + p_size as start2, 160 + 2*p_size as start3, concat('g', p_partkey div 2) as gene
 from part
 """
-#: Reads of 24 bases with barcodes and qualities, made from the texts.
+#: Reads with barcodes and qualities, made from whole texts; sequence and qualities differ in length.
 READS = """
 select concat('q', doc_id) as id,
-       substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGNAC'), 1, 24) as seq,
-       substr(regexp_replace(text, '[^!-~]', '', 'g'), 1, 24) as qual
+       translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGNAC') as seq,
+       regexp_replace(text, '[^!-~]', '', 'g') as qual
 from documents
 """
-#: The same over whole texts, of any and of unequal lengths.
-WHOLE_READS = READS.replace("substr(translate(", "translate(").replace("substr(regexp_replace(", "regexp_replace(").replace(", 1, 24)", "")
 
 
 def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -101,7 +99,7 @@ def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ).drop(*[f"{k}{i}" for k in ("size", "start") for i in (1, 2, 3)])
     return {
         "tags": of(line, TAGS), "regions": of(part, REGIONS), "mutations": of(line, MUTATIONS), "genes": spliced,
-        "reads": of(docs, READS.replace(", 'g')", ")")), "whole_reads": of(docs, WHOLE_READS.replace(", 'g')", ")")), "part": part, "line": line, "table": table,
+        "reads": of(docs, READS.replace(", 'g')", ")")), "part": part, "line": line, "table": table,
     }
 
 
@@ -247,11 +245,8 @@ _add("window_rpkm", lambda v: V.normalised(V.hopping_windows(v["tags"], _lengths
 
 # --- Rows ---
 _key = lambda v: v["mutations"].select(F.lower("chrom").alias("chrom"), "name")
-_half = lambda v: v["mutations"].where("chromStart % 2 = 0")
 _add("lookup_inner", lambda v: T.lookup_join(v["tags"].select("name"), v["mutations"].select("name", "mtype"), "name", "name").select("name", "build_mtype"), "SELECT t.name, m.mtype AS build_mtype FROM tags t JOIN mutations m USING (name)")
-_add("lookup_outer_text", lambda v: T.lookup_join(v["tags"].select("name"), _half(v).select("name", "mtype"), "name", "name", outer=True, no_match="none").select("name", "build_mtype"),
-     "SELECT t.name, coalesce(m.mtype, 'none') AS build_mtype FROM tags t LEFT JOIN (SELECT * FROM mutations WHERE chromStart % 2 = 0) m USING (name)")
-_add("lookup_outer_text_whole", lambda v: T.lookup_join(v["tags"].select("name"), v["mutations"].select("name", "mtype"), "name", "name", outer=True, no_match="none").select("name", "build_mtype"),
+_add("lookup_outer_text", lambda v: T.lookup_join(v["tags"].select("name"), v["mutations"].select("name", "mtype"), "name", "name", outer=True, no_match="none").select("name", "build_mtype"),
      "SELECT t.name, coalesce(m.mtype, 'none') AS build_mtype FROM tags t LEFT JOIN mutations m USING (name)")
 _add("lookup_single_line", lambda v: T.lookup_join(v["regions"].select("name", "chrom", "chromStart"), v["mutations"].select("chrom", "chromStart", "name"), "chromStart", "chromStart", single_line=True, order=["name"]).select("name", "build_name"),
      "SELECT r.name, m.build_name FROM regions r JOIN (SELECT chromStart, string_agg(name, '||' ORDER BY name) AS build_name FROM mutations GROUP BY chromStart) m USING (chromStart)")
@@ -290,34 +285,17 @@ _add("collapse_5p_weighted", lambda v: K.collapse_5p(v["tags"], weight=True, kee
      f"SELECT name, round(n, 2)::DOUBLE AS score FROM (SELECT name, sum(score) OVER (PARTITION BY chrom, strand, {_FIVE}) AS n, row_number() OVER (PARTITION BY chrom, strand, {_FIVE} ORDER BY score DESC, chromEnd - chromStart DESC, name) AS k FROM tags) WHERE k = 1")
 _add("collapse_5p_barcode", lambda v: K.collapse_barcodes(v["tags"]).select("name", "barcode", "score"),
      f"SELECT name, barcode, n::DOUBLE AS score FROM (SELECT name, barcode, count(*) OVER (PARTITION BY chrom, strand, {_FIVE}, barcode) AS n, row_number() OVER (PARTITION BY chrom, strand, {_FIVE}, barcode ORDER BY chromEnd - chromStart DESC, name) AS k FROM tags) WHERE k = 1")
+_QUAL = "list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)"
 _add("seq_dedup_fasta", lambda v: S.collapse_fasta(v["reads"].select("id", "seq")).select("id", "seq"), "SELECT concat(min(id), '#', count(*)) AS id, seq FROM reads GROUP BY seq")
 _add("seq_dedup_fastq", lambda v: S.collapse_fastq(v["reads"]).select("id", "seq", "qual"), "SELECT concat(min(id), '#', count(*)) AS id, seq, arg_min(qual, id) AS qual FROM reads GROUP BY seq")
 _add("barcode_strip", lambda v: S.strip_barcode(v["reads"], 5, starts_with="a").select("id", "seq", "qual"),
      "SELECT concat(id, '#', substr(seq, 1, 5)) AS id, substr(seq, 6) AS seq, substr(qual, 6) AS qual FROM reads WHERE length(seq) > 5 AND substr(seq, 1, 1) = 'A'")
 _add("index_filter", lambda v: S.filter_reads(v["reads"], index="2:gt").select("id"), "SELECT id FROM reads WHERE substr(seq, 3, 2) = 'GT'")
 _add("max_n_filter", lambda v: S.filter_reads(v["reads"], max_n=0).select("id"), "SELECT id FROM reads WHERE regexp_replace(seq, '[ACGTacgt]', '', 'g') = ''")
-_QUAL = "list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)"
-_add("quality_filter", lambda v: S.filter_reads(v["reads"].where("length(qual) = 24"), quality="mean:0-9:60,min:0-4:11").select("id"),
-     f"SELECT id FROM reads WHERE length(qual) = 24 AND list_avg(list_slice({_QUAL}, 1, 10)) >= 60 AND list_min(list_slice({_QUAL}, 1, 5)) >= 11")
+_add("quality_filter", lambda v: S.filter_reads(v["reads"], quality="mean:0-9:60,min:0-4:11").select("id"), f"SELECT id FROM reads WHERE list_avg(list_slice({_QUAL}, 1, 10)) >= 60 AND list_min(list_slice({_QUAL}, 1, 5)) >= 11")
 _add("revcomp", lambda v: v["reads"].select("id", reverse_complement(F.col("seq")).alias("seq")), "SELECT id, reverse(translate(seq, 'ACGTUacgtu', 'TGCAAtgcaa')) AS seq FROM reads")
-_add("hamming", lambda v: v["reads"].where("length(seq) = 24").select("id", hamming(F.col("seq"), F.reverse("seq")).alias("d")), "SELECT id, hamming(seq, reverse(seq)) AS d FROM reads WHERE length(seq) = 24")
-_add("qualities", lambda v: v["reads"].where("qual != ''").select("id", F.aggregate(qualities(F.col("qual")), F.lit(0), lambda s, x: s + x).alias("total")), f"SELECT id, list_sum({_QUAL})::INT AS total FROM reads WHERE qual != ''")
-
-# --- Whole reads: the queries above cut every text to 24 letters, these do not. ---
-def _whole(name: str, query: Query, body: str) -> None:
-    _add(f"{name}_whole", query, f", whole_reads AS ({WHOLE_READS}) {body}")
-
-
-_whole("seq_dedup_fasta", lambda v: S.collapse_fasta(v["whole_reads"].select("id", "seq")).select("id", "seq"), "SELECT concat(min(id), '#', count(*)) AS id, seq FROM whole_reads GROUP BY seq")
-_whole("seq_dedup_fastq", lambda v: S.collapse_fastq(v["whole_reads"]).select("id", "seq", "qual"), "SELECT concat(min(id), '#', count(*)) AS id, seq, arg_min(qual, id) AS qual FROM whole_reads GROUP BY seq")
-_whole("barcode_strip", lambda v: S.strip_barcode(v["whole_reads"], 5, starts_with="a").select("id", "seq", "qual"),
-       "SELECT concat(id, '#', substr(seq, 1, 5)) AS id, substr(seq, 6) AS seq, substr(qual, 6) AS qual FROM whole_reads WHERE length(seq) > 5 AND substr(seq, 1, 1) = 'A'")
-_whole("index_filter", lambda v: S.filter_reads(v["whole_reads"], index="2:gt").select("id"), "SELECT id FROM whole_reads WHERE substr(seq, 3, 2) = 'GT'")
-_whole("max_n_filter", lambda v: S.filter_reads(v["whole_reads"], max_n=0).select("id"), "SELECT id FROM whole_reads WHERE regexp_replace(seq, '[ACGTacgt]', '', 'g') = ''")
-_whole("quality_filter", lambda v: S.filter_reads(v["whole_reads"], quality="mean:0-9:60,min:0-4:11").select("id"), f"SELECT id FROM whole_reads WHERE list_avg(list_slice({_QUAL}, 1, 10)) >= 60 AND list_min(list_slice({_QUAL}, 1, 5)) >= 11")
-_whole("revcomp", lambda v: v["whole_reads"].select("id", reverse_complement(F.col("seq")).alias("seq")), "SELECT id, reverse(translate(seq, 'ACGTUacgtu', 'TGCAAtgcaa')) AS seq FROM whole_reads")
-_whole("hamming", lambda v: v["whole_reads"].select("id", hamming(F.col("seq"), F.reverse("seq")).alias("d")), "SELECT id, CASE WHEN seq = '' THEN 0 ELSE hamming(seq, reverse(seq)) END AS d FROM whole_reads")
-_whole("qualities", lambda v: v["whole_reads"].select("id", F.aggregate(qualities(F.col("qual")), F.lit(0), lambda s, x: s + x).alias("total")), f"SELECT id, CASE WHEN qual = '' THEN 0 ELSE list_sum({_QUAL})::INT END AS total FROM whole_reads")
+_add("hamming", lambda v: v["reads"].select("id", hamming(F.col("seq"), F.reverse("seq")).alias("d")), "SELECT id, CASE WHEN seq = '' THEN 0 ELSE hamming(seq, reverse(seq)) END AS d FROM reads")
+_add("qualities", lambda v: v["reads"].select("id", F.aggregate(qualities(F.col("qual")), F.lit(0), lambda s, x: s + x).alias("total")), f"SELECT id, CASE WHEN qual = '' THEN 0 ELSE list_sum({_QUAL})::INT END AS total FROM reads")
 
 # --- Mutations ---
 for _kind, _sign in (("del", "-"), ("ins", "+"), ("sub", ">")):
@@ -341,18 +319,29 @@ _add("allele_pivot", lambda v: alleles.site_alleles(v["tags"], v["mutations"]),
         SELECT chrom, chromStart, chromEnd, strand, k, ref, {', '.join(f"len(list_filter(alts, lambda b: b = '{x}')) + CASE ref WHEN '{x}' THEN rest ELSE 0 END AS {x}" for x in 'ACGT')} FROM c""")
 _HIST = "h AS (SELECT k, m, count(*) AS sites FROM k GROUP BY ALL), hc AS (SELECT *, sum(sites) OVER (PARTITION BY k ORDER BY m DESC)::BIGINT AS sites_ge FROM h)"
 _add("site_km_histogram", lambda v: R.site_histogram(_sites(v)), f", {_SITES.format('')}, {_HIST} SELECT * FROM hc")
-_add("monotone_fdr", lambda v: R.permutation_fdr(R.site_histogram(_sites(v)), R.site_histogram(_sites(v).where("chromStart % 3 = 0")), 2).select("k", "m", _r("fdr")),
-     f""", {_SITES.format('')}, {_HIST}, q AS (SELECT k, m, count(*) AS n FROM k WHERE chromStart % 3 = 0 GROUP BY ALL), qc AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY m DESC) AS c FROM q),
-        f AS (SELECT hc.k, hc.m, CASE WHEN c IS NULL THEN 0 ELSE least(1.0, c / 2.0 / sites_ge) END AS fdr FROM hc LEFT JOIN qc USING (k, m))
-        SELECT k, m, round(max(fdr) OVER (PARTITION BY m ORDER BY k ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS fdr FROM f""")
 #: Substitutions against deletions, each with all its sites.
 _typed = lambda v, k: R.site_histogram(U.depth_at(C.site_counts(v["mutations"].where(F.col("mtype") == k)), v["tags"]))
 _DELETIONS = _SITES.format("WHERE mtype = '-'").replace("s AS (", "s2 AS (", 1).replace("k AS (", "k2 AS (", 1).replace("FROM s LEFT JOIN", "FROM s2 s LEFT JOIN")
-_add("monotone_fdr_whole", lambda v: R.permutation_fdr(_typed(v, ">"), _typed(v, "-"), 2).select("k", "m", _r("fdr")),
+_add("monotone_fdr", lambda v: R.permutation_fdr(_typed(v, ">"), _typed(v, "-"), 2).select("k", "m", _r("fdr")),
      f""", {_SITES.format("WHERE mtype = '>'")}, {_HIST}, {_DELETIONS}, q AS (SELECT k, m, count(*) AS n FROM k2 GROUP BY ALL), qc AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY m DESC) AS c FROM q),
         f AS (SELECT hc.k, hc.m, CASE WHEN c IS NULL THEN 0 ELSE least(1.0, c / 2.0 / sites_ge) END AS fdr FROM hc LEFT JOIN qc USING (k, m))
         SELECT k, m, round(max(fdr) OVER (PARTITION BY m ORDER BY k ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS fdr FROM f""")
 
+#: Deletions and insertions as two iterations, pooled before they are cumulated.
+def _two_iterations(v: dict[str, DataFrame]) -> DataFrame:
+    drawn = v["mutations"].where("mtype != '>'").withColumn("iteration", F.when(F.col("mtype") == "-", 0).otherwise(1))
+    sites = U.depth_at(C.site_counts(drawn, ["iteration", "chrom", "chromStart", "chromEnd", "strand"]), v["tags"])
+    return R.site_histogram(sites, ["iteration"])
+
+
+_OTHERS = (
+    _SITES.format("WHERE mtype != '>'").replace("s AS (SELECT chrom", "s2 AS (SELECT mtype, chrom", 1).replace("k AS (SELECT s.chrom", "k2 AS (SELECT s.mtype, s.chrom", 1).replace("FROM s LEFT JOIN", "FROM s2 s LEFT JOIN")
+)
+_add("pooled_fdr", lambda v: R.permutation_fdr(_typed(v, ">"), _two_iterations(v), 2).select("k", "m", _r("fdr")),
+     f""", {_SITES.format("WHERE mtype = '>'")}, {_HIST}, {_OTHERS}, q AS (SELECT k, m, count(*) AS n FROM k2 GROUP BY ALL), qc AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY m DESC) AS c FROM q),
+        f AS (SELECT hc.k, hc.m, CASE WHEN c IS NULL THEN 0 ELSE least(1.0, c / 2.0 / sites_ge) END AS fdr FROM hc LEFT JOIN qc USING (k, m))
+        SELECT k, m, round(max(fdr) OVER (PARTITION BY m ORDER BY k ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS fdr FROM f""")
+
 # --- Genes ---
 _STRANDED = "CASE strand WHEN '+' THEN i ELSE {} - i END"
 _EXON = "x AS (SELECT *, unnest([0, 1, 2]) AS i FROM genes), e AS (SELECT chrom, name, strand, thickStart, thickEnd, i, chromStart + [start1, start2, start3][i + 1] AS s, chromStart + [start1, start2, start3][i + 1] + [size1, size2, size3][i + 1] AS e FROM x)"
@@ -392,14 +381,14 @@ _add("annotate_all", lambda v: annotate.annotate_all(v["tags"], v["regions"], st
      f"SELECT t.name, string_agg(r.name, '||' ORDER BY r.chromStart, r.name) AS feature FROM tags t LEFT JOIN regions r ON {_ON} AND t.strand = r.strand GROUP BY t.name")
 
 
-def _sets(v: dict[str, DataFrame], whole: bool = False) -> dict[str, DataFrame]:
-    genes = v["genes"] if whole else v["genes"].where("chromStart % 3 = 0")
+def _sets(v: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    genes = v["genes"]
     plain = genes.select("chrom", "chromStart", "chromEnd", "name", "score", "strand")
     part = lambda p: G.exons(genes, p, partial=True)
     return {"genic": plain, "exon": G.exons(genes), "5utr": part("5utr"), "3utr": part("3utr"), "cds": part("coding"), "upstream_10k": M.flank_up(plain, -300, -1), "downstream_10k": M.flank_down(plain, 1, 300)}
 
 
-_FLAGS = f"""{_EXON.replace('FROM genes', 'FROM genes WHERE chromStart % 3 = 0')}, gs AS (SELECT * FROM genes WHERE chromStart % 3 = 0),
+_FLAGS = f"""{_EXON}, gs AS (SELECT * FROM genes),
      sets AS (SELECT 'genic' AS kind, chrom, chromStart AS s, chromEnd AS e FROM gs UNION ALL SELECT 'exon', chrom, s, e FROM e
        UNION ALL SELECT 'cds', chrom, greatest(s, thickStart), least(e, thickEnd) FROM e WHERE e > thickStart AND s < thickEnd
        UNION ALL SELECT CASE strand WHEN '+' THEN '5utr' ELSE '3utr' END, chrom, s, least(e, thickStart) FROM e WHERE s < thickStart
@@ -417,10 +406,6 @@ _add("annotate_region_summary", lambda v: annotate.region_summary(v["tags"], _se
         count(*) FILTER (f_up AND NOT f_genic) AS up, count(*) FILTER (f_down AND NOT f_genic) AS down, count(*) FILTER (f_genic OR f_up OR f_down) AS ext FROM fl)
         SELECT region, n::BIGINT AS n, round(n * 100.0 / (SELECT total FROM c), 1)::DOUBLE AS percent FROM (SELECT unnest(['Total', 'Genic', 'Exon', 'CDS exon', '5'' UTR exon', '3'' UTR exon', 'Intron', 'Upstream 10K', 'Downstream 10K', 'Genic+ext10K', 'Deep intergenic']) AS region,
         unnest([total, genic, exon, cds, u5, u3, genic - exon, up, down, ext, total - ext]) AS n FROM c)""")
-_ALL_FLAGS = _FLAGS.replace(" WHERE chromStart % 3 = 0", "")
-for _name, _of in (("annotate_region", annotate.annotate_region), ("annotate_region_summary", annotate.region_summary)):
-    _columns = ["name", "region"] if _name == "annotate_region" else ["region", "n", "percent"]
-    _add(f"{_name}_whole", lambda v, of=_of, c=_columns: of(v["tags"], _sets(v, whole=True)).select(*c), _QUERIES[_name][1].replace(_FLAGS, _ALL_FLAGS))
 
 # --- Statistics: no SQL twin, tested against brute force ---
 _rate = lambda v: v["tags"].sparkSession.createDataFrame([(round(K.alignment_error_rate(v["tags"]), 8),)], "rate double")
@@ -458,7 +443,7 @@ def _sam(v: dict[str, DataFrame]) -> DataFrame:
     return t.select(F.concat_ws("\t", *cells).alias("value"))
 
 
-_add("sam_parse", lambda v: tags_of(parse_sam(sam_columns(_sam(v)))).select("chrom", "chromStart", "chromEnd", "name", "score", "strand"),
+_add("sam_parse", lambda v: sam_tags(sam_columns(_sam(v))).select("chrom", "chromStart", "chromEnd", "name", "score", "strand"),
      """SELECT chrom, chromStart, chromEnd + CASE chromStart % 3 WHEN 1 THEN 2 WHEN 2 THEN 90 ELSE 0 END AS chromEnd, name, CASE chromStart % 3 WHEN 1 THEN 0 ELSE 1 END::DOUBLE AS score, strand FROM tags""")
 _add("sam_mutations", lambda v: mutations_of(parse_sam(sam_columns(_sam(v)))).select("name", "chromStart", "mtype", "refBase", "altBase"),
      """SELECT name, chromStart + CASE WHEN chromStart % 3 = 1 THEN (chromEnd - chromStart) // 2 WHEN chromStart % 3 = 2 AND (chromEnd - chromStart) // 2 <= 6 THEN 96 ELSE 6 END AS chromStart, CASE WHEN chromStart % 3 = 1 THEN '-' ELSE '>' END AS mtype,

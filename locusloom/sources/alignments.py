@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,26 +32,73 @@ def sam_columns(lines: DataFrame) -> DataFrame:
     return lines.select(*fixed, F.array_join(F.slice(cells, 12, F.greatest(F.size(cells), F.lit(1))), "\t").alias("TAGS"))
 
 
+def _mapped(sam: DataFrame, least_quality: int, least_length: int) -> DataFrame:
+    """Mapped reads that are long and sure enough."""
+    return sam.where((F.col("CIGAR") != "*") & (F.col("FLAG").bitwiseAND(4) == 0) & (F.length("SEQ") >= least_length) & (F.col("MAPQ") >= least_quality))
+
+
 def parse_sam(sam: DataFrame, least_quality: int = 0, least_length: int = 0, anchor: int = 1, indel_anchor: int = 5, indel_in_score: bool = False) -> DataFrame:
     """Tags with their mutations, one row for each kept alignment.
 
-    Unmapped, short and low-quality reads are filtered before any Python runs.
+    Unmapped, short and low-quality reads are filtered before any Python runs.  Where only
+    the intervals are wanted, :func:`sam_tags` makes them without Python.
     """
-
-    kept = ("chromStart", "chromEnd", "score", "strand", "matchStart", "blockSizes", "blockStarts", "mutations")
+    kinds = to_arrow_schema(T.StructType.fromDDL(f"chrom string, name string, {_TAG}"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chroms, names, *fields = (batch.column(i).to_pylist() for i in range(batch.num_columns))
-            found = (parse_alignment(f, p, c, s, t, anchor, indel_anchor, indel_in_score) for f, p, c, s, t in zip(*fields, strict=True))
-            rows = [{"chrom": chrom, "name": name, **{k: r[k] for k in kept}} for chrom, name, r in zip(chroms, names, found, strict=True) if r is not None]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    mapped = sam.where((F.col("CIGAR") != "*") & (F.col("FLAG").bitwiseAND(4) == 0) & (F.length("SEQ") >= least_length) & (F.col("MAPQ") >= least_quality))
-    need = mapped.select(F.col("RNAME").alias("chrom"), F.col("QNAME").alias("name"), "FLAG", "POS", "CIGAR", "SEQ", F.coalesce("TAGS", F.lit("")).alias("TAGS"))
-    schema = f"chrom string, name string, {_TAG}"
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
-    return need.mapInArrow(parse, schema)
+            fields = (batch.column(i).to_pylist() for i in range(2, batch.num_columns))
+            found = [parse_alignment(f, p, c, s, t, anchor, indel_anchor, indel_in_score) for f, p, c, s, t in zip(*fields, strict=True)]
+            rows = [i for i, r in enumerate(found) if r is not None]
+            own = [pa.array([found[i][field.name] for i in rows], field.type) for field in list(kinds)[2:]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1)), *own], schema=kinds)
+
+    need = _mapped(sam, least_quality, least_length).select(F.col("RNAME").alias("chrom"), F.col("QNAME").alias("name"), "FLAG", "POS", "CIGAR", "SEQ", F.coalesce("TAGS", F.lit("")).alias("TAGS"))
+    return need.mapInArrow(parse, f"chrom string, name string, {_TAG}")
+
+
+def sam_tags(sam: DataFrame, least_quality: int = 0, least_length: int = 0, indel_in_score: bool = False) -> DataFrame:
+    """The spliced intervals of SAM rows by built-in functions alone.
+
+    The CIGAR's operations are folded into blocks: matches add to a block or open one after
+    a skipped stretch, a deletion lengthens the block before it (a leading one moves the
+    start), an insertion joins the matches at its sides.  Equal to
+    ``tags_of(parse_sam(...))``, clipped ends and the score included.
+    """
+    clipped = F.regexp_replace("CIGAR", r"^(\d+[HS])+|(\d+[HS])+$", "")
+    steps = F.zip_with(
+        F.regexp_extract_all(clipped, F.lit(r"(\d+)[MIDN=X]"), 1), F.regexp_extract_all(clipped, F.lit(r"\d+([MIDN=X])"), 1),
+        lambda n, op: F.struct(n.cast("long").alias("n"), F.when(op.isin("=", "X"), "M").otherwise(op).alias("op")),
+    )
+    empty, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+    begin = F.struct(zero.alias("shift"), zero.alias("at"), zero.alias("indels"), F.lit("").alias("last"), F.lit(False).alias("joined"), empty.alias("sizes"), empty.alias("starts"))
+
+    def fold(a: Column, step: Column) -> Column:
+        n, op, some = step["n"], step["op"], F.size(a["sizes"]) > 0
+        longer = F.concat(F.slice(a["sizes"], F.lit(1), F.size(a["sizes"]) - 1), F.array(F.element_at(a["sizes"], -1) + n))
+        extends = some & ((op == "D") | ((op == "M") & (a["joined"] | (a["last"] == "M"))))
+        opens = (op == "M") & ~extends
+        indel = op.isin("I", "D")
+        return F.struct(
+            F.when((op == "D") & ~some, a["shift"] + n).otherwise(a["shift"]).alias("shift"),
+            F.when(op.isin("M", "N") | ((op == "D") & some), a["at"] + n).otherwise(a["at"]).alias("at"),
+            F.when(indel, a["indels"] + n).otherwise(a["indels"]).alias("indels"),
+            op.alias("last"),
+            F.when(op == "M", F.lit(False)).when(indel, F.lit(True)).otherwise(a["joined"]).alias("joined"),
+            F.when(extends, longer).when(opens, F.concat(a["sizes"], F.array(n))).otherwise(a["sizes"]).alias("sizes"),
+            F.when(opens, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"]).alias("starts"),
+        )
+
+    walked = _mapped(sam, least_quality, least_length).withColumn("_a", F.aggregate(steps, begin, fold)).where(F.size("_a.sizes") > 0)
+    nm = F.coalesce(F.expr(r"try_cast(regexp_extract(TAGS, 'NM:[^:\\s]*:(\\d+)', 1) as bigint)"), zero)
+    score = F.greatest(nm - (zero if indel_in_score else F.col("_a.indels")), zero).cast("double")
+    start = F.col("POS") - 1 + F.col("_a.shift")
+    end = start + F.element_at("_a.starts", -1) + F.element_at("_a.sizes", -1)
+    side = F.when(F.col("FLAG").bitwiseAND(16) != 0, "-").otherwise("+")
+    return walked.select(
+        F.col("RNAME").alias("chrom"), start.alias("chromStart"), end.alias("chromEnd"), F.col("QNAME").alias("name"), score.alias("score"), side.alias("strand"),
+        start.alias("thickStart"), end.alias("thickEnd"), F.lit("0").alias("itemRgb"), F.size("_a.sizes").alias("blockCount"), F.col("_a.sizes").alias("blockSizes"), F.col("_a.starts").alias("blockStarts"),
+    )
 
 
 def tags_of(parsed: DataFrame) -> DataFrame:

@@ -129,6 +129,26 @@ def test_sam_file_to_tags(spark, tmp_path):
     assert [(r.chromStart, r.refBase, r.altBase) for r in alignments.mutations_of(parsed).collect()] == [(15, "A", "C")]
 
 
+def test_tags_without_python_equal_parsed_ones(spark):
+    rng = random.Random(8)
+    rows = [("3S10M2D10M100N5M", "NM:i:3"), ("6M2I6M", "NM:i:2"), ("2D5M", "NM:i:2"), ("4=1X5=", "NM:i:1"), ("5M1P5M", ""), ("2H3S9M4S1H", "NM:i:0"), ("5M3N2D5M", "NM:i:2"), ("5M2D3N5M", "NM:i:2"), ("4I", "NM:i:4"), ("*", "")]
+    for _ in range(200):
+        inner = "".join(f"{rng.randrange(1, 9)}{rng.choice('MMMDIN=X')}" for _ in range(rng.randrange(1, 6)))
+        rows.append((f"{rng.choice(['', '2S', '3H1S'])}{inner}{rng.choice(['', '4S', '1S2H'])}", "NM:i:90"))
+    lines = [("\t".join([f"q{i}", str(rng.choice([0, 16])), "c", str(rng.randrange(1, 99)), "60", cigar, "*", "0", "0", "ACGT" * 30, "*", *([tags] if tags else [])]),) for i, (cigar, tags) in enumerate(rows)]
+    sam = alignments.sam_columns(spark.createDataFrame(lines, "value string"))
+    for in_score in (False, True):
+        want = alignments.tags_of(alignments.parse_sam(sam, indel_in_score=in_score))
+        got = alignments.sam_tags(sam, indel_in_score=in_score)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 100
+
+
+def test_other_matches_and_padding():
+    plain, other = (alignment.parse_alignment(0, 11, c, "ACGTACGTAC", "NM:i:1\tMD:Z:4T5") for c in ("10M", "4=1P1X5="))
+    assert plain == other and plain["blockSizes"] == [10]
+
+
 def test_bed_round_trip(spark, tmp_path):
     path = tmp_path / "x.bed"
     path.write_text("track name=x\n# c\nc\t0\t10\nc\t5\t9\tn\t2.5\t-\t5\t9\t0\t2\t1,2,\t0,2,\n")
@@ -211,6 +231,14 @@ def test_fdr_is_zero_where_not_simulated_and_monotone(spark):
     assert rates == {(1, 1): 0.5, (2, 1): 0.5, (2, 2): 0.0}
 
 
+def test_fdr_pools_iterations_before_it_cumulates(spark):
+    observed = fdr.site_histogram(spark.createDataFrame([(5, 2)] * 4, "k long, m long"))
+    # The first iteration shows (5, 3) but not (5, 2), the second the reverse.
+    drawn = spark.createDataFrame([(0, 5, 3), (1, 5, 2)], "iteration int, k long, m long")
+    simulated = fdr.site_histogram(drawn, ["iteration"])
+    assert [(r.k, r.m, r.fdr) for r in fdr.permutation_fdr(observed, simulated, 2).collect()] == [(5, 2, 0.25)]
+
+
 def test_simulation_places_all_sites_on_tags(spark):
     tags = spark.createDataFrame([("c", 0, 30, "a", 0.0, "+"), ("c", 100, 130, "b", 0.0, "-")], BED)
     sites = mutations.simulate_sites(tags, 200, 3).collect()
@@ -243,6 +271,17 @@ def test_cits_finds_a_planted_site(spark):
     assert [(r.chromStart, r.score >= 40) for r in found] == [(300, True)]
 
 
+def test_cits_areas_part_at_book_ends(spark):
+    # Two pairs of reads that only touch: no area holds three, so nothing can be tested.
+    pairs = [("c", 100, 130, "a", 0.0, "+"), ("c", 100, 130, "b", 0.0, "+"), ("c", 130, 160, "d", 0.0, "+"), ("c", 130, 160, "e", 0.0, "+")]
+    none = spark.createDataFrame([], BED)
+    assert cits.truncation_sites(spark.createDataFrame(pairs, BED), none, p=1.0).count() == 0
+    # One more read over the border joins them to one area of five.
+    over = [*pairs, ("c", 120, 150, "f", 0.0, "+")]
+    found = cits.truncation_sites(spark.createDataFrame(over, BED), none, p=1.0).collect()
+    assert sorted((r.chromStart, r.chromEnd, r.score) for r in found) == [(129, 130, 2.0)]
+
+
 def test_peaks_need_genes_or_valleys(spark):
     with pytest.raises(ValueError):
         peaks.call_peaks(spark.createDataFrame([], BED))
