@@ -1,81 +1,111 @@
-"""Near-duplicate vectors by collision counts over many one-dimensional projections."""
+"""Near-duplicate vectors by collision counts over many sorted one-dimensional projections."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop_saved, saved
 from .components import components
 
-#: Of each family's projections a vector keeps those in whose tail it lies furthest out.
-TAIL = 6
+#: Of each set of base directions a vector combines those in whose tail it lies furthest out,
+#: and of the combined lines of a family it keeps those in whose tail it lies furthest out.
+BASES, TAIL = 4, 8
 #: Half-width of the window around a vector's own projected value.
 WINDOW = 1.0
-#: Vectors of one cell that one task compares with each other; a fuller cell is cut.
+#: Entries of one line that one task compares with each other; a fuller line is cut.
 CELL = 2048
-#: Vectors whose pairs at exactly the threshold calibrate families and count.
-CALIBRATION = 512
-MOST_FAMILIES = 12
-_BLOCK = 1 << 15
+#: A line with more entries than this is crowded: dense groups on it become balls.
+CROWD = 64
+#: Pairs at exactly the threshold that calibrate families and count.
+CALIBRATION = 1024
+MOST_FAMILIES = 24
+#: Cosines are compared to angles with this much room for rounding.
+_ROOM = 1e-9
+_BLOCK = 1 << 17
 
 
-def directions(dim: int, lines: int, family: int) -> np.ndarray:
-    return np.random.Generator(np.random.Philox(key=[7919, family])).standard_normal((dim, lines))
+def directions(dim: int, lines: int, family: int, side: int) -> np.ndarray:
+    return np.random.Generator(np.random.Philox(key=[7919, 2 * family + side])).standard_normal((dim, lines))
 
 
-def tails(units: np.ndarray, lines: int, families: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector and family the ``TAIL`` outermost projections and their values.
+def line_count(vectors: int) -> int:
+    """Base directions of one set: their signed sums are some 16 lines for every vector."""
+    lines = 64
+    while lines < 2 * vectors**0.5 and lines < 1 << 16:
+        lines *= 2
+    return lines
 
-    A projection and its mirror image are two lines: line 2k is direction k, line
-    2k + 1 its opposite.  Shapes: vectors x families x TAIL, lines ascending.
-    """
-    where = np.empty((len(units), families, TAIL), np.int32)
-    value = np.empty((len(units), families, TAIL), np.float32)
-    for family in range(families):
-        at = units @ directions(units.shape[1], lines, family)
-        out = np.argpartition(-np.abs(at), TAIL, axis=1)[:, :TAIL]
-        v = np.take_along_axis(at, out, 1)
-        line = 2 * out + (v < 0)
-        order = np.argsort(line, axis=1)
-        where[:, family] = np.take_along_axis(line, order, 1)
-        value[:, family] = np.abs(np.take_along_axis(v, order, 1))
-    return where, value
 
+def tails(units: np.ndarray, lines: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``TAIL`` lines of a family in whose tail each vector lies furthest out, and its values.
 
-def collisions(where: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of a's tail lines hold b inside the window around a: pairs x families x TAIL."""
-    same = where[a][:, :, :, None] == where[b][:, :, None, :]
-    same &= np.abs(value[a][:, :, :, None] - value[b][:, :, None, :]) <= WINDOW
-    return same.any(3)
+    A line is the sum of one signed direction of a first set and one of a second, so that
+    ``lines`` directions in each make (2 * lines)^2 projections, and those with the largest
+    values are found from the largest in each set.  Shapes: vectors x TAIL.
+    """
+    sides = [directions(units.shape[1], lines, family, side) for side in (0, 1)]
+    where, value = np.empty((len(units), TAIL), np.int64), np.empty((len(units), TAIL), np.float32)
+    step = max(16, (1 << 22) // lines)
+    for at in range(0, len(units), step):
+        part, found = units[at : at + step], []
+        for base in sides:
+            v = part @ base
+            out = np.argpartition(-np.abs(v), BASES, axis=1)[:, :BASES]
+            v = np.take_along_axis(v, out, 1)
+            found.append((2 * out + (v < 0), np.abs(v)))
+        (i, vi), (j, vj) = found
+        total = ((vi[:, :, None] + vj[:, None, :]) / math.sqrt(2)).reshape(len(part), -1)
+        line = (i[:, :, None].astype(np.int64) * (2 * lines) + j[:, None, :]).reshape(len(part), -1)
+        top = np.argpartition(-total, TAIL, axis=1)[:, :TAIL]
+        where[at : at + step], value[at : at + step] = np.take_along_axis(line, top, 1), np.take_along_axis(total, top, 1)
+    return where, value
 
 
-def calibrate(sample: np.ndarray, threshold: float, lines: int, recall: float, seed: int = 1) -> tuple[int, int]:
+def calibrate(dim: int, threshold: float, lines: int, recall: float, seed: int = 1) -> tuple[int, int]:
     """Families and least collision count that keep ``recall`` of pairs at the threshold.
 
-    Each sampled vector gets a partner at exactly the threshold in a random direction,
-    the hardest pair that must be found.
+    Directions have no preferred orientation, so how often a pair collides depends on its
+    cosine and dimension alone: pairs drawn at exactly the threshold, the hardest that must
+    be found, speak for all.  Raises where ``MOST_FAMILIES`` do not reach the recall.
     """
     rng = np.random.default_rng(seed)
-    other = rng.standard_normal(sample.shape)
-    other -= (other * sample).sum(1, keepdims=True) * sample
-    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
-    partner = threshold * sample + np.sqrt(1 - threshold**2) * other
-    where, value = tails(np.concatenate([sample, partner]), lines, MOST_FAMILIES)
-    n = len(sample)
-    hits = collisions(where, value, np.arange(n), np.arange(n, 2 * n)).sum(2)
-    for families in range(2, MOST_FAMILIES + 1):
-        paired = (hits[:, :families] >= 2).any(1)
-        if paired.mean() >= recall:
-            counts = hits[:, :families].sum(1)
-            least = max((k for k in range(2, TAIL * families) if (paired & (counts >= k)).mean() >= recall), default=2)
-            return families, least
-    return MOST_FAMILIES, 2
+    one, other = rng.standard_normal((2, CALIBRATION, dim))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    pair = np.concatenate([one, threshold * one + math.sqrt(1 - threshold**2) * other])
+    counts = np.zeros(CALIBRATION, int)
+    for family in range(MOST_FAMILIES):
+        where, value = tails(pair, lines, family)
+        (a, b), (va, vb) = np.split(where, 2), np.split(value, 2)
+        same = (a[:, :, None] == b[:, None, :]) & (np.abs(va[:, :, None] - vb[:, None, :]) <= WINDOW)
+        counts += same.any(2).sum(1)
+        reached = [k for k in range(2, TAIL * MOST_FAMILIES) if (counts >= k).mean() >= recall]
+        if reached:
+            return family + 1, max(reached)
+    raise ValueError(f"{MOST_FAMILIES} families do not find {recall} of the pairs at cosine {threshold} in {dim} dimensions")
+
+
+def _plan(nodes: DataFrame, threshold: float, recall: float) -> dict[int, tuple[int, int, int]]:
+    """By dimension: lines, families and least count.  A row for each dimension of the table."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(dim, line_count(n), *calibrate(dim, threshold, line_count(n), recall)) for dim, n in zip(batch["dim"], batch["n"], strict=True)]
+            yield pd.DataFrame(rows, columns=["dim", "lines", "families", "least"])
+
+    # In one dimension vectors are equal or opposite.
+    dims = nodes.groupBy(F.size("unit").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("dim > 1")
+    return {r["dim"]: (r["lines"], r["families"], r["least"]) for r in dims.mapInPandas(fit, "dim int, lines int, families int, least int").collect()}
 
 
 def _usable(vector: Column) -> Column:
@@ -83,175 +113,221 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _cosine(a: str, b: str) -> Column:
+def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _posts(nodes: DataFrame, lines: int, families: int) -> DataFrame:
-    """A row for each vector and pair of its tail lines of one family.
+def _scaled(vector: str) -> Column:
+    """The vector over its length, divided by its largest element first so that squares cannot overflow."""
+    flat = F.transform(vector, lambda x: x / F.array_max(F.transform(vector, F.abs)))
+    return F.transform(flat, lambda x: x / F.sqrt(F.aggregate(flat, F.lit(0.0), lambda s, y: s + y * y)))
 
-    Two vectors that collide on two lines of a family share such a row's key, so every
-    pair with enough collisions meets in some key, and no line is enumerated whole.
-    """
-    slots = list(combinations(range(TAIL), 2))
-    left, right = (np.array(x) for x in zip(*slots, strict=True))
+
+def _posts(nodes: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
+    """A row for each vector and line in whose tail it is kept: ``key``, ``value``, ``node``."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             dims = np.diff(batch.column(1).offsets.to_numpy())
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(dims)])
+            starts, node = np.concatenate([[0], np.cumsum(dims)]), batch.column(0).to_numpy()
             for dim in np.unique(dims):
+                if dim not in plan:
+                    continue
                 rows = np.flatnonzero(dims == dim)
                 units = flat[starts[rows][:, None] + np.arange(dim)]
-                for at in range(0, len(rows), 1024):
-                    where, value = tails(units[at : at + 1024], lines, families)
-                    n = len(where)
-                    # dimension, family and the two lines in one number; lines < 2^17
-                    code = (where[:, :, left].astype(np.int64) << 18) | where[:, :, right]
-                    code |= (np.arange(families, dtype=np.int64) << 36)[None, :, None]
-                    code |= (np.int64(dim) & 0x3FFFFF) << 40
-                    per = families * len(slots)
-                    packed = pa.array([w.tobytes() + v.tobytes() for w, v in zip(where, value, strict=True)], pa.binary())
-                    index = pa.array(np.repeat(np.arange(n), per))
-                    node = batch.column(0).take(pa.array(rows[at : at + 1024]))
-                    yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), node.take(index), packed.take(index)], ["key", "node", "tail"])
-
-    return nodes.select("node", "unit").mapInArrow(post, "key long, node long, tail binary")
-
-
-def _pairs(cells: DataFrame, families: int, least: int) -> DataFrame:
-    """Candidate pairs of every cell, each from the first key in which the pair meets."""
-    size = families * TAIL
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Tables that end where a cell ends."""
-        held = None
+                lines, families, _ = plan[dim]
+                for family in range(families):
+                    where, value = tails(units, lines, family)
+                    # dimension, family and the line in one number; lines < 2^17, squared < 2^34
+                    key = where | np.int64(family) << 34 | np.int64(dim) << 40
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(value.ravel()), pa.array(np.repeat(node[rows], TAIL))], ["key", "value", "node"])
+
+    return nodes.select("node", "unit").mapInArrow(post, "key long, value float, node long")
+
+
+def _balls(nodes: DataFrame, posts: DataFrame, threshold: float) -> DataFrame | None:
+    """Dense groups: ``node``, ``ball`` and ``cosine`` to the ball's centre.
+
+    On every crowded line vectors are held against the line's least node; those linked to
+    one that is the least of all its own crowded lines form a group.  Its members within
+    half the threshold's angle of the group's mean direction are a ball: by the triangle
+    inequality all of them are linked with each other, whatever their number, so no pair
+    inside a ball is ever made.  Rounds go on with the other vectors while they gather at
+    least a twentieth of those on crowded lines.  None where no line is crowded.
+    """
+    half, balls = math.cos(math.acos(threshold) / 2) + _ROOM, None
+    while True:
+        crowds = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where(F.col("n") > CROWD).drop("n"))
+        if crowds.isEmpty():
+            drop_saved(crowds)
+            return balls
+        led = saved(posts.join(crowds, "key").select("node", "lead").distinct())
+        roots = led.groupBy("node").agg(F.min("lead").alias("lead")).where("node = lead").select("lead")
+        asked = led.where("node != lead").join(roots, "lead", "left_semi")
+        own, leads = nodes.select("node", "unit"), nodes.select(F.col("node").alias("lead"), F.col("unit").alias("lead_unit"))
+        near = asked.join(own, "node").join(leads, "lead").where(_dot("unit", "lead_unit") >= threshold)
+        groups = near.groupBy("node").agg(F.min("lead").alias("lead"))
+        groups = saved(groups.union(groups.select(F.col("lead").alias("node"), "lead").distinct()))
+        units = groups.join(own, "node")
+        mean = units.groupBy("lead").agg(Summarizer.mean(array_to_vector("unit")).alias("m")).select("lead", vector_to_array("m").alias("m"))
+        centres = mean.select("lead", _scaled("m").alias("centre"))
+        held = units.join(centres, "lead").withColumn("cosine", _dot("unit", "centre")).where(F.col("cosine") >= half)
+        found = saved(held.select("node", (-1 - F.col("lead")).alias("ball"), "cosine", "centre"))
+        crowded, gathered = led.select("node").distinct().count(), found.count()
+        drop_saved(crowds)
+        drop_saved(led)
+        drop_saved(groups)
+        balls = found if balls is None else balls.union(found)
+        if 20 * gathered < crowded:
+            return balls
+        posts = posts.join(found, "node", "left_anti")
+
+
+def _collisions(entries: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
+    """Pairs whose windows meet on as many lines as the calibration asks for.
+
+    ``entries``: ``key``, ``entity`` and the range ``lo`` to ``hi`` of its values on the
+    line.  Each line is sorted by value, and from each entry the window around it is
+    scanned upwards.  A line with more than ``CELL`` entries is cut into chunks, and each
+    pair of chunks is compared on its own, so no task holds more than two chunks.
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Columns that end where a line ends."""
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([held.column(c).to_numpy() for c in ("key", "low", "high")])
-            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))
-            if len(ends):
-                yield held.slice(0, ends[-1] + 1)
-                held = held.slice(ends[-1] + 1)
-        if held is not None and held.num_rows:
-            yield held
+            own = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1]))
+            if len(change):
+                yield tuple(x[: change[-1] + 1] for x in held)
+                held = [x[change[-1] + 1 :] for x in held]
+        if held is not None and len(held[0]):
+            yield tuple(held)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches):
-            key, low, high, chunk, node = (table.column(c).to_numpy() for c in ("key", "low", "high", "chunk", "node"))
-            raw = np.frombuffer(b"".join(table.column("tail").to_pylist()), np.uint8).reshape(len(key), 2 * 4 * size)
-            where = np.ascontiguousarray(raw[:, : 4 * size]).view(np.int32).reshape(-1, families, TAIL)
-            value = np.ascontiguousarray(raw[:, 4 * size :]).view(np.float32).reshape(-1, families, TAIL)
-            family = (key >> 36) & 15
-            line1, line2 = (key >> 18) & 0x3FFFF, key & 0x3FFFF
-            change = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            longest = np.diff(np.concatenate([[0], change, [len(key)]])).max()
-            for step in range(1, longest):
-                a = np.flatnonzero((key[step:] == key[:-step]) & (low[step:] == low[:-step]) & (high[step:] == high[:-step]))
-                b = a + step
-                keep = (node[a] != node[b]) & ((low[a] == high[a]) | (chunk[a] != chunk[b]))
+        for key, low, high, chunk, lo, hi, entity in lines(batches):
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            line = np.cumsum(new) - 1
+            # One ascending axis for all lines: entries of a line follow each other, sorted by lo.
+            width = float(hi.max() - lo.min()) + 2 * WINDOW + 1
+            axis = line * width + (lo - lo.min())
+            upto = np.searchsorted(axis, line * width + (hi - lo.min()) + WINDOW, "right")
+            count = upto - np.arange(len(key)) - 1
+            for part in np.array_split(np.arange(len(key)), count.sum() // _BLOCK + 1):
+                n = count[part]
+                a = np.repeat(part, n)
+                b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                keep = ((low[a] == high[a]) | (chunk[a] != chunk[b])) & (entity[a] != entity[b])
                 a, b = a[keep], b[keep]
-                for at in range(0, len(a), _BLOCK):
-                    x, y = a[at : at + _BLOCK], b[at : at + _BLOCK]
-                    hit = collisions(where, value, x, y)
-                    per = hit.sum(2)
-                    first = np.argmax(per >= 2, axis=1)
-                    every = np.arange(len(x))
-                    mine = (per[every, first] >= 2) & (first == family[x]) & (per.sum(1) >= least)
-                    hit, lines = hit[every, first], where[x, first]
-                    one = np.argmax(hit, axis=1)
-                    hit[every, one] = False
-                    two = np.argmax(hit, axis=1)
-                    mine &= (lines[every, one] == line1[x]) & (lines[every, two] == line2[x])
-                    p, q = node[x][mine], node[y][mine]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
-
-    return cells.mapInArrow(find, "a long, b long")
-
-
-def embedding_links(nodes: DataFrame, threshold: float, recall: float = 0.995) -> DataFrame:
-    """Pairs of distinct vectors with cosine >= threshold: ``a``, ``b``, ``a_copies``, ``b_copies``.
-
-    ``nodes``: ``node`` (long, unique), ``unit`` (array<double> of length one),
-    ``copies``.  Method: every vector is projected on several families of lines; on
-    each family it keeps the lines in whose sorted order it lies furthest out, with
-    its value there.  Another vector collides with it on a line if it is in the same
-    tail, inside the window around its value.  Pairs whose count reaches the calibrated
-    number are verified by cosine in double precision.  The number of lines grows with
-    the square root of the number of vectors, which holds the expected length of a cell
-    constant.  A cell with more than ``CELL`` vectors (one cluster may hold a third of
-    all) is cut into chunks, and each pair of chunks is a cell of its own, so no task
-    holds more than two chunks and no pair is lost.
-    """
-    count = nodes.count()
-    lines = 128
-    while lines < 2 * count**0.5 and lines < 1 << 16:
-        lines *= 2
-    drawn = nodes.orderBy(F.xxhash64("node")).limit(CALIBRATION).select("unit").collect()
-    by_dim: dict[int, list] = {}
-    for (unit,) in drawn:
-        by_dim.setdefault(len(unit), []).append(unit)
-    plans = [calibrate(np.array(units), threshold, lines, recall) for dim, units in by_dim.items() if dim > 1]
-    families = max((f for f, _ in plans), default=2)
-    least = min((k for _, k in plans), default=2)
-    posts = saved(_posts(nodes, lines, families))
-    full = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
+                least = np.array([plan[d][2] for d in (key[a] >> 40)], np.int32)
+                p, q = entity[a], entity[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(least)], ["a", "b", "least"])
+
+    full = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
     full = saved(full.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks")))
+    none = F.lit(0).cast("int")
     if full.isEmpty():
-        cells = posts.select("key", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("chunk"), "node", "tail")
+        cells = entries.select("key", none.alias("low"), none.alias("high"), none.alias("chunk"), "lo", "hi", "entity")
+    else:
+        chunked = entries.join(full, "key", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("entity"), F.col("chunks")).cast("int"), none))
+        others = F.explode(F.sequence(none, F.coalesce(F.col("chunks"), F.lit(1)) - 1)).alias("other")
+        cells = chunked.select("key", "chunk", "lo", "hi", "entity", others).select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "lo", "hi", "entity")
+    dealt = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "lo")
+    met = dealt.mapInArrow(find, "a long, b long, least int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+    return met.where("n >= least").select("a", "b")
+
+
+def embedding_links(nodes: DataFrame, threshold: float, recall: float = 0.997) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of distinct vectors, with dense groups as balls.
+
+    ``nodes``: ``node`` (long, unique), ``unit`` (array<double> of length one), ``copies``.
+    Method: every vector is projected on many lines and kept on those in whose tail it lies
+    furthest out.  Each line is sorted by value; vectors within a window around another's
+    value collide with it there.  Collisions are counted by pair over all lines, and pairs
+    that reach the calibrated count are verified by cosine in double precision.  Lines grow
+    in number with the vectors, which holds the expected length of a tail constant.
+    :func:`_balls` stand for dense groups: against a ball the triangle inequality decides at
+    once for all its members, or the members are verified one by one.
+
+    Returns ``members`` (``node``, ``entity``: a ball or the node itself), ``degrees``
+    (``node``, ``n``: copies of other vectors linked to it) and ``links`` (``a``, ``b``:
+    linked entities).
+    """
+    plan = _plan(nodes, threshold, recall)
+    posts = saved(_posts(nodes, plan))
+    balls = _balls(nodes, posts, threshold)
+    plain = nodes.select("node", F.col("node").alias("entity"), F.lit(1.0).alias("cosine"), F.col("unit").alias("centre"), "unit", "copies")
+    if balls is None:
+        members = plain
+    else:
+        inside = balls.join(nodes, "node").select("node", F.col("ball").alias("entity"), "cosine", "centre", "unit", "copies")
+        members = saved(plain.join(balls, "node", "left_anti").union(inside))
+    entries = posts.join(members.select("node", "entity"), "node").groupBy("key", "entity").agg(F.min("value").alias("lo"), F.max("value").alias("hi")) if balls is not None else posts.select("key", F.col("value").alias("lo"), F.col("value").alias("hi"), F.col("node").alias("entity"))
+    pairs = _collisions(entries, plan)
+    # Angles between a ball's centre and its outermost member; a vector of its own has none.
+    angle = lambda c: F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))
+    if balls is None:
+        entities = members.select("entity", "centre", F.lit(0.0).alias("radius"), "copies")
     else:
-        chunked = posts.join(full, "key", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.lit(0)))
-        others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)).alias("other")
-        cells = chunked.select("key", "chunk", "node", "tail", others).select(
-            "key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "tail"
-        )
-    dealt = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    pairs = _pairs(dealt, families, least)
-    a = nodes.select(F.col("node").alias("a"), F.col("unit").alias("a_unit"), F.col("copies").alias("a_copies"))
-    b = nodes.select(F.col("node").alias("b"), F.col("unit").alias("b_unit"), F.col("copies").alias("b_copies"))
-    met = pairs.join(a, "a").join(b, "b")
-    return met.where(_cosine("a_unit", "b_unit") >= threshold).select("a", "b", "a_copies", "b_copies")
+        grouped = inside.groupBy("entity").agg(F.any_value("centre").alias("centre"), (angle(F.min("cosine")) + _ROOM).alias("radius"), F.sum("copies").alias("copies"))
+        entities = saved(members.where("entity >= 0").select("entity", "centre", F.lit(0.0).alias("radius"), "copies").union(grouped))
+    sides = [entities.select(*[F.col(c).alias(f"{s}_{c}") for c in entities.columns]) for s in "ab"]
+    met = pairs.join(sides[0], F.col("a") == F.col("a_entity")).join(sides[1], F.col("b") == F.col("b_entity"))
+    limit, reach, apart = math.acos(threshold), F.col("a_radius") + F.col("b_radius"), F.col("cosine")
+    met = met.withColumn("cosine", _dot("a_centre", "b_centre"))
+    every = F.when(reach == 0, apart >= threshold).otherwise(angle(apart) + reach <= limit)
+    some = (reach > 0) & ~every & (angle(apart) - reach <= limit)
+    judged = saved(met.where(every | some).select("a", "b", "a_copies", "b_copies", every.alias("every")))
+    sure = judged.where("every")
+    whole = sure.select(F.col("a").alias("entity"), F.col("b_copies").alias("n")).union(sure.select("b", "a_copies")).groupBy("entity").agg(F.sum("n").alias("n"))
+    degrees = members.select("node", "entity", "copies").join(whole, "entity").select("node", "n")
+    links = sure.select("a", "b")
+    if balls is not None:
+        own = entities.where("entity < 0").select("entity", F.col("copies").alias("all"))
+        degrees = degrees.union(members.select("node", "entity", "copies").join(own, "entity").select("node", F.col("all") - F.col("copies")))
+        left, right = (members.select(F.col("entity").alias(s), F.col("node").alias(f"{s}_node"), F.col("unit").alias(f"{s}_unit"), F.col("copies").alias(f"{s}_copies")) for s in "ab")
+        single = judged.where("not every").select("a", "b").join(left, "a").join(right, "b").where(_dot("a_unit", "b_unit") >= threshold)
+        ends = F.explode(F.array(F.struct(F.col("a_node").alias("node"), F.col("b_copies").alias("n")), F.struct(F.col("b_node").alias("node"), F.col("a_copies").alias("n")))).alias("end")
+        degrees = degrees.union(single.select(ends).select("end.node", "end.n"))
+        links = links.union(single.select("a", "b").distinct())
+    degrees = saved(degrees.groupBy("node").agg(F.sum("n").alias("n")))
+    links = saved(links)
+    drop_saved(posts)
+    return members.select("node", "entity"), degrees, links
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Near-duplicate groups of vectors.
 
-    Equal vectors are one node with a number of copies, so a vector that fills a third
-    of the table costs one row; nodes are linked by :func:`embedding_links`.
+    Vectors of one direction are one node with a number of copies, so a vector that fills a
+    third of the table costs one row; nodes are linked by :func:`embedding_links`.
 
     Returns one row per input row: identifier, ``n_links`` (other rows linked directly,
     copies included), ``component_id`` (smallest identifier reachable) and ``kept``.
 
     Edge cases: null, all-zero and empty vectors, and vectors with null or non-finite
     elements, link with nothing and are their own component; vectors of different
-    lengths do not link; null identifiers never name a component that has another;
-    repeated rows link with each other; an empty table gives an empty result.
+    lengths do not link; null identifiers never name a component that has another; rows
+    that repeat a vector link with each other; rows that repeat an identifier with other
+    vectors are each judged by their own vector; a recall that cannot be reached raises;
+    an empty table gives an empty result.
     """
     vector = vectors[vector_col].cast("array<double>")
     rows = vectors.select(vectors[id_col].alias("id"), vector.alias("v"))
-    rows = saved(rows.withColumn("usable", _usable(F.col("v"))).withColumn("mix", F.when(F.col("usable"), F.xxhash64("v"))))
+    rows = rows.withColumn("usable", _usable(F.col("v"))).withColumn("unit", F.when(F.col("usable"), _scaled("v"))).drop("v")
+    rows = saved(rows.withColumn("mix", F.xxhash64("unit")))
     good = rows.where("usable")
-    length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))
-    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))  # squares cannot overflow
-    nodes = (
-        good.groupBy("mix", "v")
-        .agg(F.min("id").alias("lowest"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("u", scaled)
-        .withColumn("length", length)
-        .select(F.coalesce("lowest", "mix").alias("node"), "mix", "v", "lowest", "copies", F.transform("u", lambda x: x / F.col("length")).alias("unit"))
-    )
-    nodes = saved(nodes)
-    links = saved(embedding_links(nodes.select("node", "unit", "copies"), threshold))
-    degree = links.select(F.col("a").alias("node"), F.col("b_copies").alias("n")).union(links.select("b", "a_copies")).groupBy("node").agg(F.sum("n").alias("linked"))
-    found = components(links.select("a", "b"))
-    named = nodes.drop("unit").join(degree, "node", "left").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = good.groupBy("mix", "unit").agg(F.min("id").alias("lowest"), F.count(F.lit(1)).alias("copies"))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    members, degrees, links = embedding_links(nodes.select("node", "unit", "copies"), threshold)
+    found = components(links)
+    placed = members.join(found, F.col("entity") == found["node"], "left").select(members["node"], F.coalesce("component", "entity").alias("component"))
+    named = nodes.select("node", "mix", "lowest", "copies").join(placed, "node").join(degrees, "node", "left")
     lowest = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    named = named.join(lowest, "component").select("mix", "v", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked = good.select("id", "mix", "v").join(named, ["mix", "v"]).select("id", "n_links", "component_id")
+    named = saved(named.join(lowest, "component").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    of_node = nodes.select("mix", "unit", "node").join(named, "node").drop("node")
+    linked = good.select("id", "mix", "unit").join(of_node, ["mix", "unit"]).select("id", "n_links", "component_id")
     alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
