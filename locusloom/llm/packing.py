@@ -21,6 +21,8 @@ from .tokens import Encoder, _Cache, in_worker, read_vocabulary
 SLICE_ROWS = 50_000
 #: Sequences of one step group at full window; shorter tiers take as many more, so tokens are alike.
 STEP_SEQUENCES = 64
+#: The largest layout that is broadcast; a larger one is joined by length.
+MOST_SLOTS = 100_000
 #: The shortest context size that tiers halve down to.
 LEAST_TIER = 256
 
@@ -205,8 +207,8 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = 2048, en
         [(s.length, s.lo, s.hi, s.each, s.sequence, s.offset, s.tier, *of_tier[s.tier]) for s in slots],
         "length long, lo long, hi long, each long, sequence long, first long, tier long, tier_sequence long, tier_step long, steps long",
     )
-    if len(slots) > 64 * window:
-        raise ValueError("the layout is too large to send to every executor")
+    layout = layout.withColumnRenamed("length", "of")
+    layout = F.broadcast(layout) if len(slots) <= MOST_SLOTS else layout
 
     hashed = F.xxhash64("id", "start")
     sliced = pieces.join(F.broadcast(per_length), "length").withColumn("slice", F.floor(uniform(hashed) * F.col("slices")))
@@ -216,7 +218,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = 2048, en
     within = Window.partitionBy("length", "slice").orderBy(hashed, "id", "start", "ids_crc32")
     ranked = sliced.withColumn("nth", F.row_number().over(within) - 1).join(before, ["length", "slice"]).withColumn("rank", F.col("earlier") + F.col("nth"))
     place = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    found = ranked.join(F.broadcast(layout.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & place)
+    found = ranked.join(layout, (F.col("length") == F.col("of")) & place)
     nth = F.col("rank") - F.col("lo")
     sequence = F.col("sequence") + F.floor(nth / F.col("each"))
     return found.select(
@@ -226,3 +228,15 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = 2048, en
         (F.col("tier_step") + (sequence - F.col("tier_sequence")) % F.col("steps")).cast("long").alias("step"), "tier",
         *(["ids"] if with_ids else []),
     )
+
+
+def padding_by_tier(packed: DataFrame, window: int = 2048) -> DataFrame:
+    """Sequences, tokens and share of padding of each tier of a packing.
+
+    A sequence is padded to ``window`` unless its tokens are a power of two.
+    """
+    filled = packed.groupBy("tier", "sequence_id").agg(F.sum("length").alias("tokens"))
+    whole = F.bit_count(F.col("tokens")) == 1
+    size = F.when(whole, F.col("tokens")).otherwise(F.lit(window))
+    sums = filled.groupBy("tier").agg(F.count(F.lit(1)).alias("sequences"), F.sum("tokens").alias("tokens"), F.sum(size).alias("size"))
+    return sums.select("tier", "sequences", "tokens", (1 - F.col("tokens") / F.col("size")).alias("padding"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,11 +27,47 @@ PILOT_DOCS = 2_000
 #: Pre-tokens that a worker keeps; beyond it the worker starts again from the table.
 CACHE_ENTRIES = 250_000
 
-# Letters of the scripts for which the pattern below equals the vocabulary's own, in
-# which letters and digits are Unicode classes.  Any other text goes to the library.
+# Letters of the scripts that most texts keep to; their pattern is the fastest.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_UNUSUAL = re.compile(f"[^\\x00-\\x1b\\x20-\\x7f{_LETTERS}]")
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_OTHER = re.compile(f"[^\\x00-\\x1b\\x20-\\x7f{_LETTERS}]")
+
+
+def _pattern(letters: str, digits: str) -> re.Pattern:
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+")
+
+
+_LATIN = _pattern(_LETTERS, "0-9")
+
+
+@cache
+def _unicode_pattern(top: int) -> re.Pattern:
+    """The vocabulary's own pattern, in which letters and digits are Unicode classes, for
+    code points up to ``top``; the classes are made from the interpreter's tables."""
+    spans: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for point in range(top + 1):
+        if (own := spans.get(unicodedata.category(chr(point))[0])) is not None:
+            if own and own[-1][1] == point - 1:
+                own[-1][1] = point
+            else:
+                own.append([point, point])
+    return _pattern(*("".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in own) for own in spans.values()))
+
+
+@cache
+def _settled(char: str) -> bool:
+    """Whether every library agrees on the class of a character: it is assigned, and none of
+    the four separators that only Python counts as white space."""
+    return unicodedata.category(char) not in ("Cn", "Cs") and not "\x1c" <= char <= "\x1f"
+
+
+def split_text(text: str) -> list[str] | None:
+    """The pre-tokens of a text in any script, or None where a character is not settled."""
+    if not _OTHER.search(text):
+        return _LATIN.findall(text)
+    chars = set(text)
+    if not all(map(_settled, chars)):
+        return None
+    return _unicode_pattern(0xFFFF if max(chars) <= "\uffff" else sys.maxunicode).findall(text)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -43,8 +81,8 @@ def _byte_alphabet() -> dict[str, int]:
 class Encoder:
     """One vocabulary inside one process.
 
-    Texts of usual letters are cut into pre-tokens here and each pre-token is encoded
-    once; all other texts, and texts that hold an added token, go to the library whole.
+    Texts are cut into pre-tokens here and each pre-token is encoded once.  Texts that hold
+    an added token, or a character that is in no Unicode class yet, go to the library whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -79,9 +117,9 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens, or None where the library must decide."""
-        if not self.piecewise or _UNUSUAL.search(text) or any(t in text for t in self.added):
+        if not self.piecewise or any(t in text for t in self.added):
             return None
-        return _PIECES.findall(text)
+        return split_text(text)
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -121,9 +159,9 @@ def read_vocabulary(path: str) -> str:
     return text
 
 
-def frequent_pieces(docs: DataFrame, vocabulary, id_col: str, text_col: str, top: int = FREQUENT, pilot: int = PILOT_DOCS) -> list[str]:
-    """Frequent pre-tokens of a pilot of about ``pilot`` documents chosen by hash."""
-    every = max(1, docs.count() // pilot)
+def frequent_pieces(docs: DataFrame, vocabulary, text_col: str, top: int = FREQUENT, pilot: int = PILOT_DOCS) -> list[str]:
+    """Frequent pre-tokens of a pilot of about ``pilot`` documents, whatever their identifiers."""
+    share = min(1.0, pilot / max(1, docs.count()))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +172,7 @@ def frequent_pieces(docs: DataFrame, vocabulary, id_col: str, text_col: str, top
                 found.update(encoder.pieces(text) or ())
             yield pd.DataFrame({"piece": list(found.keys()), "n": list(found.values())})
 
-    chosen = docs.where(F.pmod(F.xxhash64(docs[id_col], F.lit("pilot")), F.lit(every)) == 0).select(docs[text_col].alias("text"))
+    chosen = docs.where(F.rand(17) < share).select(docs[text_col].alias("text"))
     counted = chosen.mapInPandas(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r["piece"] for r in counted.orderBy(F.desc("n"), "piece").limit(top).collect()]
 
@@ -157,7 +195,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 512, id_col
     context = docs.sparkSession.sparkContext
     vocabulary = read_vocabulary(vocabulary_path)
     encoder = Encoder(vocabulary)
-    table = {p: len(encoder.merge(p)) for p in frequent_pieces(docs, vocabulary, id_col, text_col)} if encoder.piecewise else {}
+    table = {p: len(encoder.merge(p)) for p in frequent_pieces(docs, vocabulary, text_col)} if encoder.piecewise else {}
     shared, name = context.broadcast((vocabulary, table)), uuid.uuid4().hex
 
     @F.pandas_udf("long")

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hard_rows import HARD
@@ -29,6 +30,28 @@ def test_pieces_equal_the_library(text):
     assert got == library_ids(text)
 
 
+@pytest.mark.parametrize("text", ["“It’s” — 5 € …", "漢字かな交じり文。", "Привет, мир! Ελληνικά", "a🙂b 👩‍👩‍👧 ok", "x\u00a0y\u2003z \u3000", "١٢٣ ²³½ Ⅷ", "e\u0301 ñ", "𝔸𝕓𝟙 𐍈", "don’t can't"])
+def test_text_of_any_script_goes_through_the_lookup(text):
+    pieces = ENCODER.pieces(text)
+    assert pieces is not None and "".join(pieces) == text
+    assert [i for p in pieces for i in ENCODER.merge(p)] == library_ids(text)
+
+
+def test_classes_of_all_assigned_characters_equal_the_library():
+    known = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(known), 16_384):
+        text = "".join(f"a{c}1{c}!{c}\n" for c in known[at : at + 16_384] if tokens._settled(c))
+        want = [text[s:e] for _, (s, e) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)]
+        assert tokens.split_text(text) == want
+    assert tokens.split_text("a\u0378") is None and tokens.split_text("a\x1cb") is None
+
+
+def test_pilot_with_null_identifiers_is_a_share(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    found = tokens.frequent_pieces(docs, tokens.read_vocabulary(PATH), "text", pilot=100)
+    assert 20 < len(found) < 1000
+
+
 def test_other_vocabularies_use_the_library():
     other = tokens.Encoder(tokens.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
     assert other.pieces("some words") is None
@@ -94,6 +117,19 @@ def test_packing_of_hard_rows(hard):
     assert packing.pack_documents(hard.limit(0), PATH).count() == 0
 
 
+def test_large_layouts_are_joined(documents, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_SLOTS", 0)
+    check_packing(documents, [tuple(r) for r in documents.collect()], 128)
+
+
+def test_padding_by_tier_adds_up(documents):
+    packed = packing.pack_documents(documents, PATH, with_ids=False)
+    rows = packing.padding_by_tier(packed).collect()
+    assert sum(r.tokens for r in rows) == packed.agg(F.sum("length")).first()[0]
+    assert sum(r.sequences for r in rows) == packed.select("sequence_id").distinct().count()
+    assert all(r.padding == 0 for r in rows if r.tier < 2048) and all(0 <= r.padding < 0.05 for r in rows)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)
