@@ -31,12 +31,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
                                  ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS v(verdict, rule_host, rule_path)),
+a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (
   SELECT page_id,
-         translate(coalesce(regexp_extract(url, '^[^:]*(?::[^:]+)*?://([^/?#]*)', 1), ''),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '^[^:]*(?::[^:]+)*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages),
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM a),
 m AS (
   SELECT page_id, arg_max(verdict, length(rule_host || rule_path)) AS verdict,
          arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule

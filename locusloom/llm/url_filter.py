@@ -30,7 +30,8 @@ class RuleTrie:
 
     The first levels are host labels from the right, so a rule fits its host and all
     subdomains.  A host's node has a trie of path segments: whole segments are edges,
-    and the unfinished segment at a rule's end is looked up by its prefixes.
+    and the unfinished segment at a rule's end is looked up by its prefixes, of which only
+    those as long as some rule's end are tried.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
@@ -49,7 +50,10 @@ class RuleTrie:
             *segments, last = path.split("/")
             for segment in segments:
                 node = node.setdefault(("segment", segment), {})
-            ends = node.setdefault("ends", {})
+            ends, sizes = node.setdefault("ends", ({}, []))
+            if len(last) not in sizes:
+                sizes.append(len(last))
+                sizes.sort(reverse=True)
             # A rule given twice with both verdicts blocks.
             if ends.get(last, ("allow",))[0] == "allow":
                 ends[last] = (verdict, host.translate(_UPPER_TO_LOWER) + path)
@@ -73,9 +77,10 @@ class RuleTrie:
     def _longest(node: dict, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for segment in segments:
-            if ends := node.get("ends"):
-                for n in range(len(segment), -1, -1):
-                    if found := ends.get(segment[:n]):
+            if at_end := node.get("ends"):
+                ends, sizes = at_end
+                for n in sizes:
+                    if n <= len(segment) and (found := ends.get(segment[:n])):
                         best = found
                         break
             if (node := node.get(("segment", segment))) is None:
@@ -92,8 +97,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default
     (null if none fits) and ``verdict`` (``default`` if none fits).
 
     Edge cases: a null url, or one without ``://``, has empty host and path and fits
-    only rules without a host; very long urls cost one step for each label and segment
-    in the trie; repeated rows are judged alike; an empty table gives an empty result.
+    only rules without a host; the cost of a very long url is linear in its length and,
+    at each segment in the trie, in the lengths of the rules that end there; repeated rows are judged alike; an empty table gives an empty result.
     """
     trie = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
 
