@@ -72,7 +72,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, seed: int = 3) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, tolerance: float = 1e-3, seed: int = 3) -> Model:
     """Log-count ratios, then the hinge loss by dual coordinate descent.
 
     Each n-gram's indicator is multiplied by its log-count ratio; a row is scaled by
@@ -106,13 +106,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
                 weights[ids] += change * sign[i] * v
                 bias += change * sign[i]
                 moved = max(moved, abs(change))
-        if moved < 1e-3:
+        if moved < tolerance:
             break
     return Model((weights * ratio).astype(np.float32), float(bias), 2.0)
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on a bounded draw of labelled documents; n-grams are made in the tasks."""
+    """Fit on a bounded draw of labelled documents; n-grams are made in the tasks.
+
+    Edge cases: null texts have no n-grams; labels that are null or neither 0 nor 1, and
+    those of unknown, null or held-out identifiers, teach nothing; an identifier that
+    repeats teaches with each of its texts; without labels of both kinds the model is the
+    share of label 1.
+    """
 
     @F.pandas_udf("array<int>")
     def grams(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

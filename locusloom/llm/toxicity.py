@@ -27,14 +27,26 @@ INSULTS = """
     imbéciles crétin crétins connard connards ordure salaud salauds dégoûtant
     estúpido estúpidos imbécil inútil basura asqueroso escoria idiota idiotas
 """.split()
-THREATS = "kill hurt destroy murder stab shoot strangle beat burn punish crush maim".split()
-TARGETS = "you u your yours yourself yourselves they them their these those him her his".split()
-SELVES = "i we".split()
-FUTURES = "will gonna going shall must".split()
-NEGATIONS = "not never no isn't aren't wasn't don't doesn't didn't won't ain't nicht kein keine pas jamais nunca".split()
-REPORTS = "said says say called calls call wrote writes shouted claimed claims quoted quote accused calling saying".split()
-FILLERS = "a an the so such very really just too as like to be been of and or but ever being all some absolute total complete".split()
-COPULAS = "are is am was were be re s m r".split()
+THREATS = """
+    kill hurt destroy murder stab shoot strangle beat burn punish crush maim
+    töten umbringen verletzen schlagen verprügeln vernichten tuer frapper blesser détruire étrangler matar golpear herir destruir apuñalar
+""".split()
+TARGETS = """
+    you u your yours yourself yourselves they them their these those him her his
+    du dich dir ihr euch deine dein tu toi vous te ton ta tú ti usted ustedes vosotros
+""".split()
+SELVES = "i we ich wir je nous yo nosotros".split()
+FUTURES = "will gonna going shall must werde werden muss vais allons dois voy vamos debo".split()
+NEGATIONS = "not never no isn't aren't wasn't don't doesn't didn't won't ain't nicht nie kein keine keinen pas jamais nunca".split()
+REPORTS = """
+    said says say called calls call wrote writes shouted claimed claims quoted quote accused calling saying
+    sagte sagt nannte nennt schrieb behauptete dit disait appelle écrit dijo dice llamó llama escribió
+""".split()
+FILLERS = """
+    a an the so such very really just too as like to be been of and or but ever being all some absolute total complete
+    ein eine einen der die das sehr und un une le la les très et una el los las muy y
+""".split()
+COPULAS = "are is am was were be re s m r bist ist seid sind es est êtes sont eres son sois".split()
 
 _CLASSES = {
     **dict.fromkeys(FILLERS, "fill"), **dict.fromkeys(COPULAS, "be"), **dict.fromkeys(TARGETS, "target"), **dict.fromkeys(SELVES, "self"),
@@ -42,9 +54,17 @@ _CLASSES = {
     **dict.fromkeys(THREATS, "threat"), **dict.fromkeys(INSULTS, "insult"),
 }
 SYMBOLS = ("other", "fill", "be", "target", "self", "future", "neg", "report", "quote", "insult", "threat", "end")
-#: What a clause can match, each with the weight that holds before any label is seen.
-PRIOR = {"insult": 3.0, "insult_at_target": 4.0, "threat": 4.0, "denied": -0.5, "reported": 0.3, "stem": 2.5}
+#: What a clause can match, each with the weight that holds before any label is seen; that of
+#: a target comes on top of the insult's.
+PRIOR = {"insult": 1.3, "insult_at_target": 0.6, "threat": 2.0, "denied": -0.2, "reported": 0.1, "stem": 1.5}
 PRIOR_BIAS = -3.0
+#: Bounds of fitted weights: a denial never speaks for toxicity, a report little.
+BOUNDS = {"insult": (0, 9), "insult_at_target": (0, 9), "threat": (0, 9), "denied": (-4, 0), "reported": (-4, 0.2), "stem": (0, 9)}
+#: Characters of the stretches in which learnt stems are counted, and the least chance of one there.
+STRETCHES = (500, 2_000, 8_000, 32_000, 1 << 40)
+LEAST_CHANCE = 1e-6
+#: A language with a tenth of the text has up to ten times the mean chance of its stems.
+RARE_LANGUAGE = 10
 
 # --- Stems that the labels teach. ---
 #: Letters of a stem, the forms in which it must occur, and how many are learnt at most.
@@ -90,8 +110,8 @@ def compose(first: Transducer, second: Transducer, symbols: tuple[str, ...]) ->
     return Transducer(step, start)
 
 
-def grammar() -> Transducer:
-    """Negation, then reported speech, then threats, then insults and their targets."""
+def layers() -> list[Transducer]:
+    """Negation, reported speech, threats, and insults with their targets."""
     neutral = ("fill", "be", "target", "future")
     # A negation reaches over fillers to the insult or threat that it denies.
     negation = {("start", "neg"): ("neg", "neg"), ("neg", "neg"): ("neg", "neg"), ("neg", "insult"): ("start", "denied"), ("neg", "threat"): ("start", "denied")}
@@ -100,16 +120,23 @@ def grammar() -> Transducer:
     report = {("start", "report"): ("said", "report"), ("said", "report"): ("said", "report"), ("said", "quote"): ("said", "quote")}
     report |= {("said", s): ("said", s) for s in (*neutral, "self")}
     report |= {("said", "insult"): ("said", "reported"), ("said", "threat"): ("said", "reported")}
-    # A threat needs someone who will do it to someone: "I will hurt you".
+    # A threat needs someone who will do it to someone: "I will hurt you", "ich werde dich töten".
     threat = {("start", "self"): ("self", "self"), ("self", "self"): ("self", "self"), ("self", "future"): ("will", "future"), ("will", "threat"): ("act", "threat")}
     threat |= {(state, s): (state, s) for state in ("self", "will", "act") for s in ("fill", "be")}
     threat |= {("will", "future"): ("will", "future"), ("act", "target"): ("start", "threatened")}
+    threat |= {("will", "target"): ("aimed", "target"), ("aimed", "threat"): ("start", "threatened")}
+    threat |= {("aimed", s): ("aimed", s) for s in ("fill", "be", "target")}
     # An insult right after or before its target weighs more.
     insult = {("start", "target"): ("target", "target"), ("target", "target"): ("target", "target"), ("target", "insult"): ("start", "insult_at_target")}
     insult |= {("target", s): ("target", s) for s in ("fill", "be")}
-    machine, symbols = Transducer(negation), SYMBOLS
-    for layer in (report, threat, insult):
-        machine = compose(machine, Transducer(layer), symbols)
+    return [Transducer(step) for step in (negation, report, threat, insult)]
+
+
+def grammar() -> Transducer:
+    """All layers as one machine: each reads what the one before it writes."""
+    machine, *rest = layers()
+    for layer in rest:
+        machine = compose(machine, layer, SYMBOLS)
     return machine
 
 
@@ -128,13 +155,13 @@ class Matcher:
         learnt = "".join(f"|{re.escape(stem)}[^\\W\\d_]*" for stem in sorted(stems, key=len, reverse=True))
         self.trigger = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, words))}{learnt})(?![^\W\d_])")
 
-    def match(self, text: str | None) -> Counter:
-        """Patterns that match in the clauses of a whole text.
+    def matches(self, text: str | None) -> Iterator[tuple[str, int]]:
+        """Patterns that match in the clauses of a whole text, with their places.
 
         Clauses without an insult or a verb of threat cannot match, so only clauses
-        around such words are walked.
+        around such words are walked.  A word with a learnt stem is an insult of the corpus:
+        denied or reported it counts as any other.
         """
-        found: Counter = Counter()
         low = (text or "").lower()
         done = 0
         for hit in self.trigger.finditer(low):
@@ -155,30 +182,48 @@ class Matcher:
                 stem = symbol == "other" and word.startswith(self.stems)
                 state, out = self.machine.move(state, "insult" if stem else symbol)
                 if pattern := _PATTERNS.get(out):
-                    found["stem" if stem and pattern.startswith("insult") else pattern] += 1
+                    yield "stem" if stem and pattern.startswith("insult") else pattern, token.start()
             else:
                 done = len(low)
-        return found
+
+    def match(self, text: str | None) -> Counter:
+        return Counter(pattern for pattern, _ in self.matches(text))
 
     def counts(self, text: str | None) -> list[float]:
-        """Matches by pattern, and the text's length."""
-        found = self.match(text)
-        return [*(float(found[p]) for p in PRIOR), float(len(text or ""))]
+        """Matches by pattern, stems in the densest stretch of each of ``STRETCHES``, and the length."""
+        found, places = Counter(), []
+        for pattern, at in self.matches(text):
+            found[pattern] += 1
+            if pattern == "stem":
+                places.append(at)
+        found["insult"] += found["insult_at_target"]
+        size = len(text or "")
+        return [*(float(found[p]) for p in PRIOR), *(float(densest(places, min(s, size))) for s in STRETCHES), float(size)]
 
     def armed_words(self, text: str | None) -> list[str]:
         return sorted(set(self.trigger.findall((text or "").lower())))
 
 
+def densest(places: list[int], size: int) -> int:
+    """The most of these ascending places in any stretch of ``size`` characters."""
+    most = first = 0
+    for last, at in enumerate(places):
+        while at - places[first] >= size and first < last:
+            first += 1
+        most = max(most, last - first + 1)
+    return most
+
+
 @dataclass
 class Model:
-    """Score = logistic of bias + weights x log(1 + matches)."""
+    """Score = logistic of bias + weights x features."""
 
     weights: np.ndarray = field(default_factory=lambda: np.array(list(PRIOR.values())))
     bias: float = PRIOR_BIAS
     disarmed: frozenset[str] = frozenset()
     stems: tuple[str, ...] = ()
     #: Matches of stems that a character of clean text has by chance.
-    chance: float = 0.0
+    chance: float = LEAST_CHANCE
 
     def matcher(self) -> Matcher:
         return Matcher(self.disarmed, self.stems)
@@ -189,10 +234,24 @@ class Model:
 
 
 def features(counts: np.ndarray, chance: float) -> np.ndarray:
-    """log(1 + matches); those of stems only above twice what the length explains."""
-    x = counts[:, :-1].copy()
-    x[:, -1] = np.maximum(0.0, x[:, -1] - 2 * chance * counts[:, -1])  # "stem" is the last pattern
-    return np.log1p(x)
+    """log(1 + 9 matches), since one says most; for stems log(1 + surprise) of the most
+    surprising stretch.
+
+    The surprise of n stems in a stretch is Chernoff's bound on the logarithm of their
+    chance, less that of the number of such stretches in the text.  A few insults close
+    together so weigh as much in a long text as in a short one, and the same number strewn
+    over it weighs little.
+    """
+    patterns = counts[:, : len(PRIOR)]
+    size = counts[:, -1:]
+    hits = counts[:, len(PRIOR) : -1]
+    stretch = np.minimum(np.array(STRETCHES, float)[None, :], np.maximum(size, 1))
+    mean = np.maximum(RARE_LANGUAGE * chance, LEAST_CHANCE) * stretch
+    more = np.maximum(hits, mean)
+    surprise = more * np.log(more / mean) - more + mean - np.log(np.maximum(size, 1) / stretch)
+    x = np.log1p(9 * patterns)
+    x[:, -1] = np.log1p(np.maximum(surprise, 0).max(1))  # "stem" is the last pattern
+    return x
 
 
 def prefixes(text: str | None) -> list[str]:
@@ -248,21 +307,26 @@ def learn_stems(rows: DataFrame, known: Matcher) -> tuple[str, ...]:
 
 
 def fit(features: np.ndarray, labels: np.ndarray, pull: float = 0.05, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method, pulled towards the prior weights.
+    """Logistic regression by Newton's method, pulled towards the prior weights and held in ``BOUNDS``.
 
     Without rows the prior stays.  The pull is that of ``pull`` rows per class and
     weight; it holds the weights of patterns that the labels do not show.
     """
     prior = np.array([*PRIOR.values(), PRIOR_BIAS])
+    low, high = (np.array([*(BOUNDS[p][side] for p in PRIOR), (-40, 40)[side]], float) for side in (0, 1))
     x = np.hstack([features, np.ones((len(features), 1))])
     beta = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         gradient = x.T @ (p - labels) + pull * (beta - prior)
         hessian = (x.T * (p * (1 - p))) @ x + pull * np.eye(len(beta))
-        move = np.linalg.solve(hessian, gradient)
-        beta -= move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-12))
-        if np.abs(move).max() < 1e-8:
+        # A weight at its bound stays there while the gradient points outwards.
+        free = ~(((beta <= low) & (gradient > 0)) | ((beta >= high) & (gradient < 0)))
+        move = np.zeros(len(beta))
+        move[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
+        before = beta
+        beta = np.clip(beta - move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-12)), low, high)
+        if np.abs(beta - before).max() < 1e-8:
             break
     return beta[:-1], float(beta[-1])
 
@@ -273,6 +337,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     Stems that mark toxic documents are learnt first and count as insults of the corpus.
     A word of the grammar that is seen in at least five clean documents and is no
     likelier in toxic ones is disarmed: in this corpus it is no insult.
+
+    Edge cases: null texts match nothing; labels that are null or neither 0 nor 1, and those
+    of unknown, null or held-out identifiers, teach nothing; an identifier that repeats
+    teaches with each of its texts; without labels of both kinds the prior weights stay.
     """
 
     drawn = saved(training_rows(docs, labels, label_col, id_col, text_col))
@@ -293,8 +361,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     rows = [r for r in rows if not tame & set(r["words"])]
     if rows and 0 < sum(r["label"] for r in rows) < len(rows):
         x = np.array(sorted((*r["counts"], r["label"]) for r in rows))
-        clean = x[x[:, -1] == 0]
-        model.chance = float(clean[:, -3].sum() / max(1.0, clean[:, -2].sum()))
+        clean, stem = x[x[:, -1] == 0], list(PRIOR).index("stem")
+        model.chance = max(LEAST_CHANCE, float(clean[:, stem].sum() / max(1.0, clean[:, -2].sum())))
         model.weights, model.bias = fit(features(x[:, :-1], model.chance), x[:, -1])
     return model
 

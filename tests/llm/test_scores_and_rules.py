@@ -1,7 +1,15 @@
+import math
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
+import duckdb
+import numpy as np
+import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from hard_rows import SF
@@ -35,6 +43,25 @@ def test_trie_equals_all_rules(spark, rules):
     assert url_filter.filter_urls(df.limit(0), rules).count() == 0
 
 
+def test_long_urls_cost_no_more_than_their_length():
+    trie = url_filter.RuleTrie([*RULES, ("block", "a.net", "/" + "y" * 50)])
+    took = []
+    for n in (1 << 20, 1 << 22):
+        began = time.perf_counter()
+        for url in (f"http://a.net/{'x' * n}", f"http://a.net/{'/' * (n // 4)}", f"http://{'a.' * (n // 4)}net/"):
+            assert trie.judge(*url_filter.split_url(url)) == ("block", "net/")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 2 + 16 * took[0]
+
+
+def test_sql_splits_odd_urls_alike():
+    urls = ["a:://b/c", "://", "x://y:8/z:://q?r", "http:///p", "::://H.NET/a#b", "a:b:c", "a://b\nc/d\ne", None, ""]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": range(len(urls)), "url": urls}))
+    got = {r[0]: r[1:3] for r in con.sql(queries.OP1_SQL).fetchall()}
+    assert got == {i: url_filter.split_url(u) for i, u in enumerate(urls)}
+
+
 def test_url_parts_and_bad_rules():
     assert url_filter.split_url("HTTP://Exa.MPLE/P?q#f") == ("exa.mple", "/P")
     assert url_filter.split_url("x://h?a/b") == ("h", "")
@@ -109,6 +136,157 @@ def test_grammar_reads_clauses():
     assert matches(None) == matches("") == {}
 
 
+def brute_matches(text, stems=()):
+    """Every clause of a text through the four layers one after the other, uncomposed."""
+    layers, found = toxicity.layers(), Counter()
+    for clause in re.split(r"[.!?;:,\n]+", (text or "").lower()):
+        states = ["start"] * len(layers)
+        for word in re.findall(r"[^\W\d_]+(?:n't)?|[\"“”„«»]", clause):
+            symbol = "quote" if word in set("\"“”„«»") else toxicity._CLASSES.get(word, "other")
+            stem = symbol == "other" and any(word.startswith(x) for x in stems)
+            out = "insult" if stem else symbol
+            for i, layer in enumerate(layers):
+                states[i], out = layer.step.get((states[i], out), (layer.start, out))
+            name = {"insult": "insult", "insult_at_target": "insult_at_target", "threatened": "threat", "denied": "denied", "reported": "reported"}.get(out)
+            if name:
+                found["stem" if stem and name.startswith("insult") else name] += 1
+    return found
+
+
+def brute_score(text, model):
+    found, places = brute_matches(text, model.stems), []
+    low = (text or "").lower()
+    for m in re.finditer(r"[^\W\d_]+(?:n't)?", low):
+        places += [m.start()] if any(m.group().startswith(x) for x in model.stems) and m.group() not in toxicity._CLASSES else []
+    assert len(places) >= found["stem"]
+    z, size = model.bias, max(1, len(text or ""))
+    rate = max(toxicity.RARE_LANGUAGE * model.chance, toxicity.LEAST_CHANCE)
+    for name, weight in zip(toxicity.PRIOR, model.weights, strict=True):
+        if name != "stem":
+            n = found[name] + (found["insult_at_target"] if name == "insult" else 0)
+            z += weight * math.log(1 + 9 * n)
+    best = 0.0
+    if len(places) == found["stem"]:  # none denied or reported
+        for stretch in toxicity.STRETCHES:
+            w = min(stretch, size)
+            n = max((sum(a <= b < a + w for b in places) for a in places), default=0)
+            if n > rate * w:
+                best = max(best, n * math.log(n / (rate * w)) - n + rate * w - math.log(size / w))
+    z += list(model.weights)[-1] * math.log(1 + best)
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+
+def test_clauses_equal_brute_force():
+    rng = random.Random(6)
+    words = [*toxicity.TARGETS[:4], *toxicity.SELVES[:2], "will", "not", "isn't", "said", "called", "a", "the", "are", "kill", "hurt", "idiot", "moron", "zorqa", "zorqe", "table", "he", "töten", "ich", "werde", "dich", '"', "“"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", "", "", ".", ",", "!"]) for _ in range(rng.randrange(1, 14)))
+        assert toxicity.Matcher(stems=("zorq",)).match(text) == brute_matches(text, ("zorq",)), text
+
+
+def test_threats_and_denials_of_other_languages():
+    assert matches("ich werde dich töten") == {"threat": 1}
+    assert matches("je vais te tuer") == {"threat": 1}
+    assert matches("voy a matar") == matches("ich werde töten") == {}
+    assert matches("ihr seid idioten") == {"insult_at_target": 1}
+    assert matches("du bist kein trottel") == {"denied": 1}
+    assert matches("dijo imbécil") == {"reported": 1}
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.learn_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert not model.disarmed
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.queries()["op9_toxicity"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.score == pytest.approx(brute_score(texts[r.doc_id], model), abs=1e-9) and r.predicted == (r.score >= 0.7)
+
+
+def test_insults_in_a_long_text_weigh_as_in_a_short_one():
+    model = toxicity.Model(np.array([2.3, 1.0, 2.0, 0.0, 0.1, 3.5]), -5.5, stems=("zorq",), chance=2e-5)  # weights as labels give them
+    rng = random.Random(2)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    clause = " zorqa filler zorqeb words zorqon zorqu. Zorqil zorqat. "
+    m = model.matcher()
+    short, long = filler(20) + clause + filler(20), filler(20_000) + clause + filler(20_000)
+    strewn = "".join(filler(10_000) + f" zorq{x} " for x in ("a", "e", "i", "o", "u", "y")) + filler(10_000)
+    assert model.score(m, short) > 0.7 and model.score(m, long) > 0.7 > model.score(m, strewn)
+    assert toxicity.densest([0, 10, 11, 12, 500], 5) == 3 and toxicity.densest([], 5) == 0
+
+
+def test_weights_stay_in_their_bounds():
+    rng = np.random.default_rng(3)
+    x = rng.poisson(0.5, (400, len(toxicity.PRIOR))).astype(float)
+    y = (x[:, 3] + rng.normal(0, 0.5, 400) > 0.6).astype(float)  # as if denials marked toxic texts
+    weights, _ = toxicity.fit(x, y)
+    for (low, high), w in zip(toxicity.BOUNDS.values(), weights, strict=True):
+        assert low <= w <= high
+    assert weights[3] == 0
+
+
+def brute_grams(text):
+    """Hashed n-grams by their definition, one window after the other."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    forms = ["=" if i and w == words[i - 1] else quality._shape(w) for i, w in enumerate(words)]
+    grams = {" ".join(forms[i : i + n]) for n in (1, 2, 3) for i in range(len(forms) - n + 1)}
+    grams |= {"w:" + w.lower() for i, w in enumerate(words) if not i or w != words[i - 1]}
+    return sorted({xxhash.xxh32_intdigest(g) % quality.DIMENSIONS for g in grams})
+
+
+def test_ngrams_equal_brute_force(documents):
+    for r in documents.collect():
+        assert sorted(quality.ngrams(r.text).tolist()) == brute_grams(r.text)
+    assert not len(quality.ngrams(None))
+
+
+def test_fit_equals_a_plain_solver():
+    """Ratios by counting, and the same objective by projected gradient on the whole dual."""
+    rng = np.random.default_rng(5)
+    topics = [rng.choice(400, 60, replace=False) for _ in range(2)]
+    labels = np.array([i % 3 == 0 for i in range(90)], int)
+    rows = [np.unique(np.concatenate([rng.choice(topics[k], 12), rng.choice(400, 8)])).astype(np.int32) for k in labels]
+    model = quality.fit(rows, labels, epochs=3000, tolerance=1e-9)
+    n1, n0 = labels.sum(), (1 - labels).sum()
+    ratio = np.zeros(quality.DIMENSIONS)
+    for gram in {int(g) for r in rows for g in r}:
+        c1, c0 = (sum(gram in r for r, y in zip(rows, labels, strict=True) if y == k) + 1 for k in (1, 0))
+        ratio[gram] = math.log(c1 / (n1 + 2)) - math.log(c0 / (n0 + 2))
+    x = np.zeros((len(rows), 401))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 400] = ratio[r] / len(r) ** 0.5, 1  # the bias is one more feature
+    sign = 2.0 * labels - 1
+    most = np.where(labels == 1, len(rows) / (2 * n1), len(rows) / (2 * n0))
+    q = (sign[:, None] * x) @ (sign[:, None] * x).T
+    dual, step = np.zeros(len(rows)), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(60_000):
+        dual = np.clip(dual - step * (q @ dual - 1), 0, most)
+    w = (dual * sign) @ x
+    primal = lambda w: w @ w / 2 + (most * np.maximum(0, 1 - sign * (x @ w))).sum()
+    own = np.append(np.divide(model.weights[:400], ratio[:400], where=ratio[:400] != 0, out=np.zeros(400)), model.bias)
+    assert primal(own) == pytest.approx(primal(w), rel=2e-3)
+    margins = [float(w[:400] @ x[i, :400]) + w[400] for i in range(len(rows))]
+    got = [model.bias + float(model.weights[r].sum()) / len(r) ** 0.5 for r in rows]
+    assert got == pytest.approx(margins, abs=0.02)
+
+
+def test_quality_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.learn_quality(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.queries()["op6_quality"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        grams = brute_grams(texts[r.doc_id])
+        margin = model.bias + sum(float(model.weights[g]) for g in grams) / max(1, len(grams)) ** 0.5
+        assert r.score == pytest.approx(1 / (1 + math.exp(-model.slope * margin)), abs=1e-5)
+        assert r.predicted == (r.score >= 0.5)
+    assert quality.score_quality(docs.limit(0), model).count() == 0
+
+
 def test_composition_equals_running_in_turn():
     first = toxicity.Transducer({("start", "a"): ("one", "x"), ("one", "a"): ("start", "y")})
     second = toxicity.Transducer({("start", "x"): ("seen", "p"), ("seen", "y"): ("start", "q")})
