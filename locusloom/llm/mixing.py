@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions, words_in
+from .common import WORD, saved, shuffle_partitions, words_in
 
 #: Weights of the sources in code-point order, repeating, null last.
 WEIGHTS = (5, 2, 1)
@@ -54,40 +54,15 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = MO
     )
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = MOST_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Say how many words of each document the mix takes.
-
-    Method: each document gets a random key from its identifier.  Within a source,
-    slices of the key's range hold ``SLICE_ROWS`` documents at most, so a source
-    with a third of all rows has as many more slices.  Sums per slice, their prefix
-    sums, and a sort of the one slice in which the budget ends give the exact key of
-    the cut.  Whole epochs repeat every document; the documents before the cut come
-    once more, and the one at the cut gives only the words still missing, so the
-    words taken are the target but for rounding.  Whether a document is taken then
-    depends on its own key and its source's cut alone: texts are never shuffled.
-
-    Returns one row per input row: ``doc`` (struct of the input's columns), ``size``
-    (words), ``source_size``, ``target`` (double, of the source) and ``taken`` (long).
-
-    Edge cases: null texts have no words; null is a source of its own, last in
-    order; rows that repeat an identifier share the words left at a cut equally,
-    rounded down; a source without words gets nothing; an empty table gives an empty
-    result.
-    """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    facts = rows.select(
-        F.col(f"doc.`{source_col}`").alias("source"),
-        words_in(F.col(f"doc.`{text_col}`")).alias("size"),
-        random_key(F.col(f"doc.`{id_col}`"), seed).alias("key"),
-    )
-    # 's' before a name: null differs from every name and joins as a plain equality.
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    slim = saved(facts.withColumn("name", name))
-    rows_of_slice = max(500, min(SLICE_ROWS, slim.count() // (4 * shuffle_partitions(docs.sparkSession))))
-    by_source = slim.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+def _plan(facts: DataFrame, weights: Sequence[int], epochs: int) -> DataFrame:
+    """By source ``name``: ``source_size``, ``target``, ``whole`` epochs and the ``cut`` of the
+    last one (key, and words of the document there).  ``facts``: ``source``, ``name``,
+    ``size``, ``key``."""
+    rows_of_slice = max(500, min(SLICE_ROWS, facts.count() // (4 * shuffle_partitions(facts.sparkSession))))
+    by_source = facts.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = saved(
         targets(by_source.select("source", "source_size"), weights, epochs)
-        .withColumn("name", name)
+        .withColumn("name", _name())
         .drop("source")
         .join(by_source.select("name", "n"), "name")
         .withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
@@ -95,7 +70,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int =
         .withColumn("rest", F.col("budget") - F.col("whole") * F.col("source_size"))
         .withColumn("slices", F.ceil(F.col("n") / rows_of_slice))
     )
-    sliced = slim.join(plan.select("name", "slices", "rest"), "name").withColumn("slice", F.floor(F.col("key") / F.lit(float(1 << _KEY_BITS)) * F.col("slices")))
+    sliced = facts.select("name", "size", "key").join(plan.select("name", "slices", "rest"), "name").withColumn("slice", F.floor(F.col("key") / F.lit(float(1 << _KEY_BITS)) * F.col("slices")))
     in_order = Window.partitionBy("name").orderBy("slice")
     sums = sliced.groupBy("name", "slice", "rest").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(in_order) - F.col("words"))
     last = sums.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("name", "slice", "before")
@@ -110,15 +85,49 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int =
         .groupBy("name")
         .agg(F.min_by(F.struct("key", F.expr("(rest - upto + words) div copies").alias("words")), "key").alias("cut"))
     )
-    plan = plan.select("name", "source_size", "target", "whole").join(cuts, "name", "left")
-    size = words_in(F.col(f"doc.`{text_col}`"))
+    return _small(plan.select("name", "source_size", "target", "whole").join(cuts, "name", "left"))
+
+
+def _name() -> Column:
+    """'s' before a source's name: null differs from every name and joins as a plain equality."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def _facts(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """What the mix asks of each document, and ``doc``, its columns but the text."""
+    rest = F.struct(*[docs[c] for c in docs.columns if c != text_col])
+    facts = docs.select(rest.alias("doc"), docs[source_col].alias("source"), words_in(docs[text_col]).alias("size"), random_key(docs[id_col], seed).alias("key"))
+    return saved(facts.withColumn("name", _name()))
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = MOST_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Say how many words of each document the mix takes.
+
+    Method: each document gets a random key from its identifier.  Within a source,
+    slices of the key's range hold ``SLICE_ROWS`` documents at most, so a source
+    with a third of all rows has as many more slices.  Sums per slice, their prefix
+    sums, and a sort of the one slice in which the budget ends give the exact key of
+    the cut.  Whole epochs repeat every document; the documents before the cut come
+    once more, and the one at the cut gives only the words still missing, so the
+    words taken are the target but for rounding.  Whether a document is taken then
+    depends on its own key and its source's cut alone: texts are read once and never
+    shuffled.
+
+    Returns one row per input row: ``doc`` (struct of the input's columns but the text),
+    ``size`` (words), ``source_size``, ``target`` (double, of the source) and ``taken`` (long).
+
+    Edge cases: null texts have no words; null is a source of its own, last in
+    order; rows that repeat an identifier share the words left at a cut equally,
+    rounded down; a source without words gets nothing; an empty table gives an empty
+    result.
+    """
+    facts = _facts(docs, seed, id_col, text_col, source_col)
     more = (
         F.when(F.col("key") < F.col("cut.key"), F.col("size"))
         .when(F.col("key") == F.col("cut.key"), F.least(F.col("size"), F.col("cut.words")))
         .otherwise(0)
     )
-    facts_of_row = rows.withColumn("size", size).withColumn("key", random_key(F.col(f"doc.`{id_col}`"), seed)).withColumn("source", F.col(f"doc.`{source_col}`")).withColumn("name", name).drop("source")
-    return facts_of_row.join(_small(plan), "name").select("doc", "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
+    return facts.join(_plan(facts, weights, epochs), "name").select("doc", "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
 
 
 def _small(plan: DataFrame, most: int = 100_000) -> DataFrame:
@@ -127,21 +136,25 @@ def _small(plan: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(plan) if plan.count() <= most else plan
 
 
-def mixed(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = MOST_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their columns.
 
     A document taken 2.4 times comes twice whole and once with the first 40 % of its
     words; that last piece exists for at most one document of each source.
+
+    Edge cases: those of :func:`mix_sources`; documents without words are not taken.
     """
-    taken = mix_sources(docs, text_col=text_col, **options).where("taken > 0")
-    part = F.expr("taken % size")
-    pieces = F.concat(
-        F.array_repeat(F.lit(None).cast("long"), F.expr("taken div size").cast("int")),
-        F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")),
-    )
-    copies = taken.select("doc", F.explode(pieces).alias("words"))
-    # CASE evaluates the pattern only for the rows that are cut.
-    cut = F.when(F.col("words").isNull(), F.col(f"doc.`{text_col}`")).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all(F.col(f"doc.`{text_col}`"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("words").cast("int")), "")
-    )
-    return copies.select(*[cut.alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
+    plan = _plan(_facts(docs, seed, id_col, text_col, source_col), weights, epochs)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[source_col].alias("source"), random_key(docs[id_col], seed).alias("key"))
+    placed = rows.withColumn("name", _name()).join(plan, "name")
+    text = F.col(f"doc.`{text_col}`")
+    cut = F.coalesce(F.col("key") == F.col("cut.key"), F.lit(False))
+    times = F.col("whole") + F.coalesce(F.col("key") < F.col("cut.key"), F.lit(False)).cast("long")
+    # CASE counts the words of the documents at a cut alone.
+    left = F.when(cut, F.least(words_in(text), F.col("cut.words"))).otherwise(0)
+    part = F.when(cut & (left == words_in(text)), F.lit(None).cast("long")).otherwise(left)
+    pieces = F.concat(F.array_repeat(F.lit(None).cast("long"), times.cast("int")), F.when(left > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
+    copies = placed.where(F.coalesce(text.rlike(WORD), F.lit(False))).select("doc", F.explode(pieces).alias("words"))
+    words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
+    shown = F.when(F.col("words").isNull(), text).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), ""))
+    return copies.select(*[shown.alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
