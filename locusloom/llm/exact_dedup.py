@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, uniform
+from .common import saved, spread, uniform
 from .splitters import quantiles, range_count, range_of, weighted_sample
 
 #: Bytes of text in one range of the sort.
@@ -32,8 +32,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hash of it) gives splitters; records are partitioned by range, an external sort
     puts equal texts side by side, and the window compares whole neighbouring texts.
     A text that fills several ranges of the sample (a third of all rows may be one
-    text) is cut by a hash of the identifier into as many pieces; each piece is
-    reduced to a minimum and a count, and the few pieces are combined afterwards.
+    text) is cut by a hash of the identifier, or of the place of a row without one, into as
+    many pieces; each piece is reduced to a minimum and a count, and the few pieces are combined afterwards.
 
     Returns one row per input row: ``doc`` (struct of the input's columns, whatever
     their names), ``keep_id``, ``group_size`` (long), ``kept`` (boolean) and
@@ -57,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .withColumn("mix", F.xxhash64("norm"))
         )
 
-    drawn = keyed(weighted_sample(rows, bytes_of, total, ranges, F.xxhash64(ident))).select("head", "mix").collect()
+    drawn = keyed(weighted_sample(rows, bytes_of, total, ranges, spread(ident))).select("head", "mix").collect()
     keys = [(r["head"], r["mix"]) for r in drawn]
     share = max(1, len(keys) // ranges)
     # Texts that would overfill a range, with the number of pieces for each.
@@ -67,7 +67,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = keyed(rows).withColumn("range", range_of(key, bounds, "struct<h:string,m:bigint>"))
     if hot:
         pieces = F.broadcast(spark.createDataFrame(hot, "mix long, pieces int"))  # under 1/2 of the ranges
-        placed = placed.join(pieces, "mix", "left").withColumn("piece", F.coalesce(F.floor(uniform(F.xxhash64(ident)) * F.col("pieces")), F.lit(0)))
+        placed = placed.join(pieces, "mix", "left").withColumn("piece", F.coalesce(F.floor(uniform(spread(ident)) * F.col("pieces")), F.lit(0)))
     # The normalised text is made anew after the exchange rather than sent beside the text.
     # The window's partitions are parts of those of the exchange, so it needs no other.
     dealt = ["range", "piece"] if hot else ["range"]
@@ -89,7 +89,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .agg(F.min("keep_id").alias("all_keep"), F.sum("group_size").alias("all_size"), F.min("piece").alias("first_piece"))
         )
         grouped = grouped.join(F.broadcast(merged), "text_sha256", "left")  # at most one row for each hot text
-        # Without any identifier the whole group is one piece, so the first row of that piece stays.
+        # Without any identifier the first row of the group's first piece stays.
         stays = F.when(F.col("all_size").isNull(), F.col("nth") == 1).otherwise(
             (F.col("nth") == 1) & F.col("keep_id").eqNullSafe(F.col("all_keep")) & (F.col("all_keep").isNotNull() | (F.col("piece") == F.col("first_piece")))
         )

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, uniform
+from .common import saved, spread, uniform
 from .splitters import SAMPLES_PER_RANGE, quantiles, range_count, range_of, weighted_sample
 
 #: Bytes of the slim records (not of texts) in one range.
@@ -35,7 +35,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, law: str = "bytes", toget
     about another shard count).
 
     Edge cases: a null text has no bytes and the checksum of the empty text; null
-    identifiers are allowed; rows that repeat identifier and text take neighbouring
+    identifiers are allowed, and rows without one that have equal texts take any order among
+    themselves; rows that repeat identifier and text take neighbouring
     slots; an empty table gives an empty result.
     """
     if law not in ("bytes", "rows"):
@@ -48,7 +49,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, law: str = "bytes", toget
             (F.octet_length(text).cast("long") + 8).alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("crc"),
             F.xxhash64(text).alias("key"),
-            F.xxhash64(docs[id_col]).alias("tie"),
+            spread(docs[id_col]).alias("tie"),
         )
     )
     weight = F.col("size") if law == "bytes" else F.lit(1).cast("long")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved
+from .common import drop_saved, keep_one, row_order, saved
 from .components import components
 from .simhash import _LOWER, SEED
 
@@ -122,24 +122,23 @@ def drop_shingle_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8
     the smallest identifier stays.  Texts travel only for nodes that share a band.
 
     Edge cases: texts without words are left as they are; a text shorter than a shingle is
-    one shingle; a null identifier comes after all others; rows alike in identifier and
-    text stay or go together; an empty table gives an empty result.
+    one shingle; a null identifier comes after all others; of rows alike in identifier and
+    text any one stays; an empty table gives an empty result.
     """
     same = F.xxhash64(docs[text_col])
     marks = saved(docs.select(docs[id_col].alias("id"), same.alias("same"), _marks(docs[text_col], width).alias("m")).select("id", "same", "m.node", "m.bands").where("size(bands) > 0"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "same")
-    nodes = saved(marks.groupBy("node").agg(F.min(order).alias("lowest"), F.first("bands").alias("bands")))
+    nodes = saved(marks.groupBy("node").agg(F.min(row_order()).alias("lowest"), F.first("bands").alias("bands")))
     sides = nodes.select("node", F.posexplode("bands").alias("band", "bits"))
     shared = sides.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sides = saved(sides.join(shared, ["band", "bits"]).select("node", "band", "bits"))
     wanted = sides.select("node").distinct().join(nodes, "node").select("node", F.col("lowest.id").alias("__id"), F.col("lowest.same").alias("__same"))
-    found = docs.join(wanted, docs[id_col].eqNullSafe(wanted["__id"]) & (same == wanted["__same"]))
-    sets = saved(found.dropDuplicates(["node"]).select("node", _sets(docs[text_col], width).alias("set")))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    found = texts.join(wanted, texts["id"].eqNullSafe(wanted["__id"]) & (F.xxhash64("text") == wanted["__same"]))
+    sets = saved(found.select("node", "text").dropDuplicates(["node"]).select("node", _sets(F.col("text"), width).alias("set")))
     groups = components(shingle_links(sides, sets, similarity))
     lowest = nodes.join(groups, "node", "left").select("node", "lowest", F.coalesce("component", "node").alias("component"))
     kept = lowest.groupBy("component").agg(F.min("lowest").alias("kept"))
     kept = lowest.join(kept, "component").select("node", "kept")
-    lost = saved(marks.join(kept, "node").where(order != F.col("kept")).select(F.col("id").alias("__id"), F.col("same").alias("__same")).distinct())
-    out = docs.join(lost, docs[id_col].eqNullSafe(lost["__id"]) & (same == lost["__same"]), "left_anti")
+    out = keep_one(docs, marks.join(kept, "node").select("id", "same", "kept"), id_col, text_col)
     drop_saved(marks)
     return out

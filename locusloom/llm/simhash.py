@@ -9,10 +9,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import keep_one, row_order, saved
 from .components import components
 
 SEED = 42
@@ -84,6 +84,16 @@ def fingerprint_links(prints: DataFrame, distance: int = 3, blocks: int = 5) ->
     return a.join(b, same & close).select(F.col("a.print").alias("a"), F.col("b.print").alias("b"))
 
 
+def _marked(docs: DataFrame, width: int, distance: int, blocks: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``id``, ``same`` and ``print``; and ``component`` and ``kept`` of every print."""
+    marked = saved(docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("same"), fingerprint(docs[text_col], width).alias("print")))
+    nodes = saved(marked.groupBy("print").agg(F.min(row_order()).alias("lowest")))
+    found = components(fingerprint_links(nodes.select("print"), distance, blocks))
+    named = nodes.join(found, nodes["print"] == found["node"], "left").select("print", "lowest", F.coalesce("component", "print").alias("component"))
+    kept = named.groupBy("component").agg(F.min("lowest").alias("kept"))
+    return marked, named.join(kept, "component").select("print", "component", "kept")
+
+
 def simhash_groups(docs: DataFrame, width: int = 3, distance: int = 3, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every document and name the group of near copies it belongs to.
 
@@ -101,27 +111,16 @@ def simhash_groups(docs: DataFrame, width: int = 3, distance: int = 3, blocks: i
     are a component's name unless it has no other; repeated rows each get a row; an
     empty table gives an empty result.
     """
-    marked = saved(docs.select(docs[id_col].alias("id"), fingerprint(docs[text_col], width).alias("print")))
-    nodes = saved(marked.groupBy("print").agg(F.min("id").alias("lowest")))
-    found = components(fingerprint_links(nodes.select("print"), distance, blocks))
-    named = nodes.join(found, nodes["print"] == found["node"], "left").select("print", "lowest", F.coalesce("component", "print").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    group_of = named.join(lowest, "component").select("print", "component_id", "component")
-    return marked.join(group_of, "print").select(F.col("id").alias(id_col), "print", "component_id", "component")
+    marked, group_of = _marked(docs, width, distance, blocks, id_col, text_col)
+    return marked.join(group_of, "print").select(F.col("id").alias(id_col), "print", F.col("kept.id").alias("component_id"), "component")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the smallest identifier of each group, with the columns it came with.
+def drop_near_copies(docs: DataFrame, width: int = 3, distance: int = 3, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, that with the smallest identifier, with the columns it came with.
 
-    Rows that repeat the kept identifier stay with it.  Of a group without any identifier
-    one row stays; other rows without one go.
+    Edge cases: those of :func:`simhash_groups`; texts without words are near copies of each
+    other; of rows that repeat the kept identifier the one with the smallest hash of its text
+    stays, and of rows that repeat its text too, any one.
     """
-    groups = saved(simhash_groups(docs, id_col=id_col, text_col=text_col, **options))
-    names = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept_id")).distinct()
-    named = docs.join(names, docs[id_col] == names["__kept_id"], "left_semi")
-    nobody = groups.where(F.col("component_id").isNull()).select(F.col("print").alias("__print"), F.col("component").alias("__component")).distinct()
-    rows = docs.where(docs[id_col].isNull())
-    rows = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("doc"), fingerprint(rows[text_col], options.get("width", 3)).alias("__print")).join(nobody, "__print")
-    first = Window.partitionBy("__component").orderBy("__print", F.col(f"doc.`{text_col}`"))
-    one = rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
-    return named.unionByName(one.select("doc.*"))
+    marked, group_of = _marked(docs, width, distance, blocks, id_col, text_col)
+    return keep_one(docs, marked.join(group_of.select("print", "kept"), "print"), id_col, text_col)

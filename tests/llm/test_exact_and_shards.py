@@ -50,6 +50,15 @@ def test_dedup_cuts_a_hot_text(spark):
     check_dedup(spark.createDataFrame(nobody, "doc_id long, text string"), nobody)
 
 
+def test_hot_text_without_identifiers_is_cut(spark):
+    rows = [(None, "same  text") if i % 2 else (i, f"text {i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = exact_dedup.exact_dedup(df)
+    kept = out.where("kept").select("doc.text", "group_size").collect()
+    assert len(kept) == 2001 and [r.group_size for r in kept if r.text.startswith("same")] == [2000]
+    check_shards(df, rows, "bytes", 6)
+
+
 def test_drop_copies_keeps_columns(hard):
     kept = exact_dedup.drop_copies(hard)
     assert kept.columns == hard.columns and kept.count() == len({normal(r[1]) for r in HARD})

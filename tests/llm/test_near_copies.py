@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from hard_rows import HARD
-from locusloom.llm import embedding_dedup, simhash
+from locusloom.llm import common, embedding_dedup, simhash
 from locusloom.llm.components import components
 
 
@@ -71,7 +71,18 @@ def test_simhash_of_hard_rows(hard):
     kept = simhash.drop_near_copies(hard)
     assert kept.columns == hard.columns
     # 1 and 5 are equal, 2 to 4 and a nameless row have no words, 7 comes twice with one identifier.
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in (1, 2, 6, 7, 7, 8, 9, 10, None))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in (1, 2, 6, 7, 8, 9, 10, None))
+
+
+def test_one_row_of_each_group_stays_whatever_its_identifiers(spark, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    near = lambda k: " ".join([*words, f"end{k}"])
+    rows = [(5, near(1)), (5, near(2)), (5, near(1)), (7, near(3)), (None, near(4)), (5, "quite another text"), (None, "nameless"), (None, "nameless")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__n", F.lit(1))
+    for most in (1000, 0):  # broadcast, and joined
+        monkeypatch.setattr(common, "MOST_SENT", most)
+        got = sorted((str(r.doc_id), r.text[:8]) for r in simhash.drop_near_copies(df).collect())
+        assert got == [("5", "quite an"), ("5", "w0 w1 w2"), ("None", "nameless")]
 
 
 def test_fingerprint_equals_spark_hash(spark):
