@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.em import barcode_mixture
 from ..model import barcode_in_name, copies_in_name, five_prime
+from ..sources.tables import write_tsv
 from ..storage import drop_saved, saved
 
 _PLACE = ["chrom", "strand", "pos5"]
@@ -138,3 +139,14 @@ def collapse_em(tags: DataFrame, threshold: float, error_model: str = "alignment
     one = collapse_barcodes(tags, keep_max_score=keep_max_score, **options).withColumn("pos5", five_prime())
     out = one.join(kept, [*_PLACE, "barcode"]).withColumn("score", F.round("reliability", 2))
     return out.select(*dict.fromkeys([*tags.columns, "barcode", "observed", "n", "reliability", "error"]))
+
+
+def mixture_diagnostics(tags: DataFrame, error: float | None = None, weight: bool = False, weight_in_name: bool = False) -> DataFrame:
+    """Of every place with several barcodes: how many (``k``), reads (``N``) and error rate (``e``)."""
+    fitted = fit_barcodes(barcode_counts(tags, weight, weight_in_name), error)
+    return fitted.where("k > 1").groupBy(*_PLACE).agg(F.max("k").alias("k"), F.max("total").alias("N"), F.max("error").alias("e"))
+
+
+def write_diagnostics(diagnostics: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``k``, ``N`` and ``e`` of each place as tab-separated lines."""
+    write_tsv(diagnostics.select("k", "N", "e"), path, mode=mode)

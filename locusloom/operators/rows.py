@@ -89,14 +89,19 @@ _CHOICES = {
 }
 
 
-def unique_rows(df: DataFrame, key: str, value: str, criterion: str = "random", order: Sequence[str] = (), seed: int = 1, na: str = "NA") -> DataFrame:
+def unique_rows(df: DataFrame, key: str, value: str, criterion: str = "random", order: Sequence[str] = (), seed: int = 1, na: str = "NA", extra: bool = True, by_key: bool = False) -> DataFrame:
     """One row for each key.
 
     ``max_num`` and the like choose a row by the value; ties go to the first in
     ``order``.  ``random`` chooses by a hash of the row.  ``sum``, ``mean`` and ``count``
     put that number in place of the value in the first row.  ``rowsum`` and ``rowmean``
-    aggregate every other column, skipping ``na``; a mean of nothing is null.
+    aggregate every other column, skipping ``na``; a mean of nothing is null.  Without
+    ``extra`` only key and value are returned; ``by_key`` sorts the rows by key.
     """
+    if not extra or by_key:
+        out = unique_rows(df, key, value, criterion, order, seed, na)
+        out = out if extra else out.select(*dict.fromkeys([key, value]))
+        return out.orderBy(key) if by_key else out
     ties = [F.col(c) for c in (order or df.columns)]
     group = Window.partitionBy(key)
     if criterion in ("rowsum", "rowmean"):

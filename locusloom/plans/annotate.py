@@ -115,3 +115,43 @@ def annotate(intervals: DataFrame, analyses: dict[str, DataFrame], rid: str = "n
         new = [c for c in df.columns if c not in out.columns]
         out = out.join(df.select(rid, *new), rid, "left")
     return out
+
+
+#: Headings of the text report.
+_TITLE, _RULE = "Summary of {} annotation", "-" * 30
+_COLUMNS, _ADJUSTED = ("Region", "No.", "%"), "Percentage of intervals in each region (adjusted):"
+_ADJUSTED_ORDER = ("CDS exon", "5' UTR exon", "Upstream 10K", "3' UTR exon", "Downstream 10K", "Intron", "Deep intergenic")
+
+
+def overlap_counts(annotated: DataFrame, column: str, label: str) -> DataFrame:
+    """How many intervals a column annotates, and how many it does not: ``region n percent``."""
+    sums = annotated.agg(F.count(F.lit(1)).alias("_all"), F.count(column).alias("_some"))
+    rows = [F.struct(F.lit(text).alias("region"), n.alias("n"), F.coalesce(F.try_divide(n * 100.0, "_all"), F.lit(0.0)).alias("percent")) for text, n in ((label, F.col("_some")), ("Other", F.col("_all") - F.col("_some")))]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def report_section(analysis: str, counts: DataFrame) -> DataFrame:
+    """The text section of one analysis, as ``nth`` and ``value``.
+
+    ``counts`` is a table by :func:`overlap_counts` or :func:`region_summary`, a few rows;
+    where it has adjusted percentages, a second table of them follows.
+    """
+    one = lambda c: F.format_string("%.1f", c)
+    spark = counts.sparkSession
+    head = [(0, ""), (1, ""), (2, _TITLE.format(analysis)), (3, _RULE), (4, ""), (5, "\t".join(_COLUMNS))]
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # a dozen rows
+    body = counts.select((place + 5).cast("long").alias("nth"), F.concat_ws("\t", "region", F.col("n").cast("string"), one("percent")).alias("value"))
+    out = spark.createDataFrame(head, "nth long, value string").union(body)
+    if "adjusted" in counts.columns:
+        more = [(100, ""), (101, _ADJUSTED), (102, "\t".join(("Region", "%")))]
+        rank = F.array_position(F.array(*[F.lit(r) for r in _ADJUSTED_ORDER]), F.col("region"))
+        shown = counts.where(rank > 0).select((rank + 102).cast("long").alias("nth"), F.concat_ws("\t", "region", one(F.coalesce("adjusted", F.lit(0.0)))).alias("value"))
+        out = out.union(spark.createDataFrame(more, "nth long, value string")).union(shown)
+    return out
+
+
+def write_report(sections: list[DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """Sections one after the other as one text file."""
+    numbered = [s.select(F.lit(i).alias("_section"), "nth", "value") for i, s in enumerate(sections)]
+    whole = reduce(DataFrame.unionByName, numbered).repartition(1).sortWithinPartitions("_section", "nth")  # a few dozen lines
+    whole.select("value").write.mode(mode).text(path)

@@ -224,6 +224,40 @@ def test_unique_rows_skip_missing(spark):
     assert sums == {"a": (4.0, 0.0), "b": (0.0, 2.0)} and means == {"a": (2.0, None), "b": (None, 2.0)}
 
 
+def test_unique_rows_options(spark):
+    df = spark.createDataFrame([("b", 1, "x"), ("a", 5, "y"), ("a", 7, "z")], "k string, v long, more string")
+    assert [tuple(r) for r in rows.unique_rows(df, "k", "v", "max_num", extra=False, by_key=True).collect()] == [("a", 7), ("b", 1)]
+    assert [r.more for r in rows.unique_rows(df, "k", "v", "max_num", by_key=True).collect()] == ["z", "x"]
+
+
+def test_mixture_diagnostics(spark, tmp_path):
+    df = spark.createDataFrame([("c", 0, 10, f"a{i}#{b}", 0.0, "+") for i, b in enumerate(["AC"] * 6 + ["AG"] * 2)] + [("c", 50, 60, "z#AC", 0.0, "+")], BED)
+    found = collapse.mixture_diagnostics(df)
+    want = em.barcode_mixture(["AC", "AG"], [6.0, 2.0])
+    assert [(r.chrom, r.k, r.N, r.e) for r in found.collect()] == [("c", 2, 8.0, want["error"])]
+    collapse.write_diagnostics(found, str(tmp_path / "d"))
+    assert spark.read.text(str(tmp_path / "d")).first().value.split("\t")[:2] == ["2", "8.0"]
+
+
+def test_other_sources_and_sinks(spark, tmp_path):
+    folder = tmp_path / "by"
+    folder.mkdir()
+    (folder / "chr1.bed").write_text("chr1\t0\t5\tx\t1\t+\n")
+    (folder / "chr2.bed").write_text("chr2\t3\t9\n")
+    found = bed.read_bed_by_chromosome(spark, str(folder)).orderBy("chrom").collect()
+    assert [(r.chrom, r.chromEnd, r.name, r.file_chrom) for r in found] == [("chr1", 5, "x", "chr1"), ("chr2", 9, "chr2:4-9", "chr2")]
+    (tmp_path / "map").write_text("t1\tg1\nt2\tg1\n")
+    assert sorted(map(tuple, tables.read_mapping(spark, str(tmp_path / "map"), "t", "g").collect())) == [("t1", "g1"), ("t2", "g1")]
+    (tmp_path / "len").write_text("chr1\t100\n")
+    assert [tuple(r) for r in tables.read_lengths(spark, str(tmp_path / "len")).collect()] == [("chr1", 100)]
+    (tmp_path / "ids").write_text("a more\n\n  b\n")
+    assert [r.name for r in tables.read_ids(spark, str(tmp_path / "ids")).collect()] == ["a", "b"]
+    (tmp_path / "fc").write_text("c1\t-1.5\n")
+    assert [tuple(r) for r in tables.read_expression(spark, str(tmp_path / "fc")).collect()] == [("c1", -1.5)]
+    tables.write_tsv(spark.createDataFrame([("a", 1)], "x string, y long"), str(tmp_path / "tsv"), header=True)
+    assert [tuple(r) for r in tables.read_tsv(spark, str(tmp_path / "tsv"), header=True).collect()] == [("a", "1")]
+
+
 def test_fdr_is_zero_where_not_simulated_and_monotone(spark):
     observed = fdr.site_histogram(spark.createDataFrame([(1, 1)] * 4 + [(2, 1)] * 2 + [(2, 2)], "k long, m long"))
     simulated = fdr.site_histogram(spark.createDataFrame([(1, 1)] * 4 + [(2, 1)], "k long, m long"))
@@ -302,3 +336,18 @@ def test_annotation_labels(spark):
     assert got == {"in": "CDS||5'UTR", "out": "deep_intergenic", "intron": "intron"}
     summary = {r.region: (r.n, r.adjusted) for r in annotate.region_summary(tags, sets).collect()}
     assert summary["Genic"] == (2, None) and summary["CDS exon"] == (1, 16.7) and summary["Deep intergenic"] == (1, 33.3)
+
+
+def test_report_text(spark, tmp_path):
+    tags = spark.createDataFrame([("c", 0, 10, "in", 0.0, "+"), ("c", 500, 510, "out", 0.0, "+")], BED)
+    gene_ = spark.createDataFrame([("c", 0, 20, "x", 0.0, "+")], BED)
+    found = annotate.annotate_best(tags, gene_)
+    repeat = annotate.report_section("rmsk", annotate.overlap_counts(found, "feature", "Intervals overlapping repeat masked region"))
+    far = spark.createDataFrame([("c", 900, 905, "x", 0.0, "+")], BED)
+    sets = {"genic": gene_, "exon": gene_, "5utr": far, "3utr": far, "cds": gene_, "upstream_10k": far, "downstream_10k": far}
+    region = annotate.report_section("region", annotate.region_summary(tags, sets))
+    annotate.write_report([repeat, region], str(tmp_path / "r"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert lines[:8] == ["", "", "Summary of rmsk annotation", "-" * 30, "", "Region\tNo.\t%", "Intervals overlapping repeat masked region\t1\t50.0", "Other\t1\t50.0"]
+    assert lines[8:16] == ["", "", "Summary of region annotation", "-" * 30, "", "Region\tNo.\t%", "Total\t2\t100.0", "Genic\t1\t50.0"]
+    assert lines[-10:] == ["", "Percentage of intervals in each region (adjusted):", "Region\t%", "CDS exon\t50.0", "5' UTR exon\t0.0", "Upstream 10K\t0.0", "3' UTR exon\t0.0", "Downstream 10K\t0.0", "Intron\t0.0", "Deep intergenic\t50.0"]
