@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved
+from .common import MOST_SENT, drop_saved, saved
 from .components import components
 
 #: Of each set of base directions a vector combines those in whose tail it lies furthest out,
@@ -24,7 +24,7 @@ WINDOW = 1.0
 #: Entries of one line that one task compares with each other; a fuller line is cut.
 CELL = 2048
 #: A line with more entries than this is crowded: dense groups on it become balls.
-CROWD = 64
+CROWD = 12
 #: Pairs at exactly the threshold that calibrate families and count.
 CALIBRATION = 1024
 MOST_FAMILIES = 24
@@ -108,19 +108,36 @@ def _plan(nodes: DataFrame, threshold: float, recall: float) -> dict[int, tuple[
     return {r["dim"]: (r["lines"], r["families"], r["least"]) for r in dims.mapInPandas(fit, "dim int, lines int, families int, least int").collect()}
 
 
-def _usable(vector: Column) -> Column:
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+def _units(vectors: DataFrame) -> DataFrame:
+    """``id`` and ``unit``: the vector over its length in double precision, null if it has none.
 
+    It is divided by its largest element first, so that squares cannot overflow; a row's
+    result depends on its own elements alone, so equal vectors have equal units.
+    """
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float64())
+        for batch in batches:
+            column = batch.column(1)
+            dims = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(column.offsets.to_numpy()))
+            flat, starts = column.values.to_numpy(zero_copy_only=False).astype(float), column.offsets.to_numpy()[:-1]
+            unit = np.empty(len(dims), object)
+            for dim in np.unique(dims[dims > 0]):
+                rows = np.flatnonzero(dims == dim)
+                v = flat[starts[rows][:, None] + np.arange(dim)]  # a null element is NaN here
+                most = np.abs(v).max(1)
+                good = np.isfinite(most) & (most > 0)
+                v = v[good] / most[good][:, None]
+                for row, own in zip(rows[good], v / np.sqrt((v * v).sum(1))[:, None], strict=True):
+                    unit[row] = own
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(unit, kind)], ["id", "unit"])
 
+    ident = vectors.schema["id"].dataType.simpleString()
+    return vectors.mapInArrow(scale, f"id {ident}, unit array<double>")
 
-def _scaled(vector: str) -> Column:
-    """The vector over its length, divided by its largest element first so that squares cannot overflow."""
-    flat = F.transform(vector, lambda x: x / F.array_max(F.transform(vector, F.abs)))
-    return F.transform(flat, lambda x: x / F.sqrt(F.aggregate(flat, F.lit(0.0), lambda s, y: s + y * y)))
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def _posts(nodes: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
@@ -147,40 +164,41 @@ def _posts(nodes: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame
 
 
 def _balls(nodes: DataFrame, posts: DataFrame, threshold: float) -> DataFrame | None:
-    """Dense groups: ``node``, ``ball`` and ``cosine`` to the ball's centre.
-
-    On every crowded line vectors are held against the line's least node; those linked to
-    one that is the least of all its own crowded lines form a group.  Its members within
-    half the threshold's angle of the group's mean direction are a ball: by the triangle
-    inequality all of them are linked with each other, whatever their number, so no pair
-    inside a ball is ever made.  Rounds go on with the other vectors while they gather at
-    least a twentieth of those on crowded lines.  None where no line is crowded.
+    """Dense groups: ``node``, ``ball``, ``cosine`` to the ball's centre, and ``centre``.
+
+    On every crowded line vectors are held against the line's least node, and each follows
+    the least of those it is linked to, which follows another in turn; those that end at one
+    node form a group.  Its members within half the threshold's angle of the group's mean
+    direction are a ball: by the triangle inequality all of them are linked with each other,
+    whatever their number, so no pair inside a ball is ever made.  Rounds go on with the
+    other vectors while crowded lines hold more pairs than there are posts, and a tenth
+    fewer each time.  None where no line is crowded.
     """
-    half, balls = math.cos(math.acos(threshold) / 2) + _ROOM, None
+    half, balls, most, before = math.cos(math.acos(threshold) / 2) + _ROOM, None, posts.count(), None
+    own, leads = nodes.select("node", "unit"), nodes.select(F.col("node").alias("lead"), F.col("unit").alias("lead_unit"))
     while True:
-        crowds = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where(F.col("n") > CROWD).drop("n"))
-        if crowds.isEmpty():
+        crowds = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where(F.col("n") > CROWD))
+        pairs = crowds.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+        if pairs <= most or before is not None and 10 * pairs > 9 * before:
             drop_saved(crowds)
             return balls
-        led = saved(posts.join(crowds, "key").select("node", "lead").distinct())
-        roots = led.groupBy("node").agg(F.min("lead").alias("lead")).where("node = lead").select("lead")
-        asked = led.where("node != lead").join(roots, "lead", "left_semi")
-        own, leads = nodes.select("node", "unit"), nodes.select(F.col("node").alias("lead"), F.col("unit").alias("lead_unit"))
+        before = pairs
+        asked = posts.join(crowds.select("key", "lead"), "key").where("node != lead").select("node", "lead").distinct()
         near = asked.join(own, "node").join(leads, "lead").where(_dot("unit", "lead_unit") >= threshold)
-        groups = near.groupBy("node").agg(F.min("lead").alias("lead"))
-        groups = saved(groups.union(groups.select(F.col("lead").alias("node"), "lead").distinct()))
+        follows = saved(near.groupBy("node").agg(F.min("lead").alias("lead")).where("lead < node"))
+        heads = follows.select(F.col("node").alias("lead"), F.col("lead").alias("next"))
+        groups = follows
+        for _ in range(3):
+            groups = groups.join(heads, "lead", "left").select("node", F.coalesce("next", "lead").alias("lead"))
+        groups = saved(groups.union(groups.select(F.col("lead").alias("node"), "lead").distinct()).groupBy("node").agg(F.min("lead").alias("lead")))
         units = groups.join(own, "node")
-        mean = units.groupBy("lead").agg(Summarizer.mean(array_to_vector("unit")).alias("m")).select("lead", vector_to_array("m").alias("m"))
-        centres = mean.select("lead", _scaled("m").alias("centre"))
+        mean = units.groupBy("lead").agg(Summarizer.mean(array_to_vector("unit")).alias("m")).select(F.col("lead").alias("id"), vector_to_array("m").alias("m"))
+        centres = _units(mean).select(F.col("id").alias("lead"), F.col("unit").alias("centre"))
         held = units.join(centres, "lead").withColumn("cosine", _dot("unit", "centre")).where(F.col("cosine") >= half)
         found = saved(held.select("node", (-1 - F.col("lead")).alias("ball"), "cosine", "centre"))
-        crowded, gathered = led.select("node").distinct().count(), found.count()
-        drop_saved(crowds)
-        drop_saved(led)
-        drop_saved(groups)
+        for table in (crowds, follows, groups):
+            drop_saved(table)
         balls = found if balls is None else balls.union(found)
-        if 20 * gathered < crowded:
-            return balls
         posts = posts.join(found, "node", "left_anti")
 
 
@@ -239,7 +257,7 @@ def _collisions(entries: DataFrame, plan: dict[int, tuple[int, int, int]]) -> Da
     return met.where("n >= least").select("a", "b")
 
 
-def embedding_links(nodes: DataFrame, threshold: float, recall: float = 0.997) -> tuple[DataFrame, DataFrame, DataFrame]:
+def embedding_links(nodes: DataFrame, threshold: float, recall: float = 0.997) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Links of distinct vectors, with dense groups as balls.
 
     ``nodes``: ``node`` (long, unique), ``unit`` (array<double> of length one), ``copies``.
@@ -251,9 +269,10 @@ def embedding_links(nodes: DataFrame, threshold: float, recall: float = 0.997) -
     :func:`_balls` stand for dense groups: against a ball the triangle inequality decides at
     once for all its members, or the members are verified one by one.
 
-    Returns ``members`` (``node``, ``entity``: a ball or the node itself), ``degrees``
-    (``node``, ``n``: copies of other vectors linked to it) and ``links`` (``a``, ``b``:
-    linked entities).
+    Returns ``members`` (``node``, ``entity``: a ball or the node itself), ``of_entity``
+    (``entity``, ``n``: copies that each of its members is linked to, in a ball its own
+    too), ``of_node`` (``node``, ``n``: copies linked to it besides) and ``links`` (``a``,
+    ``b``: linked entities).
     """
     plan = _plan(nodes, threshold, recall)
     posts = saved(_posts(nodes, plan))
@@ -281,21 +300,19 @@ def embedding_links(nodes: DataFrame, threshold: float, recall: float = 0.997) -
     some = (reach > 0) & ~every & (angle(apart) - reach <= limit)
     judged = saved(met.where(every | some).select("a", "b", "a_copies", "b_copies", every.alias("every")))
     sure = judged.where("every")
-    whole = sure.select(F.col("a").alias("entity"), F.col("b_copies").alias("n")).union(sure.select("b", "a_copies")).groupBy("entity").agg(F.sum("n").alias("n"))
-    degrees = members.select("node", "entity", "copies").join(whole, "entity").select("node", "n")
-    links = sure.select("a", "b")
+    of_entity = sure.select(F.col("a").alias("entity"), F.col("b_copies").alias("n")).union(sure.select("b", "a_copies"))
+    links, of_node = sure.select("a", "b"), nodes.select("node", F.lit(0).cast("long").alias("n")).limit(0)
     if balls is not None:
-        own = entities.where("entity < 0").select("entity", F.col("copies").alias("all"))
-        degrees = degrees.union(members.select("node", "entity", "copies").join(own, "entity").select("node", F.col("all") - F.col("copies")))
+        of_entity = of_entity.union(entities.where("entity < 0").select("entity", F.col("copies") - 1))
         left, right = (members.select(F.col("entity").alias(s), F.col("node").alias(f"{s}_node"), F.col("unit").alias(f"{s}_unit"), F.col("copies").alias(f"{s}_copies")) for s in "ab")
         single = judged.where("not every").select("a", "b").join(left, "a").join(right, "b").where(_dot("a_unit", "b_unit") >= threshold)
         ends = F.explode(F.array(F.struct(F.col("a_node").alias("node"), F.col("b_copies").alias("n")), F.struct(F.col("b_node").alias("node"), F.col("a_copies").alias("n")))).alias("end")
-        degrees = degrees.union(single.select(ends).select("end.node", "end.n"))
+        of_node = saved(single.select(ends).groupBy("end.node").agg(F.sum("end.n").alias("n")))
         links = links.union(single.select("a", "b").distinct())
-    degrees = saved(degrees.groupBy("node").agg(F.sum("n").alias("n")))
+    of_entity = saved(of_entity.groupBy("entity").agg(F.sum("n").alias("n")))
     links = saved(links)
     drop_saved(posts)
-    return members.select("node", "entity"), degrees, links
+    return members.select("node", "entity"), of_entity, of_node, links
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -314,20 +331,25 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "
     vectors are each judged by their own vector; a recall that cannot be reached raises;
     an empty table gives an empty result.
     """
-    vector = vectors[vector_col].cast("array<double>")
-    rows = vectors.select(vectors[id_col].alias("id"), vector.alias("v"))
-    rows = rows.withColumn("usable", _usable(F.col("v"))).withColumn("unit", F.when(F.col("usable"), _scaled("v"))).drop("v")
-    rows = saved(rows.withColumn("mix", F.xxhash64("unit")))
-    good = rows.where("usable")
+    rows = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
+    rows = saved(_units(rows).withColumn("mix", F.xxhash64("unit")))
+    good = rows.where("unit is not null")
     nodes = good.groupBy("mix", "unit").agg(F.min("id").alias("lowest"), F.count(F.lit(1)).alias("copies"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay
-    members, degrees, links = embedding_links(nodes.select("node", "unit", "copies"), threshold)
-    found = components(links)
-    placed = members.join(found, F.col("entity") == found["node"], "left").select(members["node"], F.coalesce("component", "entity").alias("component"))
-    named = nodes.select("node", "mix", "lowest", "copies").join(placed, "node").join(degrees, "node", "left")
+    members, of_entity, of_node, links = embedding_links(nodes.select("node", "unit", "copies"), threshold)
+    placed = saved(nodes.select("node", "mix", "lowest", "copies").join(members, "node"))
+    entities = placed.groupBy("entity").agg(F.min("lowest").alias("lowest")).join(of_entity, "entity", "left")
+    named = entities.join(components(links).withColumnRenamed("node", "entity"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
     lowest = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    named = saved(named.join(lowest, "component").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
-    of_node = nodes.select("mix", "unit", "node").join(named, "node").drop("node")
-    linked = good.select("id", "mix", "unit").join(of_node, ["mix", "unit"]).select("id", "n_links", "component_id")
-    alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    named = saved(named.join(lowest, "component").select("entity", F.coalesce("n", F.lit(0)).alias("n"), "component_id"))
+    # A ball's row is looked up by all its members, a node's own by itself alone.
+    balls = named.where("entity < 0")
+    balls = F.broadcast(balls) if balls.count() <= MOST_SENT else balls
+    judged = placed.where("entity < 0").join(balls, "entity").union(placed.where("entity >= 0").join(named.where("entity >= 0"), "entity"))
+    judged = judged.join(of_node.withColumnRenamed("n", "more"), "node", "left")
+    own = F.when(F.col("entity") < 0, 0).otherwise(F.col("copies") - 1)  # a ball's number holds those of its members
+    links_of = F.col("n") + F.coalesce("more", F.lit(0)) + own
+    of_row = nodes.select("mix", "unit", "node").join(judged.select("node", links_of.alias("n_links"), "component_id"), "node").drop("node")
+    linked = good.select("id", "mix", "unit").join(of_row, ["mix", "unit"]).select("id", "n_links", "component_id")
+    alone = rows.where("unit is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
