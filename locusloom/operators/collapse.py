@@ -119,7 +119,8 @@ def collapse_em(tags: DataFrame, threshold: float, error_model: str = "alignment
     """Collapse by 5' end and barcode, keeping barcodes that misreadings do not explain.
 
     ``error_model``: ``alignment``, ``em-global``, ``em-local`` or ``fix=x``.  A place
-    where no barcode reaches ``threshold`` keeps its best one with score 100.
+    where no barcode reaches ``threshold`` keeps its best one with score 100; of those alike
+    to the sixth place the smallest.
     """
     options = dict(weight=weight, weight_in_name=weight_in_name)
     if error_model == "alignment":
@@ -133,7 +134,7 @@ def collapse_em(tags: DataFrame, threshold: float, error_model: str = "alignment
     else:
         raise ValueError(f"unknown error model {error_model!r}")
     fitted = fit_barcodes(barcode_counts(tags, **options), error)
-    rank = Window.partitionBy(*_PLACE).orderBy(F.desc("reliability"), F.desc("n"), "barcode")
+    rank = Window.partitionBy(*_PLACE).orderBy(F.desc(F.round("reliability", 6)), F.desc(F.round("n", 6)), "barcode")
     best = fitted.withColumn("_nth", F.row_number().over(rank)).withColumn("reliability", F.when((F.col("_nth") == 1) & (F.col("reliability") < threshold), 100.0).otherwise(F.col("reliability")))
     kept = best.where(F.col("reliability") >= threshold).select(*_PLACE, "barcode", "n", "reliability", "error")
     one = collapse_barcodes(tags, keep_max_score=keep_max_score, **options).withColumn("pos5", five_prime())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draw import drawn_below
 from ..model import forward
 
 
@@ -52,7 +53,7 @@ def random_subinterval(df: DataFrame, size: int, seed: int = 1) -> DataFrame:
     Intervals shorter than ``size`` stay as they are.
     """
     length = F.col("chromEnd") - F.col("chromStart")
-    draw = F.pmod(F.xxhash64("chrom", "chromStart", "chromEnd", "name", F.lit(seed)), F.greatest(length - size, F.lit(1)))
+    draw = drawn_below(F.greatest(length - size, F.lit(1)), seed, *(F.col(c) for c in ("chrom", "chromStart", "chromEnd", "name")))
     start = F.when(length > size, F.col("chromStart") + draw).otherwise(F.col("chromStart"))
     return df.withColumn("_s", start).withColumn("chromEnd", F.when(length > size, F.col("_s") + size).otherwise(F.col("chromEnd"))).withColumn("chromStart", F.col("_s")).drop("_s")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draw import drawn_below
 from ..functions.seq import complement, reverse_complement
 from .overlap import overlap_join
 
@@ -89,18 +90,17 @@ def simulate_sites(tags: DataFrame, per_iteration: int, iterations: int = 1, see
     if not count:
         return rows.limit(0).withColumn("iteration", F.lit(0)).drop("_row")
     total = per_iteration * iterations
-    u = lambda salt: F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(salt)), 11) / F.lit(float(1 << 53))
-    draws = spark.range(total).select((F.col("id") / per_iteration).cast("int").alias("iteration"), F.floor(u("tag") * count).alias("_row"), u("place").alias("_u"), F.col("id").alias("site"))
+    draws = spark.range(total).select((F.col("id") / per_iteration).cast("int").alias("iteration"), drawn_below(F.lit(count), f"{seed}:tag", F.col("id")).alias("_row"), F.col("id").alias("site"))
     if offsets is None:
         placed = draws.join(rows, "_row")
         span = F.greatest(F.col("chromEnd") - F.col("chromStart") - 2, F.lit(1))
-        place = F.floor(F.col("_u") * span) + 1
+        place = drawn_below(span, f"{seed}:place", F.col("site")) + 1
     else:
         by_offset = offsets.groupBy("offset").agg(F.count(F.lit(1)).alias("_n"))
         share = Window.orderBy("offset")  # one row for each offset of a read
         cuts = by_offset.withColumn("_hi", F.sum("_n").over(share)).withColumn("_lo", F.col("_hi") - F.col("_n"))
         all_ = offsets.count()
-        picked = draws.withColumn("_p", F.floor(F.col("_u") * all_)).join(F.broadcast(cuts), (F.col("_p") >= F.col("_lo")) & (F.col("_p") < F.col("_hi")))
+        picked = draws.withColumn("_p", drawn_below(F.lit(all_), f"{seed}:place", F.col("site"))).join(F.broadcast(cuts), (F.col("_p") >= F.col("_lo")) & (F.col("_p") < F.col("_hi")))
         placed = picked.join(rows, "_row")
         place = F.col("offset")
     start = F.when(F.col("strand") == "+", F.col("chromStart") + place).otherwise(F.col("chromEnd") - 1 - place)

@@ -407,18 +407,77 @@ _add("annotate_region_summary", lambda v: annotate.region_summary(v["tags"], _se
         SELECT region, n::BIGINT AS n, round(n * 100.0 / (SELECT total FROM c), 1)::DOUBLE AS percent FROM (SELECT unnest(['Total', 'Genic', 'Exon', 'CDS exon', '5'' UTR exon', '3'' UTR exon', 'Intron', 'Upstream 10K', 'Downstream 10K', 'Genic+ext10K', 'Deep intergenic']) AS region,
         unnest([total, genic, exon, cds, u5, u3, genic - exon, up, down, ext, total - ext]) AS n FROM c)""")
 
-# --- Statistics: no SQL twin, tested against brute force ---
+# --- Statistics ---
 _rate = lambda v: v["tags"].sparkSession.createDataFrame([(round(K.alignment_error_rate(v["tags"]), 8),)], "rate double")
 _add("alignment_error_rate", _rate, "SELECT round(sum(score)::DOUBLE / sum(chromEnd - chromStart), 8)::DOUBLE AS rate FROM tags")
+# Mixtures iterate and valleys nest: no SQL, tested against brute force.
 _add("collapse_em", lambda v: K.collapse_em(v["tags"], 30, "em-local"), None)
 _add("em_global_error", lambda v: v["tags"].sparkSession.createDataFrame([(K.global_error_rate(v["tags"], least=3),)], "rate double"), None)
 _add("valley_peaks", lambda v: peaks.call_peaks(v["tags"], valley=True, depth=0.5), None)
-_add("scan_peaks", lambda v: peaks.call_peaks(v["tags"], v["regions"], p=0.05), None)
-_add("cims", lambda v: cims.mutation_sites(v["tags"], v["mutations"]), None)
-_add("cits", lambda v: cits.truncation_sites(v["tags"], v["mutations"], p=0.05), None)
-_add("simulate_sites", lambda v: U.simulate_sites(v["tags"], 1000, 2), None)
-_add("random_subinterval", lambda v: M.random_subinterval(v["regions"], 10), None)
-_add("exons_whole_codons", lambda v: G.exons(v["genes"], "coding", partial=True, whole_codons=True), None)
+
+
+def _drawn(count: str, seed: str, *parts: str) -> str:
+    return f"least(floor(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 15))::BIGINT::DOUBLE / pow(2, 60) * {count}), {count} - 1)::BIGINT"
+
+
+_add("random_subinterval", lambda v: M.random_subinterval(v["regions"], 10),
+     f"""SELECT chrom, chromStart + d AS chromStart, chromStart + d + 10 AS chromEnd, name, score, strand
+        FROM (SELECT *, {_drawn("(chromEnd - chromStart - 10)", "1", "chrom", "chromStart", "chromEnd", "name")} AS d FROM regions)""")
+
+
+def _simulated(total: str, per: str) -> str:
+    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY chrom, chromStart, chromEnd, strand, name) - 1 AS nth, count(*) OVER () AS c FROM tags),
+        ids AS (SELECT unnest(range(0, {total})) AS id), draws AS (SELECT id, id // {per} AS iteration, {_drawn("(SELECT count(*) FROM tags)", "1:tag", "id")} AS nth FROM ids),
+        placed AS (SELECT *, 1 + {_drawn("greatest(chromEnd - chromStart - 2, 1)", "1:place", "id")} AS place FROM draws JOIN numbered USING (nth)),
+        sim AS (SELECT iteration::INT AS iteration, chrom, greatest(CASE strand WHEN '+' THEN chromStart + place ELSE chromEnd - 1 - place END, 0) AS chromStart, concat('s', id) AS name, 0.0::DOUBLE AS score, strand FROM placed)"""
+
+
+_add("simulate_sites", lambda v: U.simulate_sites(v["tags"], 1000, 2),
+     f", {_simulated('2000', '1000')} SELECT iteration, chrom, chromStart, chromStart + 1 AS chromEnd, name, score, strand FROM sim")
+_add("cims", lambda v: cims.mutation_sites(v["tags"], v["mutations"]).select("chrom", "chromStart", "chromEnd", "name", "score", "strand", "k", "m", _r("fdr"), "sites_ge"),
+     f""", {_SITES.format('')}, {_HIST}, {_simulated("(SELECT 5 * count(*) FROM mutations)", "(SELECT count(*) FROM mutations)")},
+        s3 AS (SELECT iteration, chrom, chromStart, strand, count(*) AS m FROM sim GROUP BY ALL), spots AS (SELECT DISTINCT chrom, chromStart, strand FROM s3),
+        deep AS (SELECT p.chrom, p.chromStart, p.strand, count(t.name) AS k FROM spots p LEFT JOIN tags t ON t.chrom = p.chrom AND t.strand = p.strand AND t.chromStart <= p.chromStart AND p.chromStart < t.chromEnd GROUP BY ALL),
+        q AS (SELECT k, m, count(*) AS n FROM s3 JOIN deep USING (chrom, chromStart, strand) GROUP BY ALL), qc AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY m DESC) AS c FROM q),
+        f AS (SELECT hc.*, CASE WHEN c IS NULL THEN 0 ELSE least(1.0, c / 5.0 / sites_ge) END AS raw FROM hc LEFT JOIN qc USING (k, m)),
+        fm AS (SELECT k, m, sites_ge, round(max(raw) OVER (PARTITION BY m ORDER BY k ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS fdr FROM f)
+        SELECT chrom, chromStart, chromEnd, concat(chrom, ':', chromStart, strand) AS name, m::DOUBLE AS score, strand, k, m, fdr, sites_ge FROM k JOIN fm USING (k, m)""")
+
+
+def _scan_sql(p: float, prefix: str) -> str:
+    """Coverage steps of ``aligned`` above what the genes in ``areas`` have by chance: Naus' approximation."""
+    pm, cd = (lambda n: f"(CASE WHEN {n} >= 0 THEN pm[({n} + 1)::INT] ELSE 0 END)"), (lambda n: f"(CASE WHEN {n} >= 0 THEN cd[({n} + 1)::INT] ELSE 0 END)")
+    steps = _coverage_sql("chrom, strand", "1").replace("FROM tags", "FROM aligned")
+    meet = "{a}.chrom = {b}.chrom AND {a}.strand = {b}.strand AND {a}.chromStart < {b}.chromEnd AND {b}.chromStart < {a}.chromEnd"
+    return f"""{steps}, size AS (SELECT avg(chromEnd - chromStart) AS read FROM aligned),
+        bg AS (SELECT a.name AS gene, a.chromEnd - a.chromStart AS size, count(t.chrom) / (a.chromEnd - a.chromStart) * (SELECT read FROM size) AS mean FROM areas a JOIN aligned t ON {meet.format(a="a", b="t")} GROUP BY a.name, a.chromStart, a.chromEnd),
+        hit AS (SELECT c.*, a.name AS gene, bg.size, bg.mean FROM cov c JOIN areas a ON {meet.format(a="a", b="c")} JOIN bg ON bg.gene = a.name WHERE c.score >= 2 AND c.score > bg.mean),
+        d AS (SELECT DISTINCT score, size, mean, score::INT AS h, size / (SELECT read FROM size) AS windows FROM hit),
+        d1 AS (SELECT *, list_transform(range(0, 2 * h + 1), lambda i: exp(i * ln(mean) - mean - lgamma(i + 1))) AS pm FROM d),
+        d2 AS (SELECT *, list_transform(range(0, 2 * h + 1), lambda i: least(list_sum(pm[1:(i + 1)::INT]), 1.0)) AS cd FROM d1),
+        d3 AS (SELECT *, pow({cd("(h - 1)")}, 2) - (h - 1) * {pm("h")} * {pm("(h - 2)")} - (h - 1 - mean) * {pm("h")} * {cd("(h - 3)")} AS q2,
+          2 * {pm("h")} * {cd("(h - 1)")} * ((h - 1) * {cd("(h - 2)")} - mean * {cd("(h - 3)")}) AS a1,
+          0.5 * pow({pm("h")}, 2) * ((h - 1) * (h - 2) * {cd("(h - 3)")} - 2 * (h - 2) * mean * {cd("(h - 4)")} + pow(mean, 2) * {cd("(h - 5)")}) AS a2,
+          coalesce(list_sum(list_transform(range(1, h), lambda r: {pm("(2 * h - r)")} * pow({cd("(r - 1)")}, 2))), 0) AS a3,
+          coalesce(list_sum(list_transform(range(2, h), lambda r: {pm("(2 * h - r)")} * {pm("r")} * ((r - 1) * {cd("(r - 2)")} - mean * {cd("(r - 3)")}))), 0) AS a4 FROM d2),
+        d4 AS (SELECT *, pow({cd("(h - 1)")}, 3) - a1 + a2 + a3 - a4 AS q3 FROM d3),
+        d5 AS (SELECT score, size, mean, CASE WHEN q2 <= 0 OR q3 <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - exp(ln(q2) + (windows - 2) * (ln(q3) - ln(q2))))) END AS p FROM d4)
+        SELECT hit.chrom, hit.strand, hit.chromStart, hit.chromEnd, hit.score::DOUBLE AS score, gene, round(CASE WHEN p = 0 THEN 1e-100 ELSE p END, 8)::DOUBLE AS p,
+          concat('{prefix}_', row_number() OVER (ORDER BY hit.chrom, hit.chromStart, hit.chromEnd, hit.strand, gene)) AS name FROM hit JOIN d5 USING (score, size, mean) WHERE p <= {p}"""
+
+
+_called = lambda df: df.select("chrom", "strand", "chromStart", "chromEnd", "score", "gene", _r("p", 8), "name")
+_add("scan_peaks", lambda v: _called(peaks.call_peaks(v["tags"], v["regions"], p=0.9)), f", aligned AS (SELECT * FROM tags), areas AS (SELECT * FROM regions), {_scan_sql(0.9, 'Peak')}")
+_add("cits", lambda v: _called(cits.truncation_sites(v["tags"], v["mutations"], p=0.05)),
+     f""", {_islands('chrom, strand', '<= -1')}, grouped AS (SELECT chrom, strand, min(chromStart) AS chromStart, max(chromEnd) AS chromEnd, count(*) AS n,
+          concat(chrom, CASE strand WHEN '+' THEN '_f_c' ELSE '_r_c' END, row_number() OVER (PARTITION BY chrom, strand ORDER BY min(chromStart), max(chromEnd), island) - 1) AS name FROM y GROUP BY chrom, strand, island),
+        areas AS (SELECT * FROM grouped WHERE n > 2),
+        aligned AS (SELECT chrom, strand, CASE strand WHEN '+' THEN chromStart - 1 ELSE chromEnd END AS chromStart, CASE strand WHEN '+' THEN chromStart ELSE chromEnd + 1 END AS chromEnd FROM tags WHERE name NOT IN (SELECT name FROM mutations)),
+        {_scan_sql(0.05, 'CITS')}""")
+_add("exons_whole_codons", lambda v: _exon(G.exons(v["genes"], "coding", partial=True, whole_codons=True)),
+     f""", {_EXON}, c AS (SELECT *, greatest(least(e, thickEnd) - greatest(s, thickStart), 0) AS own FROM e), f AS (SELECT *, sum(own) OVER (PARTITION BY name ORDER BY i) - own AS done, sum(own) OVER (PARTITION BY name) AS total FROM c),
+        t AS (SELECT *, greatest(s + greatest(thickStart - s, 0) + (3 - done % 3) % 3, thickStart) AS s2, least(e - greatest(e - thickEnd, 0) - (done + own) % 3, thickEnd) AS e2 FROM f WHERE total % 3 = 0 AND own > 0)
+        SELECT concat(name, '_', {_STRANDED.format(2)}) AS name, chrom, s2::BIGINT AS chromStart, e2::BIGINT AS chromEnd, strand FROM t WHERE e2 > s2 + 1""")
 
 
 def _two_counts(v: dict[str, DataFrame]) -> DataFrame:
@@ -426,7 +485,12 @@ def _two_counts(v: dict[str, DataFrame]) -> DataFrame:
     return first.join(O.region_counts(v["regions"], v["tags"].where("score >= 20")).select("name", F.col("n").alias("n2")), "name")
 
 
-_add("diff_binomial", lambda v: differential(_two_counts(v)), None)
+_add("diff_binomial", lambda v: differential(_two_counts(v)).select("name", "n1", "n2", _r("p", 8), _r("log2fc_counts")),
+     f""", b AS (SELECT r.name, count(t.name) FILTER (t.score < 20) AS n1, count(t.name) FILTER (t.score >= 20) AS n2 FROM regions r LEFT JOIN tags t ON {_ON} GROUP BY r.name),
+        r0 AS (SELECT *, sum(n1) OVER () / sum(n2) OVER () AS r, n1 + n2 AS t FROM b),
+        l AS (SELECT *, list_transform(range(0, t + 1), lambda i: lgamma(t + 1) - lgamma(i + 1) - lgamma(t - i + 1) + i * ln(r / (r + 1)) + (t - i) * ln(1 - r / (r + 1))) AS pm FROM r0)
+        SELECT name, n1, n2, round(CASE WHEN t = 0 THEN 1.0 ELSE greatest(least(list_sum(list_transform(list_filter(pm, lambda x: x <= pm[n1 + 1] + ln(1 + 1e-7)), lambda x: exp(x))), 1.0), 1e-100) END, 8)::DOUBLE AS p,
+          round(log2((CASE n1 WHEN 0 THEN 1e-7 ELSE n1 END) / (CASE n2 WHEN 0 THEN 1e-7 ELSE n2 END) / r), 6)::DOUBLE AS log2fc_counts FROM l""")
 
 
 def _sam(v: dict[str, DataFrame]) -> DataFrame:
