@@ -18,7 +18,9 @@ from .components import components
 
 #: Of each set of base directions a vector combines those in whose tail it lies furthest out,
 #: and of the combined lines of a family it keeps those in whose tail it lies furthest out.
-BASES, TAIL = 4, 8
+BASES, TAIL = 6, 8
+#: Dimensions of the space of lines at least.
+LEAST_DIM = 32
 #: Half-width of the window around a vector's own projected value.
 WINDOW = 1.0
 #: Entries of one line that one task compares with each other; a fuller line is cut.
@@ -31,10 +33,14 @@ MOST_FAMILIES = 24
 #: Cosines are compared to angles with this much room for rounding.
 _ROOM = 1e-9
 _BLOCK = 1 << 17
+#: Rounds in which balls are made; each leaves a tenth fewer pairs, so fewer are needed.
+_MOST_ROUNDS = 1024
 
 
 def directions(dim: int, lines: int, family: int, side: int) -> np.ndarray:
-    return np.random.Generator(np.random.Philox(key=[7919, 2 * family + side])).standard_normal((dim, lines))
+    """Base directions of length one, a row for each."""
+    drawn = np.random.Generator(np.random.Philox(key=[7919, 2 * family + side])).standard_normal((lines, dim))
+    return drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
 
 
 def line_count(vectors: int) -> int:
@@ -48,22 +54,28 @@ def line_count(vectors: int) -> int:
 def tails(units: np.ndarray, lines: int, family: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``TAIL`` lines of a family in whose tail each vector lies furthest out, and its values.
 
-    A line is the sum of one signed direction of a first set and one of a second, so that
-    ``lines`` directions in each make (2 * lines)^2 projections, and those with the largest
-    values are found from the largest in each set.  Shapes: vectors x TAIL.
+    A line runs along the sum of one signed direction of a first set and one of a second, so
+    that ``lines`` directions in each make (2 * lines)^2 lines; a vector's are chosen from
+    the sums of its ``BASES`` outermost directions in each set.  Values are projections on
+    the line, of deviation one for random vectors.  Shorter vectors lie in a space of
+    ``LEAST_DIM`` dimensions, where their tails stay wide however many the lines.  Shapes:
+    vectors x TAIL.
     """
-    sides = [directions(units.shape[1], lines, family, side) for side in (0, 1)]
+    units = np.pad(units, ((0, 0), (0, max(0, LEAST_DIM - units.shape[1]))))
+    dim = units.shape[1]
+    sides = [directions(dim, lines, family, side) for side in (0, 1)]
     where, value = np.empty((len(units), TAIL), np.int64), np.empty((len(units), TAIL), np.float32)
-    step = max(16, (1 << 22) // lines)
+    step = max(16, (1 << 22) // max(lines, BASES * dim))
     for at in range(0, len(units), step):
         part, found = units[at : at + step], []
         for base in sides:
-            v = part @ base
+            v = part @ base.T
             out = np.argpartition(-np.abs(v), BASES, axis=1)[:, :BASES]
             v = np.take_along_axis(v, out, 1)
-            found.append((2 * out + (v < 0), np.abs(v)))
-        (i, vi), (j, vj) = found
-        total = ((vi[:, :, None] + vj[:, None, :]) / math.sqrt(2)).reshape(len(part), -1)
+            found.append((2 * out + (v < 0), np.abs(v), base[out] * np.sign(v)[:, :, None]))
+        (i, vi, a), (j, vj, b) = found
+        size = np.sqrt(np.maximum(2 + 2 * np.einsum("nid,njd->nij", a, b), 1e-12) / dim)
+        total = ((vi[:, :, None] + vj[:, None, :]) / size).reshape(len(part), -1)
         line = (i[:, :, None].astype(np.int64) * (2 * lines) + j[:, None, :]).reshape(len(part), -1)
         top = np.argpartition(-total, TAIL, axis=1)[:, :TAIL]
         where[at : at + step], value[at : at + step] = np.take_along_axis(line, top, 1), np.take_along_axis(total, top, 1)
@@ -174,12 +186,12 @@ def _balls(nodes: DataFrame, posts: DataFrame, threshold: float) -> DataFrame |
     other vectors while crowded lines hold more pairs than there are posts, and a tenth
     fewer each time.  None where no line is crowded.
     """
-    half, balls, most, before = math.cos(math.acos(threshold) / 2) + _ROOM, None, posts.count(), None
+    half, balls, most, before, rounds = math.cos(math.acos(threshold) / 2) + _ROOM, None, posts.count(), None, 0
     own, leads = nodes.select("node", "unit"), nodes.select(F.col("node").alias("lead"), F.col("unit").alias("lead_unit"))
     while True:
         crowds = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where(F.col("n") > CROWD))
         pairs = crowds.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
-        if pairs <= most or before is not None and 10 * pairs > 9 * before:
+        if pairs <= most or before is not None and 10 * pairs > 9 * before or rounds == _MOST_ROUNDS:
             drop_saved(crowds)
             return balls
         before = pairs
@@ -195,7 +207,9 @@ def _balls(nodes: DataFrame, posts: DataFrame, threshold: float) -> DataFrame |
         mean = units.groupBy("lead").agg(Summarizer.mean(array_to_vector("unit")).alias("m")).select(F.col("lead").alias("id"), vector_to_array("m").alias("m"))
         centres = _units(mean).select(F.col("id").alias("lead"), F.col("unit").alias("centre"))
         held = units.join(centres, "lead").withColumn("cosine", _dot("unit", "centre")).where(F.col("cosine") >= half)
-        found = saved(held.select("node", (-1 - F.col("lead")).alias("ball"), "cosine", "centre"))
+        # A lead that stays outside its own ball may lead another one later.
+        found = saved(held.select("node", (-1 - F.col("lead") * _MOST_ROUNDS - rounds).alias("ball"), "cosine", "centre"))
+        rounds += 1
         for table in (crowds, follows, groups):
             drop_saved(table)
         balls = found if balls is None else balls.union(found)
