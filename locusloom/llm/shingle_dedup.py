@@ -7,18 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, keep_one, row_order, saved
+from .common import MOST_SENT, drop_saved, keep_one, row_order, saved
 from .components import components
 from .simhash import _LOWER, SEED
 
-#: Pairs at Jaccard 0.8 share a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
-BANDS, ROWS = 20, 5
+#: Pairs at Jaccard 0.8 share a band with probability 1 - (1 - 0.8**4)**16 = 0.9998.
+BANDS, ROWS = 16, 4
 #: Shingles that are hashed at once, which bounds a task's memory for any text.
-CHUNK = 1 << 14
+CHUNK = 1 << 10
+#: Texts whose sets a task holds at once.
+SET_ROWS = 256
 #: Buckets with more pairs than this, all together, are first thinned by their leaders.
 MANY_PAIRS = 2_000_000
 
@@ -42,72 +45,85 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), CHUNK):
-        part = shingles[at : at + CHUNK]
-        for i in range(len(least)):
-            least[i] = min(least[i], (part * _FACTORS[i] + _SHIFTS[i]).min())
+        part = shingles[at : at + CHUNK, None]
+        np.minimum(least, (part * _FACTORS + _SHIFTS).min(0), out=least)
+    # The band's number is the seed, so one key names band and bits.
     bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in bands], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(bits.tobytes(), band) for band, bits in enumerate(bands)], np.uint64).view(np.int64)
 
 
 def _marks(text: Column, width: int) -> Column:
-    @F.pandas_udf("node string, bands array<long>")
+    """``node`` (digest of the text's set), ``n`` (its size) and ``bands``; sets are not kept."""
+
+    def mark(text: str | None) -> tuple[bytes, int, np.ndarray]:
+        found = shingle_set(text, width)
+        return hashlib.md5(found.tobytes()).digest(), len(found), band_keys(found)
+
+    @F.pandas_udf("node binary, n int, bands array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            sets = [shingle_set(t, width) for t in batch]
-            nodes = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
-            yield pd.DataFrame({"node": nodes, "bands": [band_keys(s) for s in sets]})
+            yield pd.DataFrame([mark(t) for t in batch], columns=["node", "n", "bands"])
 
     return of(text)
 
 
-def _sets(text: Column, width: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([shingle_set(t, width).view(np.int64) for t in batch])
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``node`` and ``set`` (hashes as signed numbers), few texts at a time."""
 
-    return of(text)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SET_ROWS):
+                part = batch.slice(at, SET_ROWS)
+                sets = [shingle_set(t, width).view(np.int64) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(sets))], ["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(make, "node binary, set array<long>")
+
+
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets of these sizes can reach the similarity at all."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose sets have at least this Jaccard similarity."""
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("of_b"))
-    # Sizes alone rule out most chance pairs; no set is wider than its smaller one over the similarity.
-    small, large = F.least(F.size("of_a"), F.size("of_b")), F.greatest(F.size("of_a"), F.size("of_b"))
-    sized = pairs.join(a, "a").join(b, "b").where(small >= similarity * large - 1e-9)
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return sized.where(both >= similarity * (F.size("of_a") + F.size("of_b") - both) - 1e-9).select("a", "b")
+    met = pairs.join(a, "a").join(b, "b")
+    return met.where(both >= similarity * (F.size("of_a") + F.size("of_b") - both) - 1e-9).select("a", "b")
 
 
 def shingle_links(sides: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Pairs of nodes that share a band and reach the similarity, as far as components need them.
 
-    ``sides`` has ``node``, ``band`` and ``bits``; ``sets`` has ``node`` and ``set``.  While
-    buckets hold more than ``MANY_PAIRS`` pairs in all, every node is held against the least
-    node of each of its buckets only, and nodes that are near copies of a leader, which is
-    the least in all its own buckets, link to it and leave; so a large group of near copies
-    costs one pair a member.  When leaders take away less than a twentieth, what is left is
-    compared pair by pair.
+    ``sides`` has ``node``, ``n`` (its set's size) and ``bits`` (a band's key); ``sets`` has
+    ``node`` and ``set``.  While buckets hold more than ``MANY_PAIRS`` pairs in all, every
+    node is held against the least node of each of its buckets only, and nodes that are near
+    copies of a leader, which is the least in all its own buckets, link to it and leave; so
+    a large group of near copies costs one pair a member.  When leaders take away less than
+    a twentieth, what is left is compared pair by pair.
     """
     links = None
     while True:
-        sizes = sides.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
-        sides = saved(sides.join(sizes, ["band", "bits"]))
-        row = sides.agg(F.sum(F.col("n") - 1) / 2, F.countDistinct("node")).first()
+        lead = F.min(F.struct("node", "n"))
+        sizes = sides.groupBy("bits").agg(F.count(F.lit(1)).alias("many"), lead.alias("lead")).where("many > 1")
+        sides = saved(sides.join(sizes, "bits"))
+        row = sides.agg(F.sum(F.col("many") - 1) / 2, F.countDistinct("node")).first()
         many, nodes = row[0] or 0, row[1]
         if many <= MANY_PAIRS:
             break
-        led = sides.groupBy("node").agg(F.max("lead").alias("most")).where("node = most").select(F.col("node").alias("lead"))
-        pairs = sides.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        near = saved(_verified(pairs.join(led, pairs["a"] == led["lead"], "left_semi"), sets, similarity))
+        led = sides.groupBy("node").agg(F.max("lead.node").alias("most")).where("node = most").select(F.col("node").alias("lead_node"))
+        pairs = sides.where((F.col("node") != F.col("lead.node")) & _alike("n", "lead.n", similarity)).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+        near = saved(_verified(pairs.join(led, pairs["a"] == led["lead_node"], "left_semi"), sets, similarity))
         gone = near.select(F.col("b").alias("node")).distinct()
         taken = gone.count()
         links = near if links is None else links.union(near)
-        sides = sides.join(gone, "node", "left_anti").select("node", "band", "bits")
+        sides = sides.join(gone, "node", "left_anti").select("node", "n", "bits")
         if 20 * taken < nodes:
             break
-    a, b = sides.select(F.col("node").alias("a"), "band", "bits"), sides.select(F.col("node").alias("b"), "band", "bits")
-    pairs = a.join(b, ["band", "bits"]).where("a < b").select("a", "b").distinct()
+    a, b = sides.select(F.col("node").alias("a"), F.col("n").alias("a_n"), "bits"), sides.select(F.col("node").alias("b"), F.col("n").alias("b_n"), "bits")
+    pairs = a.join(b, "bits").where((F.col("a") < F.col("b")) & _alike("a_n", "b_n", similarity)).select("a", "b").distinct()
     near = _verified(pairs, sets, similarity)
     return near if links is None else links.union(near)
 
@@ -126,15 +142,17 @@ def drop_shingle_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8
     text any one stays; an empty table gives an empty result.
     """
     same = F.xxhash64(docs[text_col])
-    marks = saved(docs.select(docs[id_col].alias("id"), same.alias("same"), _marks(docs[text_col], width).alias("m")).select("id", "same", "m.node", "m.bands").where("size(bands) > 0"))
-    nodes = saved(marks.groupBy("node").agg(F.min(row_order()).alias("lowest"), F.first("bands").alias("bands")))
-    sides = nodes.select("node", F.posexplode("bands").alias("band", "bits"))
-    shared = sides.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sides = saved(sides.join(shared, ["band", "bits"]).select("node", "band", "bits"))
+    marks = saved(docs.select(docs[id_col].alias("id"), same.alias("same"), _marks(docs[text_col], width).alias("m")).select("id", "same", "m.node", "m.n", "m.bands").where("n > 0"))
+    nodes = saved(marks.groupBy("node").agg(F.min(row_order()).alias("lowest"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    sides = nodes.select("node", "n", F.explode("bands").alias("bits"))
+    shared = sides.groupBy("bits").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    sides = saved(sides.join(shared, "bits").select("node", "n", "bits"))
     wanted = sides.select("node").distinct().join(nodes, "node").select("node", F.col("lowest.id").alias("__id"), F.col("lowest.same").alias("__same"))
+    wanted = saved(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["__id"]) & (F.xxhash64("text") == wanted["__same"]))
-    sets = saved(found.select("node", "text").dropDuplicates(["node"]).select("node", _sets(F.col("text"), width).alias("set")))
+    sets = saved(_sets(found.select("node", "text").dropDuplicates(["node"]), width))
     groups = components(shingle_links(sides, sets, similarity))
     lowest = nodes.join(groups, "node", "left").select("node", "lowest", F.coalesce("component", "node").alias("component"))
     kept = lowest.groupBy("component").agg(F.min("lowest").alias("kept"))
