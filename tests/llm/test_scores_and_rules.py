@@ -136,12 +136,13 @@ def test_grammar_reads_clauses():
     assert matches(None) == matches("") == {}
 
 
-def brute_matches(text, stems=()):
+def brute_places(text, stems=()):
     """Every clause of a text through the four layers one after the other, uncomposed."""
-    layers, found = toxicity.layers(), Counter()
-    for clause in re.split(r"[.!?;:,\n]+", (text or "").lower()):
+    layers = toxicity.layers()
+    for clause in re.finditer(r"[^.!?;:,\n]+", (text or "").lower()):
         states = ["start"] * len(layers)
-        for word in re.findall(r"[^\W\d_]+(?:n't)?|[\"“”„«»]", clause):
+        for token in re.finditer(r"[^\W\d_]+(?:n't)?|[\"“”„«»]", clause.group()):
+            word = token.group()
             symbol = "quote" if word in set("\"“”„«»") else toxicity._CLASSES.get(word, "other")
             stem = symbol == "other" and any(word.startswith(x) for x in stems)
             out = "insult" if stem else symbol
@@ -149,16 +150,16 @@ def brute_matches(text, stems=()):
                 states[i], out = layer.step.get((states[i], out), (layer.start, out))
             name = {"insult": "insult", "insult_at_target": "insult_at_target", "threatened": "threat", "denied": "denied", "reported": "reported"}.get(out)
             if name:
-                found["stem" if stem and name.startswith("insult") else name] += 1
-    return found
+                yield "stem" if stem and name.startswith("insult") else name, clause.start() + token.start()
+
+
+def brute_matches(text, stems=()):
+    return Counter(name for name, _ in brute_places(text, stems))
 
 
 def brute_score(text, model):
-    found, places = brute_matches(text, model.stems), []
-    low = (text or "").lower()
-    for m in re.finditer(r"[^\W\d_]+(?:n't)?", low):
-        places += [m.start()] if any(m.group().startswith(x) for x in model.stems) and m.group() not in toxicity._CLASSES else []
-    assert len(places) >= found["stem"]
+    matched = list(brute_places(text, model.stems))
+    found, places = Counter(name for name, _ in matched), [at for name, at in matched if name == "stem"]
     z, size = model.bias, max(1, len(text or ""))
     rate = max(toxicity.RARE_LANGUAGE * model.chance, toxicity.LEAST_CHANCE)
     for name, weight in zip(toxicity.PRIOR, model.weights, strict=True):
@@ -166,12 +167,11 @@ def brute_score(text, model):
             n = found[name] + (found["insult_at_target"] if name == "insult" else 0)
             z += weight * math.log(1 + 9 * n)
     best = 0.0
-    if len(places) == found["stem"]:  # none denied or reported
-        for stretch in toxicity.STRETCHES:
-            w = min(stretch, size)
-            n = max((sum(a <= b < a + w for b in places) for a in places), default=0)
-            if n > rate * w:
-                best = max(best, n * math.log(n / (rate * w)) - n + rate * w - math.log(size / w))
+    for stretch in toxicity.STRETCHES:
+        w = min(stretch, size)
+        n = max((sum(a <= b < a + w for b in places) for a in places), default=0)
+        if n > rate * w:
+            best = max(best, n * math.log(n / (rate * w)) - n + rate * w - math.log(size / w))
     z += list(model.weights)[-1] * math.log(1 + best)
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
