@@ -19,9 +19,18 @@ from locusloom.llm.simhash import drop_near_copies
 from locusloom.llm.toxicity import drop_toxic
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Rows and bytes that Spark hands to a Python worker at once: with texts of any length these
+#: bound the memory of workers and of the buffers towards them.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def _bounded(spark: SparkSession) -> None:
+    for name, value in ARROW.items():
+        spark.conf.set(name, value)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -31,8 +40,10 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fingerprints within 3 bits are close to exact copies; at a Jaccard similarity of 0.8
-    some 10 of 64 bits differ, so the rest is found by shared five-word shingles."""
-    return drop_shingle_copies(saved(drop_near_copies(docs)), width=5, similarity=0.8)
+    some 10 of 64 bits differ, so the rest is found by shared five-word shingles.  What the
+    first leaves out is a join away, so texts are not written in between."""
+    _bounded(spark)
+    return drop_shingle_copies(drop_near_copies(docs), width=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     return pack_documents(docs, public_tokenizers.path(VOCABULARY), with_ids=False)
 
 
