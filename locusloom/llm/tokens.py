@@ -25,7 +25,7 @@ MOST_VOCABULARY_BYTES = 64 << 20
 FREQUENT = 50_000
 PILOT_DOCS = 2_000
 #: Pre-tokens that a worker keeps; beyond it the worker starts again from the table.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 100_000
 
 # Letters of the scripts that most texts keep to; their pattern is the fastest.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
