@@ -22,8 +22,8 @@ BANDS, ROWS = 16, 4
 CHUNK = 1 << 10
 #: Texts whose sets a task holds at once.
 SET_ROWS = 256
-#: Buckets with more pairs than this, all together, are first thinned by their leaders.
-MANY_PAIRS = 2_000_000
+#: Buckets of more nodes than this have a leader.
+CROWD = 8
 
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,37 +95,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def shingle_links(sides: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Pairs of nodes that share a band and reach the similarity, as far as components need them.
+    """Links of nodes that share a band and reach the similarity, as far as components need them.
 
     ``sides`` has ``node``, ``n`` (its set's size) and ``bits`` (a band's key); ``sets`` has
-    ``node`` and ``set``.  While buckets hold more than ``MANY_PAIRS`` pairs in all, every
-    node is held against the least node of each of its buckets only, and nodes that are near
-    copies of a leader, which is the least in all its own buckets, link to it and leave; so
-    a large group of near copies costs one pair a member.  When leaders take away less than
-    a twentieth, what is left is compared pair by pair.
+    ``node`` and ``set``.  In buckets of more than ``CROWD`` nodes every node is first held
+    against the least one; those alike link to it and follow the least such leader.  Nodes
+    of one leader are connected already, so afterwards only pairs of different leaders are
+    compared, and only in buckets that hold some: a large group of near copies costs a few
+    pairs a member, and no link between others is left out.
     """
-    links = None
-    while True:
-        lead = F.min(F.struct("node", "n"))
-        sizes = sides.groupBy("bits").agg(F.count(F.lit(1)).alias("many"), lead.alias("lead")).where("many > 1")
-        sides = saved(sides.join(sizes, "bits"))
-        row = sides.agg(F.sum(F.col("many") - 1) / 2, F.countDistinct("node")).first()
-        many, nodes = row[0] or 0, row[1]
-        if many <= MANY_PAIRS:
-            break
-        led = sides.groupBy("node").agg(F.max("lead.node").alias("most")).where("node = most").select(F.col("node").alias("lead_node"))
-        pairs = sides.where((F.col("node") != F.col("lead.node")) & _alike("n", "lead.n", similarity)).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-        near = saved(_verified(pairs.join(led, pairs["a"] == led["lead_node"], "left_semi"), sets, similarity))
-        gone = near.select(F.col("b").alias("node")).distinct()
-        taken = gone.count()
-        links = near if links is None else links.union(near)
-        sides = sides.join(gone, "node", "left_anti").select("node", "n", "bits")
-        if 20 * taken < nodes:
-            break
-    a, b = sides.select(F.col("node").alias("a"), F.col("n").alias("a_n"), "bits"), sides.select(F.col("node").alias("b"), F.col("n").alias("b_n"), "bits")
-    pairs = a.join(b, "bits").where((F.col("a") < F.col("b")) & _alike("a_n", "b_n", similarity)).select("a", "b").distinct()
-    near = _verified(pairs, sets, similarity)
-    return near if links is None else links.union(near)
+    sizes = sides.groupBy("bits").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("node", "n")).alias("lead")).where("many > 1")
+    sides = saved(sides.join(sizes, "bits"))
+    asked = sides.where((F.col("many") > CROWD) & (F.col("node") != F.col("lead.node")) & _alike("n", "lead.n", similarity))
+    near = saved(_verified(asked.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity))
+    follows = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
+    led = sides.join(follows, "node", "left").select("node", "n", "bits", F.coalesce("leader", "node").alias("leader"))
+    mixed = led.groupBy("bits").agg(F.min("leader").alias("first"), F.max("leader").alias("last")).where("first != last").select("bits")
+    led = saved(led.join(mixed, "bits"))
+    a, b = (led.select(*[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "leader")], "bits") for side in "ab")
+    other = (F.col("a_node") < F.col("b_node")) & (F.col("a_leader") != F.col("b_leader")) & _alike("a_n", "b_n", similarity)
+    pairs = a.join(b, "bits").where(other).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    return near.union(_verified(pairs, sets, similarity))
 
 
 def drop_shingle_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,6 +45,6 @@ def test_leaders_give_the_same_groups(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id string, text string")
     want = sorted(str(r.doc_id) for r in shingle_dedup.drop_shingle_copies(docs).collect())
     assert want == ["None", "d00", "e1", "e2", "f1"]
-    monkeypatch.setattr(shingle_dedup, "MANY_PAIRS", 1)
+    monkeypatch.setattr(shingle_dedup, "CROWD", 1)
     assert sorted(str(r.doc_id) for r in shingle_dedup.drop_shingle_copies(docs).collect()) == want
     assert shingle_dedup.drop_shingle_copies(docs.limit(0)).count() == 0
