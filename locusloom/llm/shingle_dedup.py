@@ -99,8 +99,8 @@ def shingle_links(sides: DataFrame, sets: DataFrame, similarity: float = 0.8) ->
 
     ``sides`` has ``node``, ``n`` (its set's size) and ``bits`` (a band's key); ``sets`` has
     ``node`` and ``set``.  In buckets of more than ``CROWD`` nodes every node is first held
-    against the least one; those alike link to it and follow the least such leader.  Nodes
-    of one leader are connected already, so afterwards only pairs of different leaders are
+    against the least one; those alike link to it, and what these links connect follows one
+    leader.  Nodes of one leader are connected already, so afterwards only pairs of different leaders are
     compared, and only in buckets that hold some: a large group of near copies costs a few
     pairs a member, and no link between others is left out.
     """
@@ -108,7 +108,7 @@ def shingle_links(sides: DataFrame, sets: DataFrame, similarity: float = 0.8) ->
     sides = saved(sides.join(sizes, "bits"))
     asked = sides.where((F.col("many") > CROWD) & (F.col("node") != F.col("lead.node")) & _alike("n", "lead.n", similarity))
     near = saved(_verified(asked.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity))
-    follows = near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
+    follows = components(near).withColumnRenamed("component", "leader")
     led = sides.join(follows, "node", "left").select("node", "n", "bits", F.coalesce("leader", "node").alias("leader"))
     mixed = led.groupBy("bits").agg(F.min("leader").alias("first"), F.max("leader").alias("last")).where("first != last").select("bits")
     led = saved(led.join(mixed, "bits"))
