@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, mixing, packing, quality, sharding, simhash, tokens, toxicity, url_filter
+from . import conversations, embedding_dedup, exact_dedup, mixing, packing, quality, sharding, simhash, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +129,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, _vocabulary(), limit=512)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = F.concat(F.coalesce(turns["conv_id"].cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(turns["turn"].cast("string"), F.lit(" ")))
+    found = conversations.repair_conversations(conversations.damage(turns, F.crc32(F.encode(name, "UTF-8")))).digests()
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(found[c], F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    texts = [F.coalesce(found["audit"], F.lit("")).alias("audit"), F.coalesce(found["repaired_sha256"], F.sha2(F.lit(""), 256)).alias("repaired_sha256")]
+    return every.join(found, every["conv_id"].eqNullSafe(found["conv_id"]), "left").select(every["conv_id"], *counts, *texts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -141,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
