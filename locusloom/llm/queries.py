@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, embedding_dedup, exact_dedup, mixing, packing, quality, sharding, simhash, tokens, toxicity, url_filter
+from . import conversations, embedding_dedup, exact_dedup, mixing, packing, quality, sharding, simhash, tokens, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,6 +139,40 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, every["conv_id"].eqNullSafe(found["conv_id"]), "left").select(every["conv_id"], *counts, *texts)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    summed = vector_codes.with_totals(found.rows, F.col("row.label"), F.col("error"), "label_error")
+    return summed.select("row.vec_id", code.alias("code"), "error", "label_error", F.lit(found.sha256()).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    """Rounds written out, every distance computed."""
+    text = """
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p, list_transform(v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)], lambda c: c::DOUBLE) AS v FROM k, range(4) r(p)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 256),
+b0 AS MATERIALIZED (SELECT p, e, v FROM x JOIN f USING (vec_id)),"""
+    for i in range(5):
+        text += f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, x.p, arg_min(e, (list_inner_product(b.v, b.v) - 2 * list_inner_product(x.v, b.v), e)) AS e,
+         (min(list_inner_product(x.v, x.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(x.v, b.v)))::BIGINT AS d
+  FROM x JOIN b{i} b ON x.p = b.p GROUP BY vec_id, x.p),"""
+        if i < 4:
+            text += f"""
+m{i} AS (SELECT p, e, i, floor(sum(c) / count(*)) AS c FROM (SELECT a.p, a.e, unnest(range(len(v))) AS i, unnest(v) AS c FROM a{i} a JOIN x USING (vec_id, p)) GROUP BY p, e, i),
+n{i} AS (SELECT p, e, list(c ORDER BY i) AS v FROM m{i} GROUP BY p, e),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{i} b LEFT JOIN n{i} n ON b.p = n.p AND b.e = n.e),"""
+    return text + """
+s AS (SELECT sha256(string_agg(list_aggregate(list_transform(v, lambda c: c::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY p, e)) AS books FROM b4),
+c AS (SELECT vec_id, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, books AS codebooks_sha256
+FROM c JOIN k USING (vec_id), s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -152,8 +186,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op5_source_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op5_source_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op12_vector_codes": _op12_sql()}
