@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, embedding_dedup, exact_dedup, mixing, packing, quality, sharding, simhash, tokens, toxicity, url_filter, vector_codes
+from . import conversations, embedding_dedup, exact_dedup, language_id, mixing, packing, quality, sharding, simhash, tokens, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -173,6 +173,11 @@ FROM c JOIN k USING (vec_id), s
 """
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.name_languages(docs, language_id.learn_languages(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -187,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": op10_token_counts,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_vector_codes": op12_vector_codes,
+        "op13_language_id": op13_language_id,
     }
 
 
