@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draw import drawn_below
 from ..functions.seq import complement, reverse_complement
-from .overlap import overlap_join
+from .ranks import overlap_counts
 
 _KINDS = {"del": "-", "ins": "+", "sub": ">"}
 
@@ -110,9 +110,5 @@ def simulate_sites(tags: DataFrame, per_iteration: int, iterations: int = 1, see
 
 def depth_at(sites: DataFrame, tags: DataFrame) -> DataFrame:
     """``k``: tags of the strand that cover each site, spliced ones by their blocks."""
-    need = [c for c in ("chrom", "chromStart", "chromEnd", "strand", "blockSizes", "blockStarts") if c in tags.columns]
-    place = sites.select("chrom", "chromStart", "chromEnd", "strand").distinct()
-    pairs = overlap_join(tags.select(*need), place, stranded=True)
-    spot = ["chrom", "chromStart", "chromEnd", "strand"]
-    counts = pairs.groupBy(*[F.col(f"region_{c}").alias(c) for c in spot]).agg(F.count(F.lit(1)).alias("k"))
-    return sites.join(counts, spot, "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    counts = overlap_counts(sites, tags, stranded=True).withColumnRenamed("n", "k")
+    return sites.join(counts, ["chrom", "chromStart", "chromEnd", "strand"], "left").withColumn("k", F.coalesce("k", F.lit(0)))

@@ -138,7 +138,8 @@ def region_counts(regions: DataFrame, tags: DataFrame, region_key: list[str] | N
     """For every region, the tags that overlap it: ``n``, ``total`` and ``mean`` score.
 
     Regions without tags have n = 0, total = 0 and mean = 0.  A tag counts once for a
-    region however many of its blocks lie in it.
+    region however many of its blocks lie in it.  Where only n is wanted,
+    :func:`~.ranks.region_numbers` makes no pairs.
     """
     key = region_key or ["chrom", "chromStart", "chromEnd", "name", "strand"]
     pairs = overlap_join(tags, regions.select(*key), **options)
@@ -150,14 +151,6 @@ def region_counts(regions: DataFrame, tags: DataFrame, region_key: list[str] | N
     return out.withColumn("mean", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)))
 
 
-def region_rpkm(regions: DataFrame, tags: DataFrame, **options) -> DataFrame:
-    """Counts per kilobase of region and million tags, as ``rpkm``."""
-    total = tags.agg(F.count(F.lit(1)).alias("_tags"))
-    counted = region_counts(regions, tags, **options).crossJoin(F.broadcast(total))  # one row
-    size = F.col("chromEnd") - F.col("chromStart")
-    return counted.withColumn("rpkm", F.coalesce(F.try_divide(F.col("n") * 1e9, F.col("_tags") * size), F.lit(0.0))).drop("_tags")
-
-
 def region_peaks(regions: DataFrame, signal: DataFrame, stranded: bool = False, no_match: float = -1e10, region_key: list[str] | None = None) -> DataFrame:
     """The highest signal segment inside each region, and its extent at half height.
 

@@ -21,6 +21,7 @@ from ..operators import genes as G
 from ..operators import geometry as M
 from ..operators import mutations as U
 from ..operators import overlap as O
+from ..operators import ranks as N
 from ..operators import reads as S
 from ..operators import rows as T
 from ..operators.differential import differential
@@ -145,11 +146,11 @@ _add("overlap_extended", lambda v: O.overlap_join(v["tags"], v["regions"], ext5=
         JOIN regions r ON t.chrom = r.chrom AND t.s < r.chromEnd AND r.chromStart < t.e""")
 _add("overlap_semi", lambda v: O.overlap_filter(v["tags"], v["regions"], key=["name"]).select("name"), f"SELECT name FROM tags t WHERE EXISTS (SELECT 1 FROM regions r WHERE {_ON})")
 _add("overlap_anti", lambda v: O.overlap_filter(v["tags"], v["regions"], keep=False, key=["name"]).select("name"), f"SELECT name FROM tags t WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE {_ON})")
-_add("region_count", lambda v: O.region_counts(v["regions"], v["tags"]).select("name", "n"), f"SELECT r.name, count(t.name) AS n FROM regions r LEFT JOIN tags t ON {_ON} GROUP BY r.name")
+_add("region_count", lambda v: N.region_numbers(v["regions"], v["tags"]).select("name", "n"), f"SELECT r.name, count(t.name) AS n FROM regions r LEFT JOIN tags t ON {_ON} GROUP BY r.name")
 _add("region_count_weighted", lambda v: O.region_counts(v["regions"], v["tags"]).select("name", _r("total", 2)), f"SELECT r.name, round(coalesce(sum(t.score), 0), 2)::DOUBLE AS total FROM regions r LEFT JOIN tags t ON {_ON} GROUP BY r.name")
 _add("region_mean_score", lambda v: O.region_counts(v["regions"], v["tags"], stranded=True).select("name", _r("mean", 4)),
      f"SELECT r.name, round(coalesce(avg(t.score), 0), 4)::DOUBLE AS mean FROM regions r LEFT JOIN tags t ON {_ON} AND t.strand = r.strand GROUP BY r.name")
-_add("region_rpkm", lambda v: O.region_rpkm(v["regions"], v["tags"]).select("name", _r("rpkm", 4)),
+_add("region_rpkm", lambda v: N.region_rpkm(v["regions"], v["tags"]).select("name", _r("rpkm", 4)),
      f"SELECT r.name, round(count(t.name) * 1e9 / ((SELECT count(*) FROM tags) * (r.chromEnd - r.chromStart)), 4) AS rpkm FROM regions r LEFT JOIN tags t ON {_ON} GROUP BY r.name, r.chromStart, r.chromEnd")
 _PEAK = "SELECT r.name, s.chromStart AS s, s.chromEnd AS e, s.score, max(s.score) OVER (PARTITION BY r.name) AS top FROM regions r JOIN tags s ON s.chrom = r.chrom AND s.chromStart < r.chromEnd AND r.chromStart < s.chromEnd"
 _add("region_peak_signal", lambda v: O.region_peaks(v["regions"], v["tags"]).select("name", "peakScore", "peakStart", "peakEnd", "halfPeakStart", "halfPeakEnd"),
