@@ -1,4 +1,4 @@
-"""Near copies by shared word shingles: min-hash bands, exact Jaccard check, components."""
+"""Near copies by shared word shingles: min-hash bands, sketches, exact Jaccard check, components."""
 
 from __future__ import annotations
 
@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 
 from .common import MOST_SENT, drop_saved, keep_one, row_order, saved
 from .components import components
-from .simhash import _LOWER, SEED
-
-#: Pairs at Jaccard 0.8 share a band with probability 1 - (1 - 0.8**4)**16 = 0.9998.
-BANDS, ROWS = 16, 4
+from .simhash import _LOWER, SEED, fingerprint, fingerprint_links
+
+#: Pairs at Jaccard 0.8 share a band with probability 1 - (1 - 0.8**7)**32 = 0.9995, those at
+#: 0.4 with 0.05.
+BANDS, ROWS = 32, 7
+#: A sketch has four bits of every min-hash, sixteen to a number.
+SKETCH = BANDS * ROWS // 16
+#: Deviations below the expected agreement at which a sketch still passes (chance to lose a
+#: pair at the similarity: 0.0003).
+SLACK = 3.4
 #: Shingles that are hashed at once, which bounds a task's memory for any text.
-CHUNK = 1 << 10
+CHUNK = 1 << 8
 #: Texts whose sets a task holds at once.
 SET_ROWS = 256
 #: Buckets of more nodes than this have a leader.
@@ -39,34 +45,58 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(total)), np.uint64, total))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One signed 64-bit key for each band of a set's min-hashes; none for an empty set."""
-    if not len(shingles):
-        return np.empty(0, np.int64)
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each of ``BANDS * ROWS`` hashes over a set; the greatest number if empty."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), CHUNK):
-        part = shingles[at : at + CHUNK, None]
-        np.minimum(least, (part * _FACTORS + _SHIFTS).min(0), out=least)
+        np.minimum(least, (shingles[at : at + CHUNK, None] * _FACTORS + _SHIFTS).min(0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One signed 64-bit key for each band of min-hashes."""
     # The band's number is the seed, so one key names band and bits.
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(bits.tobytes(), band) for band, bits in enumerate(bands)], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(bits.tobytes(), band) for band, bits in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """The last four bits of every min-hash, sixteen to a signed 64-bit number."""
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
+    return ((least & np.uint64(15)).reshape(SKETCH, 16) << shifts).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def _marks(text: Column, width: int) -> Column:
-    """``node`` (digest of the text's set), ``n`` (its size) and ``bands``; sets are not kept."""
+    """``node`` (digest of the text's set), ``n`` (its size), ``bands`` and ``sketch``; sets are not kept."""
 
-    def mark(text: str | None) -> tuple[bytes, int, np.ndarray]:
+    def mark(text: str | None) -> tuple:
         found = shingle_set(text, width)
-        return hashlib.md5(found.tobytes()).digest(), len(found), band_keys(found)
+        least = min_hashes(found)
+        return hashlib.md5(found.tobytes()).digest(), len(found), band_keys(least), sketch(least)
 
-    @F.pandas_udf("node binary, n int, bands array<long>")
+    @F.pandas_udf("node binary, n int, bands array<long>, sketch array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame([mark(t) for t in batch], columns=["node", "n", "bands"])
+            yield pd.DataFrame([mark(t) for t in batch], columns=["node", "n", "bands", "sketch"])
 
     return of(text)
 
 
+def _sketches_agree(a: str, b: str, similarity: float) -> Column:
+    """Whether two sketches agree as often as all but a few of sets at the similarity do.
+
+    Unlike min-hashes agree in four bits once in 16 times.  Columns and bit operations only.
+    """
+    total, chance = BANDS * ROWS, similarity + (1 - similarity) / 16
+    most = int(total * (1 - chance) + SLACK * (total * chance * (1 - chance)) ** 0.5)
+    low = F.lit(0x1111111111111111)
+    differ = F.lit(0)
+    for i in range(SKETCH):
+        bits = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        differ = differ + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(low))
+    return differ <= most
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
     """``node`` and ``set`` (hashes as signed numbers), few texts at a time."""
 
@@ -97,56 +127,77 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def shingle_links(sides: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Links of nodes that share a band and reach the similarity, as far as components need them.
 
-    ``sides`` has ``node``, ``n`` (its set's size) and ``bits`` (a band's key); ``sets`` has
-    ``node`` and ``set``.  In buckets of more than ``CROWD`` nodes every node is first held
-    against the least one; those alike link to it, and what these links connect follows one
-    leader.  Nodes of one leader are connected already, so afterwards only pairs of different leaders are
-    compared, and only in buckets that hold some: a large group of near copies costs a few
-    pairs a member, and no link between others is left out.
+    ``sides`` has ``node``, ``n`` (its set's size), ``bands``, ``sketch`` and ``bits`` (the key
+    of one of its bands) with ``many``, the nodes that have it; ``sets`` has ``node`` and ``set``.  In buckets of more than ``CROWD``
+    nodes every node is first held against the one whose buckets are fullest, as the centre of
+    a group of copies is; those alike link to it.  Afterwards only pairs that these links do
+    not connect are compared, in the first band they share, and only those whose sketches
+    agree: all that is decided inside the join, so a group costs rows for its members and for
+    pairs near the similarity, not for its pairs, and no link between others is left out.
     """
-    sizes = sides.groupBy("bits").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("node", "n")).alias("lead")).where("many > 1")
-    sides = saved(sides.join(sizes, "bits"))
-    asked = sides.where((F.col("many") > CROWD) & (F.col("node") != F.col("lead.node")) & _alike("n", "lead.n", similarity))
+    crowds = sides.groupBy("node").agg(F.sum("many").alias("around"))
+    led = saved(sides.where(F.col("many") > CROWD).select("bits", "node", "n", "sketch").join(crowds, "node"))
+    leads = led.groupBy("bits").agg(F.max(F.struct("around", "node", "n", "sketch")).alias("lead"))
+    asked = led.join(leads, "bits").where((F.col("node") != F.col("lead.node")) & _alike("n", "lead.n", similarity))
+    asked = asked.select("*", F.col("lead.sketch").alias("lead_sketch")).where(_sketches_agree("sketch", "lead_sketch", similarity))
     near = saved(_verified(asked.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity))
     follows = components(near).withColumnRenamed("component", "leader")
-    led = sides.join(follows, "node", "left").select("node", "n", "bits", F.coalesce("leader", "node").alias("leader"))
-    mixed = led.groupBy("bits").agg(F.min("leader").alias("first"), F.max("leader").alias("last")).where("first != last").select("bits")
-    led = saved(led.join(mixed, "bits"))
-    a, b = (led.select(*[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "leader")], "bits") for side in "ab")
+    all_led = saved(sides.join(follows, "node", "left").select("node", "n", "bits", "bands", "sketch", F.coalesce("leader", "node").alias("leader")))
+    mixed = all_led.groupBy("bits").agg(F.min("leader").alias("first"), F.max("leader").alias("last")).where("first != last").select("bits")
+    rest = saved(all_led.join(mixed, "bits"))
+    drop_saved(all_led)
+    a, b = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "leader", "bands", "sketch")], "bits") for side in "ab")
     other = (F.col("a_node") < F.col("b_node")) & (F.col("a_leader") != F.col("b_leader")) & _alike("a_n", "b_n", similarity)
-    pairs = a.join(b, "bits").where(other).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    return near.union(_verified(pairs, sets, similarity))
+    once = F.col("bits") == F.array_intersect("a_bands", "b_bands")[0]
+    pairs = a.join(b, "bits").where(other & _sketches_agree("a_sketch", "b_sketch", similarity) & once).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return saved(near.union(_verified(pairs, sets, similarity)))
 
 
-def drop_shingle_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_shingle_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group whose word-shingle sets are alike, with the columns it came with.
 
-    Method: every text gives the set of its lower-case ``width``-word shingles and
-    ``BANDS`` band keys of its min-hashes.  Texts with one set are one node.  Nodes that
-    share a band are compared by the exact Jaccard similarity of their sets (of 64-bit
-    hashes), those that reach ``similarity`` are linked, and of each component the row with
-    the smallest identifier stays.  Texts travel only for nodes that share a band.
-
-    Edge cases: texts without words are left as they are; a text shorter than a shingle is
-    one shingle; a null identifier comes after all others; of rows alike in identifier and
-    text any one stays; an empty table gives an empty result.
+    Method: every text gives the set of its lower-case ``width``-word shingles, and of its
+    min-hashes ``BANDS`` band keys and a sketch.  Texts with one set are one node.  Nodes that
+    share a band, and whose sketches agree, are compared by the exact Jaccard similarity of
+    their sets (of 64-bit hashes), those that reach ``similarity`` are linked, and of each
+    component the row with the smallest identifier stays.  Texts travel only for nodes that
+    share a band.  With ``distance``, texts whose fingerprints (see :mod:`.simhash`) differ in
+    so many bits or fewer are linked as well, in the same graph.
+
+    Edge cases: texts without words are left as they are, unless ``distance`` links them to
+    each other; a text shorter than a shingle is one shingle; a null identifier comes after
+    all others; of rows alike in identifier and text any one stays; an empty table gives an
+    empty result.
     """
     same = F.xxhash64(docs[text_col])
-    marks = saved(docs.select(docs[id_col].alias("id"), same.alias("same"), _marks(docs[text_col], width).alias("m")).select("id", "same", "m.node", "m.n", "m.bands").where("n > 0"))
-    nodes = saved(marks.groupBy("node").agg(F.min(row_order()).alias("lowest"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    sides = nodes.select("node", "n", F.explode("bands").alias("bits"))
-    shared = sides.groupBy("bits").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    sides = saved(sides.join(shared, "bits").select("node", "n", "bits"))
+    text = docs[text_col]
+    row = [docs[id_col].alias("id"), same.alias("same"), _marks(text, width).alias("m"), (F.lit(0).cast("long") if distance is None else fingerprint(text)).alias("print")]
+    marks = saved(docs.select(*row).select("id", "same", "m.*", "print").where(F.lit(distance is not None) | (F.col("n") > 0)))
+    nodes = saved(marks.where("n > 0").groupBy("node").agg(F.min(row_order()).alias("lowest"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("print").alias("rep"), F.max("print").alias("last")))
+    keys = nodes.select("node", F.explode("bands").alias("bits"))
+    shared = keys.groupBy("bits").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    sides = saved(keys.join(shared, "bits").join(nodes.select("node", "n", "bands", "sketch"), "node"))
     wanted = sides.select("node").distinct().join(nodes, "node").select("node", F.col("lowest.id").alias("__id"), F.col("lowest.same").alias("__same"))
     wanted = saved(wanted)
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["__id"]) & (F.xxhash64("text") == wanted["__same"]))
     sets = saved(_sets(found.select("node", "text").dropDuplicates(["node"]), width))
-    groups = components(shingle_links(sides, sets, similarity))
-    lowest = nodes.join(groups, "node", "left").select("node", "lowest", F.coalesce("component", "node").alias("component"))
-    kept = lowest.groupBy("component").agg(F.min("lowest").alias("kept"))
-    kept = lowest.join(kept, "component").select("node", "kept")
-    out = keep_one(docs, marks.join(kept, "node").select("id", "same", "kept"), id_col, text_col)
-    drop_saved(marks)
+    links = shingle_links(sides, sets, similarity)
+    if distance is None:
+        vertex, of = "node", links
+    else:
+        # Prints are the vertices: a node stands at its least print, its other prints link to that.
+        at = nodes.select("node", "rep")
+        a, b = (at.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_at")) for c in "ab")
+        several = marks.join(nodes.where("rep != last").select("node", "rep"), "node").select("print", "rep").distinct()
+        vertex, of = "print", links.join(a, "a").join(b, "b").select("a_at", "b_at").union(several).union(fingerprint_links(marks.select("print").distinct(), distance))
+    groups = components(of)
+    lowest = marks.groupBy(F.col(vertex).alias("vertex")).agg(F.min(row_order()).alias("lowest"))
+    named = lowest.join(groups, lowest["vertex"] == groups["node"], "left").select("vertex", "lowest", F.coalesce("component", "vertex").alias("component"))
+    kept = named.groupBy("component").agg(F.min("lowest").alias("kept"))
+    kept = named.join(kept, "component").select("vertex", "kept")
+    out = keep_one(docs, marks.join(kept, marks[vertex] == kept["vertex"]).select("id", "same", "kept"), id_col, text_col)
+    for table in (marks, nodes, sides, sets):
+        drop_saved(table)
     return out
