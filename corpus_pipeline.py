@@ -15,7 +15,6 @@ from locusloom.llm.exact_dedup import drop_copies
 from locusloom.llm.mixing import mixed
 from locusloom.llm.packing import pack_documents
 from locusloom.llm.shingle_dedup import drop_shingle_copies
-from locusloom.llm.simhash import drop_near_copies
 from locusloom.llm.toxicity import drop_toxic
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -40,10 +39,10 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fingerprints within 3 bits are close to exact copies; at a Jaccard similarity of 0.8
-    some 10 of 64 bits differ, so the rest is found by shared five-word shingles.  What the
-    first leaves out is a join away, so texts are not written in between."""
+    some 10 of 64 bits differ, so the rest is found by shared five-word shingles.  Both kinds
+    of links are one graph, whose groups keep one document each."""
     _bounded(spark)
-    return drop_shingle_copies(drop_near_copies(docs), width=5, similarity=0.8)
+    return drop_shingle_copies(docs, width=5, similarity=0.8, distance=3)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
