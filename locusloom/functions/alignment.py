@@ -1,135 +1,127 @@
-"""One alignment line to a spliced interval and its mutations."""
+"""CIGAR and MD strings as columns, merged by read position, and the details of novoalign lines.
+
+Everything here but the novoalign helper is built-in functions: operations and MD tokens
+become arrays with running positions, each made once, and mutations are looked up between
+them.  Work grows with operations times mutations of a read, which are few in short reads.
+"""
 
 from __future__ import annotations
 
 import re
 
-_OP = re.compile(r"(\d+)([MIDNSHP=X])")
-_OTHER = re.compile(r"[=XP]|M\d+M")
-_MD = re.compile(r"(\d+)|\^([A-Za-z]+)|([A-Za-z])")
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+_LONG = "bigint"
+_MUTATION = "struct<chromStart:bigint,chromEnd:bigint,offset:bigint,refBase:string,mtype:string,altBase:string,good:boolean>"
+_OPS = "array<struct<op:string,n:bigint,read:bigint,ref:bigint,inserted:bigint>>"
+_TOKENS = "array<struct<pos:bigint,text:string>>"
 
-def parse_md(md: str, anchor: int, indel_anchor: int) -> tuple[list[dict], dict[int, dict]]:
-    """Substitutions in order and deletions by read position, from an MD string.
 
-    Each is good if runs of matches long enough stand somewhere on both of its sides:
-    ``anchor`` for substitutions, ``indel_anchor`` for deletions.
-    """
-    tokens = [m.groups() for m in _MD.finditer(md)]
-    runs = [int(run) if run else 0 for run, _, _ in tokens]
-    left, right, best = [], [0] * len(runs), 0
-    for run in runs:
-        left.append(best := max(best, run))
-    best = 0
-    for i in range(len(runs) - 1, -1, -1):
-        right[i] = best = max(best, runs[i])
-    subs, dels, at = [], {}, 0
-    for i, (run, deleted, base) in enumerate(tokens):
-        if run:
-            at += int(run)
-        elif deleted:
-            dels[at] = {"ref": deleted, "good": min(left[i], right[i]) >= indel_anchor}
-        else:
-            subs.append({"pos": at, "ref": base, "good": min(left[i], right[i]) >= anchor})
-            at += 1
-    return subs, dels
-
-
-def plain_cigar(cigar: str) -> str:
-    """The operations with ``=`` and ``X`` as M, without padding, neighbouring matches as one."""
-    ops: list[list] = []
-    for n, op in _OP.findall(cigar):
-        op = "M" if op in "=X" else op
-        if op == "M" and ops and ops[-1][1] == "M":
-            ops[-1][0] += int(n)
-        elif op != "P":
-            ops.append([int(n), op])
-    return "".join(f"{n}{op}" for n, op in ops)
-
-
-def _bases(text: str) -> bool:
-    return re.fullmatch("[ACGTacgt]*", text) is not None
-
-
-def parse_alignment(flag: int, pos: int, cigar: str, seq: str, tags: str, anchor: int = 1, indel_anchor: int = 5, indel_in_score: bool = False) -> dict | None:
-    """The interval and mutations of an alignment, or None without one.
-
-    ``=`` and ``X`` are matches and padding is left out.  Clipped ends are cut off; a clip at the read's 5' end clears ``matchStart``.  A
-    deletion lengthens the block before it (leading ones move the start), an insertion
-    sits between two bases, and a skipped stretch opens a new block.  The score counts
-    mismatches, without inserted and deleted bases unless ``indel_in_score``.
+def core(cigar: Column) -> Column:
+    """The operations between the clips, ``=`` and ``X`` as M, without padding."""
+    unclipped = F.regexp_replace(cigar, r"^(\d+[HS])+|(\d+[HS])+$", "")
+    return F.translate(F.regexp_replace(unclipped, r"\d+P", ""), "=X", "MM")
+
+
+def clip(cigar: Column, leading: bool) -> Column:
+    """Bases of the read that are cut off at one of its ends."""
+    ends = F.regexp_extract(cigar, r"^((?:\d+[HS])+)" if leading else r"((?:\d+[HS])+)$", 1)
+    return F.when(ends == "", F.lit(0).cast(_LONG)).otherwise(bases_in(ends, "S"))
+
+
+def bases_in(text: Column, ops: str) -> Column:
+    """Sum of the lengths of some operations."""
+    found = F.regexp_extract_all(text, F.lit(rf"(\d+)[{ops}]"), 1)
+    return F.aggregate(found, F.lit(0).cast(_LONG), lambda total, n: total + n.cast(_LONG))
+
+
+def shift(text: Column) -> Column:
+    """Deleted bases before the first match, by which the start moves."""
+    head = F.regexp_extract(text, r"^([^M]*?)\d+M", 1)
+    return F.when(text.rlike(r"^\d+M"), F.lit(0).cast(_LONG)).otherwise(bases_in(head, "D"))
+
+
+def span(text: Column) -> Column:
+    """Bases of the reference up to the end of the last block.  A stretch counts as skipped if a
+    block opens after it, which an insertion or deletion beside it prevents."""
+    upto = F.regexp_extract(text, r"^(.*M(?:\d+N)+\d+M|[^M]*M)", 1)
+    simple = F.regexp_extract(text, r"^(\d+)M$", 1)
+    return F.when(simple != "", F.try_to_number(simple, F.lit("9999999999")).cast(_LONG)).otherwise(bases_in(text, "MD") + bases_in(upto, "N"))
+
+
+def operations(text: Column) -> Column:
+    """Every operation with the read's and the reference's position before it and the bases
+    inserted until then; the read's position leaves insertions out, as MD does."""
+    steps = F.arrays_zip(F.regexp_extract_all(text, F.lit(r"(\d+)[MIDN]"), 1).alias("n"), F.regexp_extract_all(text, F.lit(r"\d+([MIDN])"), 1).alias("op"))
+    zero = F.lit(0).cast(_LONG)
+    begin = F.struct(zero.alias("read"), zero.alias("ref"), zero.alias("inserted"), F.array().cast(_OPS).alias("out"))
+
+    def fold(a: Column, step: Column) -> Column:
+        n, op = step["n"].cast(_LONG), step["op"]
+        one = F.struct(op.alias("op"), n.alias("n"), a["read"].alias("read"), a["ref"].alias("ref"), a["inserted"].alias("inserted"))
+        return F.struct(
+            F.when(op == "M", a["read"] + n).otherwise(a["read"]).alias("read"), F.when(op == "I", a["ref"]).otherwise(a["ref"] + n).alias("ref"),
+            F.when(op == "I", a["inserted"] + n).otherwise(a["inserted"]).alias("inserted"), F.array_append(a["out"], one).alias("out"),
+        )
+
+    return F.aggregate(steps, begin, fold, lambda a: a["out"])
+
+
+def tokens(md: Column) -> Column:
+    """Runs, deleted bases (with ``^``) and replaced bases of an MD string with the read's position."""
+    begin = F.struct(F.lit(0).cast(_LONG).alias("pos"), F.array().cast(_TOKENS).alias("out"))
+
+    def fold(a: Column, text: Column) -> Column:
+        ahead = F.when(text.rlike(r"^\d"), text.try_cast(_LONG)).when(text.startswith("^"), F.lit(0).cast(_LONG)).otherwise(F.lit(1).cast(_LONG))
+        return F.struct((a["pos"] + ahead).alias("pos"), F.array_append(a["out"], F.struct(a["pos"].alias("pos"), text.alias("text"))).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(md, F.lit(r"\d+|\^[A-Za-z]+|[A-Za-z]"), 0), begin, fold, lambda a: a["out"])
+
+
+def between_runs(found: Column, least: int) -> Column:
+    """The first and last token, from 1, that is a run of at least ``least`` matches; none: 0 and 0."""
+    long = F.transform(found, lambda t: F.coalesce(t["text"].try_cast(_LONG), F.lit(0)) >= least)
+    last = F.array_position(F.reverse(long), F.lit(True))
+    return F.struct(F.array_position(long, F.lit(True)).alias("first"), F.when(last == 0, F.lit(0)).otherwise(F.size(found) + 1 - last).cast(_LONG).alias("last"))
+
+
+def mutations(ops: Column, found: Column, runs: Column, indel_runs: Column, seq: Column, start: Column, anchor: int, indel_anchor: int) -> Column:
+    """All mutations in the order of operations.
+
+    A substitution lies in the match that covers its position, a deletion is named by the
+    MD token at its position, an insertion by the read.  Each is good if runs of matches
+    long enough stand somewhere on both of its sides, or, an insertion, far enough from
+    the read's ends.  Bases other than A, C, G, T make none.
     """
-    if cigar == "*" or flag & 4:
-        return None
-    strand = "-" if flag & 16 else "+"
-    ops = [(int(n), op) for n, op in _OP.findall(plain_cigar(cigar) if _OTHER.search(cigar) else cigar)]
-    match_start = 1
-    for end, side in ((0, "+"), (-1, "-")):
-        while ops and ops[end][1] in "HS":
-            n, op = ops.pop(end)
-            if op == "S":
-                seq = seq[n:] if end == 0 else seq[: len(seq) - n]
-            if strand == side:
-                match_start = 0
-    if not ops or any(op not in "MIDN" for _, op in ops):
-        raise ValueError(f"unexpected CIGAR {cigar!r}")
-    nm = re.search(r"NM:[^:\s]*:(\d+)", tags or "")
-    md = re.search(r"MD:Z:(\S+)", tags or "")
-    subs, dels = parse_md(md.group(1), anchor, indel_anchor) if md else ([], {})
-    start, at_ref, at_read, inserted, indels, next_sub, joined = pos - 1, 0, 0, 0, 0, 0, False
-    sizes: list[int] = []
-    starts: list[int] = []
-    mutations: list[dict] = []
-
-    def mutation(kind: str, where: int, size: int, offset: int, ref: str, alt: str, good: bool) -> None:
-        mutations.append(dict(chromStart=where, chromEnd=where + size, offset=offset, refBase=ref, mtype=kind, altBase=alt, good=good))
-
-    for n, op in ops:
-        if op == "I":
-            alt = seq[at_read : at_read + n]
-            if _bases(alt):
-                good = at_read >= indel_anchor and at_read + n - 1 <= len(seq) - 1 - indel_anchor
-                mutation("+", start + at_ref, 1, at_read, ".", alt, good)
-            inserted += n  # the read position stays, as in MD
-            indels += n
-            joined = True
-        elif op == "D":
-            gone = dels.get(at_read)
-            if gone and _bases(gone["ref"]):
-                mutation("-", start + at_ref, n, at_read, gone["ref"], ".", gone["good"])
-            if sizes:
-                sizes[-1] += n
-                at_ref += n
-            else:
-                start += n
-            indels += n
-            joined = True
-        elif op == "M":
-            while next_sub < len(subs) and subs[next_sub]["pos"] < at_read + n:
-                s = subs[next_sub]
-                alt = seq[s["pos"] + inserted : s["pos"] + inserted + 1]
-                if _bases(s["ref"]) and _bases(alt):
-                    mutation(">", start + at_ref + s["pos"] - at_read, 1, s["pos"], s["ref"], alt, s["good"])
-                next_sub += 1
-            if joined and sizes:
-                sizes[-1] += n
-            else:
-                sizes.append(n)
-                starts.append(at_ref)
-            joined = False
-            at_ref += n
-            at_read += n
-        else:
-            at_ref += n
-    if not sizes:
-        return None
-    score = int(nm.group(1)) if nm else 0
-    if not indel_in_score:
-        score -= indels
-    if score < 0 and nm:
-        raise ValueError(f"NM below the indels of {cigar!r}")
-    end = start + starts[-1] + sizes[-1]
-    return dict(chromStart=start, chromEnd=end, score=float(max(score, 0)), strand=strand, matchStart=match_start, blockSizes=sizes, blockStarts=starts, mutations=mutations)
+    plain = r"^[ACGTacgt]*$"
+    placed = F.transform(found, lambda t, i: F.struct(t["pos"].alias("pos"), t["text"].alias("text"), (i + 1).alias("at")))
+    subs = F.filter(placed, lambda t: t["text"].rlike("^[A-Za-z]$"))
+    gone = F.filter(placed, lambda t: t["text"].startswith("^"))
+
+    def within(at: Column, anchors: Column, least: int) -> Column:
+        return F.lit(True) if least <= 0 else (anchors["first"] > 0) & (anchors["first"] < at) & (at < anchors["last"])
+
+    def of(where: Column, size: Column, offset: Column, ref: Column, kind: str, alt: Column, good: Column) -> Column:
+        return F.struct(
+            where.alias("chromStart"), (where + size).alias("chromEnd"), offset.alias("offset"), ref.alias("refBase"), F.lit(kind).alias("mtype"), alt.alias("altBase"), good.alias("good"),
+        ).cast(_MUTATION)
+
+    def bases(at: Column, n: Column) -> Column:
+        return F.substring(seq, (at + 1).cast("int"), n.cast("int"))
+
+    def one(op: Column) -> Column:
+        where, one_base = start + op["ref"], F.lit(1)
+        inside = F.filter(subs, lambda s: (s["pos"] >= op["read"]) & (s["pos"] < op["read"] + op["n"]))
+        replaced = F.transform(inside, lambda s: of(where + s["pos"] - op["read"], one_base, s["pos"], s["text"], ">", bases(s["pos"] + op["inserted"], one_base), within(s["at"], runs, anchor)))
+        here = F.filter(gone, lambda d: d["pos"] == op["read"])
+        deleted = F.transform(F.slice(here, F.greatest(F.size(here), F.lit(1)), 1), lambda d: of(where, op["n"], op["read"], F.substring(d["text"], 2, 1 << 30), "-", F.lit("."), within(d["at"], indel_runs, indel_anchor)))
+        far = (op["read"] >= indel_anchor) & (op["read"] + op["n"] - 1 <= F.length(seq) - 1 - indel_anchor)
+        added = F.array(of(where, one_base, op["read"], F.lit("."), "+", bases(op["read"], op["n"]), far))
+        return F.when(op["op"] == "M", replaced).when(op["op"] == "D", deleted).when(op["op"] == "I", added).otherwise(F.array().cast(f"array<{_MUTATION}>"))
+
+    every = F.flatten(F.transform(ops, one))
+    return F.filter(every, lambda m: ((m["mtype"] == "+") | m["refBase"].rlike(plain)) & ((m["mtype"] == "-") | m["altBase"].rlike(plain)))
 
 
 def parse_novoalign_details(details: str | None, start: int, read_length: int, indel_in_score: bool = False, draw=None) -> tuple[int, int, list[dict]]:

@@ -495,24 +495,33 @@ _add("diff_binomial", lambda v: differential(_two_counts(v)).select("name", "n1"
 
 
 def _sam(v: dict[str, DataFrame]) -> DataFrame:
-    """SAM lines with a substitution, and in some a deletion or a splice."""
-    t = v["tags"].withColumn("n", F.col("chromEnd") - F.col("chromStart"))
-    half = F.floor(F.col("n") / 2).cast("string")
-    rest = (F.col("n") - F.floor(F.col("n") / 2)).cast("string")
-    kind = F.col("chromStart") % 3
-    cigar = F.when(kind == 0, F.concat(F.col("n").cast("string"), F.lit("M"))).when(kind == 1, F.concat(half, F.lit("M2D"), rest, F.lit("M"))).otherwise(F.concat(half, F.lit("M90N"), rest, F.lit("M")))
-    md = F.when(kind == 1, F.concat(half, F.lit("^AC"), rest)).otherwise(F.concat(F.lit("6A"), (F.col("n") - 7).cast("string")))
-    nm = F.when(kind == 1, 2).otherwise(1)
-    seq = F.expr("substring(repeat('ACGTTGCA', 10), 1, int(n))")
+    """SAM lines of six kinds: matches with a substitution, a deletion, a splice, an insertion, a clip, no MD."""
+    t = v["tags"].withColumn("n", F.col("chromEnd") - F.col("chromStart")).withColumn("h", F.floor(F.col("n") / 2))
+    n, half, rest = (c.cast("string") for c in (F.col("n"), F.col("h"), F.col("n") - F.col("h")))
+    kind = F.col("chromStart") % 6
+    between = {1: "M2D", 2: "M90N", 3: "M2I"}
+    cigar = F.when(kind.isin(0, 5), F.concat(n, F.lit("M"))).when(kind == 4, F.concat(F.lit("3S"), n, F.lit("M")))
+    for k, ops in between.items():
+        cigar = cigar.when(kind == k, F.concat(half, F.lit(ops), rest, F.lit("M")))
+    md = F.when(kind == 1, F.concat(half, F.lit("^AC"), rest)).when(kind == 5, F.lit(None)).otherwise(F.concat(F.lit("6A"), (F.col("n") - 7).cast("string")))
+    nm = F.when(kind == 1, 2).when(kind == 3, 3).otherwise(1)
+    seq = F.expr("substring(repeat('ACGTTGCA', 10), 1, int(n + case chromStart % 6 when 3 then 2 when 4 then 3 else 0 end))")
     cells = [F.col("name"), F.when(F.col("strand") == "+", "0").otherwise("16"), F.col("chrom"), (F.col("chromStart") + 1).cast("string"), F.lit("60"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), seq, F.lit("*"), F.concat(F.lit("NM:i:"), nm.cast("string")), F.concat(F.lit("MD:Z:"), md)]
     return t.select(F.concat_ws("\t", *cells).alias("value"))
 
 
 _add("sam_parse", lambda v: sam_tags(sam_columns(_sam(v))).select("chrom", "chromStart", "chromEnd", "name", "score", "strand"),
-     """SELECT chrom, chromStart, chromEnd + CASE chromStart % 3 WHEN 1 THEN 2 WHEN 2 THEN 90 ELSE 0 END AS chromEnd, name, CASE chromStart % 3 WHEN 1 THEN 0 ELSE 1 END::DOUBLE AS score, strand FROM tags""")
-_add("sam_mutations", lambda v: mutations_of(parse_sam(sam_columns(_sam(v)))).select("name", "chromStart", "mtype", "refBase", "altBase"),
-     """SELECT name, chromStart + CASE WHEN chromStart % 3 = 1 THEN (chromEnd - chromStart) // 2 WHEN chromStart % 3 = 2 AND (chromEnd - chromStart) // 2 <= 6 THEN 96 ELSE 6 END AS chromStart, CASE WHEN chromStart % 3 = 1 THEN '-' ELSE '>' END AS mtype,
-        CASE WHEN chromStart % 3 = 1 THEN 'AC' ELSE 'A' END AS refBase, CASE WHEN chromStart % 3 = 1 THEN '.' ELSE 'C' END AS altBase FROM tags""")
+     """SELECT chrom, chromStart, chromEnd + CASE chromStart % 6 WHEN 1 THEN 2 WHEN 2 THEN 90 ELSE 0 END AS chromEnd, name, CASE chromStart % 6 WHEN 1 THEN 0 ELSE 1 END::DOUBLE AS score, strand FROM tags""")
+_add("sam_blocks", lambda v: parse_sam(sam_columns(_sam(v))).select("name", F.concat_ws(",", "blockSizes").alias("sizes"), F.concat_ws(",", "blockStarts").alias("starts"), "matchStart"),
+     """SELECT name, CASE chromStart % 6 WHEN 1 THEN n + 2 || '' WHEN 2 THEN h || ',' || n - h ELSE n || '' END AS sizes, CASE chromStart % 6 WHEN 2 THEN '0,' || h + 90 ELSE '0' END AS starts,
+        CASE WHEN chromStart % 6 = 4 AND strand = '+' THEN 0 ELSE 1 END AS matchStart
+        FROM (SELECT *, chromEnd - chromStart AS n, (chromEnd - chromStart) // 2 AS h FROM tags)""")
+_add("sam_mutations", lambda v: mutations_of(parse_sam(sam_columns(_sam(v)))).select("name", "chromStart", "chromEnd", "offset", "mtype", "refBase", "altBase"),
+     """, k AS (SELECT name, chromStart AS s, chromStart % 6 AS kind, (chromEnd - chromStart) // 2 AS h FROM tags)
+        SELECT name, s + CASE WHEN kind = 2 AND h <= 6 THEN 96 ELSE 6 END AS chromStart, chromStart + 1 AS chromEnd, 6 AS offset, '>' AS mtype, 'A' AS refBase, CASE WHEN kind = 3 AND h <= 6 THEN 'A' ELSE 'C' END AS altBase
+        FROM k WHERE kind IN (0, 2, 3, 4)
+        UNION ALL SELECT name, s + h, s + h + 2, h, '-', 'AC', '.' FROM k WHERE kind = 1
+        UNION ALL SELECT name, s + h, s + h + 1, h, '+', '.', substr('ACGTTGCAA', (h % 8 + 1)::INT, 2) FROM k WHERE kind = 3""")
 
 
 def _novo(v: dict[str, DataFrame]) -> DataFrame:

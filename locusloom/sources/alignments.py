@@ -6,17 +6,13 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.alignment import parse_alignment, parse_novoalign_details
+from ..functions import alignment as A
 
 _SAM = ["QNAME", "FLAG", "RNAME", "POS", "MAPQ", "CIGAR", "RNEXT", "PNEXT", "TLEN", "SEQ", "QUAL"]
 _MUTATIONS = "array<struct<chromStart:bigint,chromEnd:bigint,offset:bigint,refBase:string,mtype:string,altBase:string,good:boolean>>"
-_TAG = f"chromStart bigint, chromEnd bigint, score double, strand string, matchStart int, blockSizes array<bigint>, blockStarts array<bigint>, mutations {_MUTATIONS}"
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -37,68 +33,88 @@ def _mapped(sam: DataFrame, least_quality: int, least_length: int) -> DataFrame:
     return sam.where((F.col("CIGAR") != "*") & (F.col("FLAG").bitwiseAND(4) == 0) & (F.length("SEQ") >= least_length) & (F.col("MAPQ") >= least_quality))
 
 
-def parse_sam(sam: DataFrame, least_quality: int = 0, least_length: int = 0, anchor: int = 1, indel_anchor: int = 5, indel_in_score: bool = False) -> DataFrame:
-    """Tags with their mutations, one row for each kept alignment.
-
-    Unmapped, short and low-quality reads are filtered before any Python runs.  Where only
-    the intervals are wanted, :func:`sam_tags` makes them without Python.
-    """
-    kinds = to_arrow_schema(T.StructType.fromDDL(f"chrom string, name string, {_TAG}"))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fields = (batch.column(i).to_pylist() for i in range(2, batch.num_columns))
-            found = [parse_alignment(f, p, c, s, t, anchor, indel_anchor, indel_in_score) for f, p, c, s, t in zip(*fields, strict=True)]
-            rows = [i for i, r in enumerate(found) if r is not None]
-            own = [pa.array([found[i][field.name] for i in rows], field.type) for field in list(kinds)[2:]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1)), *own], schema=kinds)
-
-    need = _mapped(sam, least_quality, least_length).select(F.col("RNAME").alias("chrom"), F.col("QNAME").alias("name"), "FLAG", "POS", "CIGAR", "SEQ", F.coalesce("TAGS", F.lit("")).alias("TAGS"))
-    return need.mapInArrow(parse, f"chrom string, name string, {_TAG}")
-
-
-def sam_tags(sam: DataFrame, least_quality: int = 0, least_length: int = 0, indel_in_score: bool = False) -> DataFrame:
-    """The spliced intervals of SAM rows by built-in functions alone.
-
-    The CIGAR's operations are folded into blocks: matches add to a block or open one after
-    a skipped stretch, a deletion lengthens the block before it (a leading one moves the
-    start), an insertion joins the matches at its sides.  Equal to
-    ``tags_of(parse_sam(...))``, clipped ends and the score included.
-    """
-    clipped = F.regexp_replace("CIGAR", r"^(\d+[HS])+|(\d+[HS])+$", "")
+def _blocks(text: Column) -> Column:
+    """``sizes`` and ``starts`` of the blocks of a CIGAR without clips: matches add to a block or
+    open one after a skipped stretch, a deletion lengthens the block before it, an insertion
+    joins the matches at its sides."""
     steps = F.zip_with(
-        F.regexp_extract_all(clipped, F.lit(r"(\d+)[MIDN=X]"), 1), F.regexp_extract_all(clipped, F.lit(r"\d+([MIDN=X])"), 1),
-        lambda n, op: F.struct(n.cast("long").alias("n"), F.when(op.isin("=", "X"), "M").otherwise(op).alias("op")),
+        F.regexp_extract_all(text, F.lit(r"(\d+)[MIDN]"), 1), F.regexp_extract_all(text, F.lit(r"\d+([MIDN])"), 1),
+        lambda n, op: F.struct(n.cast("long").alias("n"), op.alias("op")),
     )
     empty, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
-    begin = F.struct(zero.alias("shift"), zero.alias("at"), zero.alias("indels"), F.lit("").alias("last"), F.lit(False).alias("joined"), empty.alias("sizes"), empty.alias("starts"))
+    begin = F.struct(zero.alias("at"), F.lit("").alias("last"), F.lit(False).alias("joined"), empty.alias("sizes"), empty.alias("starts"))
 
     def fold(a: Column, step: Column) -> Column:
         n, op, some = step["n"], step["op"], F.size(a["sizes"]) > 0
         longer = F.concat(F.slice(a["sizes"], F.lit(1), F.size(a["sizes"]) - 1), F.array(F.element_at(a["sizes"], -1) + n))
         extends = some & ((op == "D") | ((op == "M") & (a["joined"] | (a["last"] == "M"))))
         opens = (op == "M") & ~extends
-        indel = op.isin("I", "D")
         return F.struct(
-            F.when((op == "D") & ~some, a["shift"] + n).otherwise(a["shift"]).alias("shift"),
             F.when(op.isin("M", "N") | ((op == "D") & some), a["at"] + n).otherwise(a["at"]).alias("at"),
-            F.when(indel, a["indels"] + n).otherwise(a["indels"]).alias("indels"),
             op.alias("last"),
-            F.when(op == "M", F.lit(False)).when(indel, F.lit(True)).otherwise(a["joined"]).alias("joined"),
+            F.when(op == "M", F.lit(False)).when(op.isin("I", "D"), F.lit(True)).otherwise(a["joined"]).alias("joined"),
             F.when(extends, longer).when(opens, F.concat(a["sizes"], F.array(n))).otherwise(a["sizes"]).alias("sizes"),
             F.when(opens, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"]).alias("starts"),
         )
 
-    walked = _mapped(sam, least_quality, least_length).withColumn("_a", F.aggregate(steps, begin, fold)).where(F.size("_a.sizes") > 0)
-    nm = F.coalesce(F.expr(r"try_cast(regexp_extract(TAGS, 'NM:[^:\\s]*:(\\d+)', 1) as bigint)"), zero)
-    score = F.greatest(nm - (zero if indel_in_score else F.col("_a.indels")), zero).cast("double")
-    start = F.col("POS") - 1 + F.col("_a.shift")
-    end = start + F.element_at("_a.starts", -1) + F.element_at("_a.sizes", -1)
+    size = F.try_to_number(F.regexp_extract(text, r"^(\d+)M$", 1), F.lit("9999999999")).cast("long")
+    folded = F.aggregate(steps, begin, fold, lambda a: F.struct(a["sizes"].alias("sizes"), a["starts"].alias("starts")))
+    return F.when(text.rlike(r"^\d+M$"), F.struct(F.array(size).alias("sizes"), F.array(zero).alias("starts"))).otherwise(folded)
+
+
+def _aligned(sam: DataFrame, least_quality: int, least_length: int, indel_in_score: bool) -> DataFrame:
+    """Mapped reads with a match, their ends, score and side; ``_core`` is the CIGAR between clips.
+
+    The ends are sums over operations of one kind, so a read needs no walk along its CIGAR
+    unless its blocks or mutations are wanted, and the filter looks at the text alone.
+    """
+    kept = _mapped(sam, least_quality, least_length).where(F.col("CIGAR").rlike("[M=X]"))
+    kept = kept.withColumn("_core", A.core(F.col("CIGAR")))
+    text, zero = F.col("_core"), F.lit(0).cast("long")
+    nm = F.expr(r"try_cast(regexp_extract(TAGS, 'NM:[^:\\s]*:(\\d+)', 1) as bigint)")
+    indels = zero if indel_in_score else F.when(text.rlike("[ID]"), A.bases_in(text, "ID")).otherwise(zero)
+    start = F.col("POS") - 1 + A.shift(text)
+    out = kept.select(
+        F.col("RNAME").alias("chrom"), F.col("QNAME").alias("name"), "FLAG", "POS", "CIGAR", "SEQ", F.coalesce("TAGS", F.lit("")).alias("TAGS"), "_core",
+        start.alias("chromStart"), (F.col("POS") - 1 + A.span(text)).alias("chromEnd"), nm.alias("_nm"), indels.alias("_indels"),
+    )
     side = F.when(F.col("FLAG").bitwiseAND(16) != 0, "-").otherwise("+")
-    return walked.select(
-        F.col("RNAME").alias("chrom"), start.alias("chromStart"), end.alias("chromEnd"), F.col("QNAME").alias("name"), score.alias("score"), side.alias("strand"),
-        start.alias("thickStart"), end.alias("thickEnd"), F.lit("0").alias("itemRgb"), F.size("_a.sizes").alias("blockCount"), F.col("_a.sizes").alias("blockSizes"), F.col("_a.starts").alias("blockStarts"),
+    return out.withColumn("score", F.greatest(F.coalesce("_nm", zero) - F.col("_indels"), zero).cast("double")).withColumn("strand", side)
+
+
+def parse_sam(sam: DataFrame, least_quality: int = 0, least_length: int = 0, anchor: int = 1, indel_anchor: int = 5, indel_in_score: bool = False) -> DataFrame:
+    """Tags with their mutations, one row for each kept alignment, by built-in functions alone.
+
+    ``=`` and ``X`` are matches and padding is left out.  Clipped ends are cut off; a clip at
+    the read's 5' end clears ``matchStart``.  A deletion lengthens the block before it
+    (leading ones move the start), an insertion sits between two bases, and a skipped stretch
+    opens a new block.  The score counts mismatches, without inserted and deleted bases unless
+    ``indel_in_score``.  A read without MD has no substitutions or deletions.  Unmapped reads
+    and those without a match are left out.  An unknown operation, or an NM below the inserted
+    and deleted bases, is an error.
+    """
+    rows = _aligned(sam, least_quality, least_length, indel_in_score)
+    cut, back = A.clip(F.col("CIGAR"), True), A.clip(F.col("CIGAR"), False)
+    clipped = F.when(F.col("strand") == "+", F.col("CIGAR").rlike(r"^\d+[HS]")).otherwise(F.col("CIGAR").rlike(r"\d+[HS]$"))
+    md = F.regexp_extract("TAGS", r"MD:Z:(\S+)", 1)
+    # Arrays are made once, in a step of their own, and none for a read that matches throughout.
+    same = md.rlike(r"^\d*$") & ~F.col("_core").rlike("[ID]")
+    unknown, low = ~F.col("_core").rlike(r"^(\d+[MIDN])+$"), F.col("_nm") < F.col("_indels")
+    score = F.when(unknown, F.raise_error(F.concat(F.lit("unexpected CIGAR "), "CIGAR"))).when(low, F.raise_error(F.concat(F.lit("NM below the indels of "), "CIGAR"))).otherwise(F.col("score"))
+    rows = rows.select(
+        "*", (~clipped).cast("int").alias("matchStart"), _blocks(F.col("_core")).alias("_blocks"), F.when(~same, A.operations(F.col("_core"))).alias("_ops"), F.when(~same, A.tokens(md)).alias("_tokens"),
+        F.when(cut + back > 0, F.substring(F.col("SEQ"), (cut + 1).cast("int"), F.greatest(F.length("SEQ") - cut - back, F.lit(0)).cast("int"))).otherwise(F.col("SEQ")).alias("_seq"), score.alias("_score"),
     )
+    rows = rows.withColumn("_runs", A.between_runs(F.col("_tokens"), anchor)).withColumn("_indel_runs", A.between_runs(F.col("_tokens"), indel_anchor))
+    found = A.mutations(F.col("_ops"), F.col("_tokens"), F.col("_runs"), F.col("_indel_runs"), F.col("_seq"), F.col("POS") - 1, anchor, indel_anchor)
+    none = F.array().cast(_MUTATIONS)
+    return rows.select("chrom", "name", "chromStart", "chromEnd", F.col("_score").cast("double").alias("score"), "strand", "matchStart", F.col("_blocks.sizes").alias("blockSizes"), F.col("_blocks.starts").alias("blockStarts"), F.coalesce(found, none).alias("mutations"))
+
+
+def sam_tags(sam: DataFrame, least_quality: int = 0, least_length: int = 0, indel_in_score: bool = False) -> DataFrame:
+    """The spliced intervals of SAM rows, without their mutations: ``tags_of(parse_sam(...))``."""
+    rows = _aligned(sam, least_quality, least_length, indel_in_score).withColumn("_blocks", _blocks(F.col("_core")))
+    return tags_of(rows.select("*", F.col("_blocks.sizes").alias("blockSizes"), F.col("_blocks.starts").alias("blockStarts")))
 
 
 def tags_of(parsed: DataFrame) -> DataFrame:
@@ -112,7 +128,8 @@ def tags_of(parsed: DataFrame) -> DataFrame:
 
 def mutations_of(parsed: DataFrame, good_only: bool = True) -> DataFrame:
     """A row for each mutation; only those between good matches unless asked for all."""
-    one = parsed.select("chrom", "name", "strand", "matchStart", F.explode("mutations").alias("m"))
+    # The outer form: Spark would else test the whole array below the steps that make it, and make it twice.
+    one = parsed.select("chrom", "name", "strand", "matchStart", F.explode_outer("mutations").alias("m")).where("m IS NOT NULL")
     if good_only:
         one = one.where("m.good")
     at = F.col("m.offset")
@@ -140,7 +157,7 @@ def parse_novoalign(rows: DataFrame, indel_in_score: bool = False, seed: int | N
             out = []
             for name, start, length, detail in zip(names, starts, lengths, details, strict=True):
                 draw = None if seed is None else random.Random(f"{seed}:{name}").randrange
-                size, wrong, found = parse_novoalign_details(detail, int(start), int(length), indel_in_score, draw)
+                size, wrong, found = A.parse_novoalign_details(detail, int(start), int(length), indel_in_score, draw)
                 out.append(dict(chromStart=int(start), chromEnd=int(start) + size, score=float(wrong), mutations=found))
             yield pd.DataFrame(out, columns=["chromStart", "chromEnd", "score", "mutations"])
 

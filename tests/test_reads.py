@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import plain_alignment
 import pytest
 from pyspark.sql import functions as F
 
-from locusloom.functions import alignment, em, seq, stats, valley
+from locusloom.functions import em, seq, stats, valley
 from locusloom.operators import collapse, differential, fdr, genes, mutations, reads, rows
 from locusloom.plans import annotate, cims, cits, peaks
 from locusloom.sources import alignments, bed, fastx, tables, tracks
@@ -109,16 +110,65 @@ def test_valleys_equal_full_scans():
         assert all(p["left"] <= p["start"] and p["right"] >= p["end"] for p in found)
 
 
-def test_alignment_rules():
-    a = alignment.parse_alignment(0, 101, "3S10M2D10M100N5M", "NNN" + "A" * 25, "NM:i:3\tMD:Z:4C5^GT15")
+def parsed(spark, lines, **options):
+    """Reads (flag, pos, cigar, seq, tags) as parsed by columns, None for those left out."""
+    text = [("\t".join([f"q{i}", str(flag), "c", str(pos), "60", cigar, "*", "0", "0", seq, "*", *([tags] if tags else [])]),) for i, (flag, pos, cigar, seq, tags) in enumerate(lines)]
+    found = alignments.parse_sam(alignments.sam_columns(spark.createDataFrame(text, "value string")), **options)
+    rows = {r.name: {k: v for k, v in r.asDict(True).items() if k not in ("chrom", "name")} for r in found.collect()}
+    return [rows.get(f"q{i}") for i in range(len(lines))]
+
+
+def test_alignment_rules(spark):
+    a, b, c, d = parsed(spark, [(0, 101, "3S10M2D10M100N5M", "NNN" + "A" * 25, "NM:i:3\tMD:Z:4C5^GT15"), (16, 1, "6M2I6M", "ACGTACTTACGTAC", "NM:i:2\tMD:Z:12"), (4, 1, "*", "A", ""), (0, 1, "5M", "ACGTA", "")])
     assert (a["chromStart"], a["chromEnd"], a["matchStart"], a["score"]) == (100, 227, 0, 1.0)
     assert (a["blockSizes"], a["blockStarts"]) == ([22, 5], [0, 122])
     kinds = [(m["mtype"], m["chromStart"], m["chromEnd"], m["refBase"], m["altBase"], m["good"]) for m in a["mutations"]]
     assert kinds == [(">", 104, 105, "C", "A", True), ("-", 110, 112, "GT", ".", True)]
-    b = alignment.parse_alignment(16, 1, "6M2I6M", "ACGTACTTACGTAC", "NM:i:2\tMD:Z:12")
     assert [(m["mtype"], m["altBase"], m["good"]) for m in b["mutations"]] == [("+", "TT", True)] and b["score"] == 0.0
-    assert alignment.parse_alignment(4, 1, "*", "A", "") is None
-    assert alignment.parse_alignment(0, 1, "5M", "ACGTA", "")["mutations"] == []
+    assert c is None and d["mutations"] == []
+
+
+@pytest.mark.parametrize("anchors", [(1, 5), (3, 2), (0, 0)])
+def test_columns_equal_plain_loops(spark, anchors):
+    rng = random.Random(anchors[0])
+    lines = []
+    for _ in range(400):
+        ops = [(rng.randrange(1, 9), rng.choice("MMMMDIN=XP")) for _ in range(rng.randrange(1, 7))]
+        cigar = rng.choice(["", "2S", "3H1S"]) + "".join(f"{n}{op}" for n, op in ops) + rng.choice(["", "4S", "1S2H"])
+        # MD that follows the operations, with bases replaced here and there.
+        md, run = "", 0
+        for n, op in ops:
+            for _ in range(n if op in "M=X" else 0):
+                if rng.random() < 0.15:
+                    md, run = md + f"{run}{rng.choice('ACGTNg')}", 0
+                else:
+                    run += 1
+            if op == "D":
+                md, run = md + f"{run}^{''.join(rng.choices('ACGTN', [9, 9, 9, 9, 1], k=n))}", 0
+        md += str(run)
+        seq = "*" if rng.random() < 0.05 else "".join(rng.choices("ACGTN", [9, 9, 9, 9, 1], k=60))
+        tags = rng.choice([f"NM:i:90\tMD:Z:{md}"] * 6 + ["NM:i:90", f"MD:Z:{md}", "", "MD:Z:3A^C2", "NM:i:90\tMD:Z:"])
+        lines.append((rng.choice([0, 16]), rng.randrange(1, 99), cigar, seq, tags))
+    for in_score in (False, True):
+        found = parsed(spark, lines, anchor=anchors[0], indel_anchor=anchors[1], indel_in_score=in_score)
+        want = [plain_alignment.parse_alignment(*line, *anchors, in_score) if set(line[2]) & set("M=X") else None for line in lines]
+        for line, one, other in zip(lines, found, want, strict=True):
+            assert one == other, line
+    assert sum(len(w["mutations"]) for w in want if w) > 300
+
+
+def test_wrong_lines_are_errors(spark):
+    for line in [(0, 1, "5M2Q5M", "ACGTACGTAC", "NM:i:0"), (0, 1, "5M2D5M", "ACGTACGTAC", "NM:i:1")]:
+        with pytest.raises(Exception, match="unexpected CIGAR|NM below"):
+            parsed(spark, [line])
+
+
+def test_arrays_are_made_once_and_ends_need_none(spark):
+    sam = alignments.sam_columns(spark.createDataFrame([("q\t0\tc\t5\t60\t5M2D5M\t*\t0\t0\tACGTACGTAC\t*\tNM:i:2\tMD:Z:5^AC5",)], "value string"))
+    plan = alignments.sam_tags(sam).select("chromStart", "chromEnd", "score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "split" in plan
+    plan = alignments.parse_sam(sam)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and plan.count("array_append") == 2  # operations and tokens, each once
 
 
 def test_sam_file_to_tags(spark, tmp_path):
@@ -144,8 +194,8 @@ def test_tags_without_python_equal_parsed_ones(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 100
 
 
-def test_other_matches_and_padding():
-    plain, other = (alignment.parse_alignment(0, 11, c, "ACGTACGTAC", "NM:i:1\tMD:Z:4T5") for c in ("10M", "4=1P1X5="))
+def test_other_matches_and_padding(spark):
+    plain, other = parsed(spark, [(0, 11, c, "ACGTACGTAC", "NM:i:1\tMD:Z:4T5") for c in ("10M", "4=1P1X5=")])
     assert plain == other and plain["blockSizes"] == [10]
 
 
