@@ -172,3 +172,18 @@ def test_mixed_documents_carry_the_words(spark):
         words[r.doc_id] += len(r.text.split())
         assert dict((i, t) for i, t, *_ in rows)[r.doc_id].startswith(r.text)
     assert {k: v for k, v in plan.items() if v} == dict(words)
+
+
+@pytest.mark.parametrize("ids", ["one", "null", "third", "alike"])
+def test_mix_meets_targets_where_identifiers_repeat(spark, monkeypatch, ids):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 500)
+    rows = [(i, " ".join(f"w{i % 7}_{j}" for j in range(1 + i * 37 % 90)), "en", "abc"[i % 3]) for i in range(600)]
+    rows = [({"one": 7, "null": None, "third": None if i % 3 == 0 else i // 5, "alike": 1}[ids], "same words in all of them" if ids == "alike" else text, lang, source) for i, text, lang, source in rows]
+    rows += [(7, "x", "en", "d"), (7, "y " * 99, "en", "d")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    taken, want = check_mix(df, rows)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    words = Counter()
+    for r in mixing.mixed(df).collect():
+        words[r.source] += len(r.text.split())
+    assert dict(words) == {s: n for s, n in taken.items() if n}
