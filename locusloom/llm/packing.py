@@ -197,7 +197,8 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = 2048, en
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    pieces = saved(token_pieces(docs, vocabulary_path, window, end_id, with_ids, id_col, text_col))
+    # The place of a piece spreads those that agree in identifier and ids, or have no identifier.
+    pieces = saved(token_pieces(docs, vocabulary_path, window, end_id, with_ids, id_col, text_col).withColumn("place", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, sequences = plan_windows(counts, window)
     rows = max(500, min(SLICE_ROWS, sum(counts.values()) // (4 * shuffle_partitions(spark))))
@@ -210,12 +211,12 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = 2048, en
     layout = layout.withColumnRenamed("length", "of")
     layout = F.broadcast(layout) if len(slots) <= MOST_SLOTS else layout
 
-    hashed = F.xxhash64("id", "start")
+    hashed = F.xxhash64("id", "start", "ids_crc32", "place")
     sliced = pieces.join(F.broadcast(per_length), "length").withColumn("slice", F.floor(uniform(hashed) * F.col("slices")))
     before = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     in_order = Window.partitionBy("length").orderBy("slice")
     before = before.select("length", "slice", (F.sum("n").over(in_order) - F.col("n")).alias("earlier"))
-    within = Window.partitionBy("length", "slice").orderBy(hashed, "id", "start", "ids_crc32")
+    within = Window.partitionBy("length", "slice").orderBy(hashed, "id", "start", "ids_crc32", "place")
     ranked = sliced.withColumn("nth", F.row_number().over(within) - 1).join(before, ["length", "slice"]).withColumn("rank", F.col("earlier") + F.col("nth"))
     place = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     found = ranked.join(layout, (F.col("length") == F.col("of")) & place)

@@ -12,10 +12,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved, uniform
 from .labels import held_out, training_rows
 
 #: Hashed n-grams; the fitted model is one number for each.
 DIMENSIONS = 1 << 18
+#: The most n-grams, of all drawn documents together, that a fit takes to the driver.
+MOST_NGRAMS = 1 << 25
 #: Added to every count of the log-count ratios.
 SMOOTHING = 1.0
 
@@ -114,6 +117,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
 def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a bounded draw of labelled documents; n-grams are made in the tasks.
 
+    Where the drawn documents hold more than ``MOST_NGRAMS`` n-grams, fewer are drawn.
+
     Edge cases: null texts have no n-grams; labels that are null or neither 0 nor 1, and
     those of unknown, null or held-out identifiers, teach nothing; an identifier that
     repeats teaches with each of its texts; without labels of both kinds the model is the
@@ -126,7 +131,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
             yield pd.Series([ngrams(t) for t in batch])
 
     drawn = training_rows(docs, labels, label_col, id_col, text_col)
-    table = drawn.select(grams("text").alias("ids"), "label").toArrow()
+    rows = saved(drawn.select(grams("text").alias("ids"), "label", F.xxhash64("text").alias("draw")))
+    total = rows.agg(F.sum(F.size("ids"))).head()[0] or 0
+    if total > MOST_NGRAMS:
+        rows = rows.where(uniform(F.xxhash64("draw")) < 0.9 * MOST_NGRAMS / total)
+    table = rows.select("ids", "label").toArrow()
     order = sorted(range(table.num_rows), key=lambda i: (table["label"][i].as_py(), table["ids"][i].values.to_numpy().tobytes()))
     rows = [table["ids"][i].values.to_numpy() for i in order]
     return fit(rows, np.array([table["label"][i].as_py() for i in order], np.int64))

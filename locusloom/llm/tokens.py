@@ -24,8 +24,9 @@ MOST_VOCABULARY_BYTES = 64 << 20
 #: change the speed only: a pre-token that the table lacks is encoded by the worker.
 FREQUENT = 50_000
 PILOT_DOCS = 2_000
-#: Pre-tokens that a worker keeps; beyond it the worker starts again from the table.
-CACHE_ENTRIES = 100_000
+#: Pre-tokens that a worker keeps; beyond it the worker starts again from the table.  Longer
+#: ones than ``CACHE_LENGTH`` characters, which seldom come again, are not kept.
+CACHE_ENTRIES, CACHE_LENGTH = 100_000, 64
 
 # Letters of the scripts that most texts keep to; their pattern is the fastest.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -133,6 +134,8 @@ class _Cache(dict):
         self.make, self.table = make, table
 
     def __missing__(self, piece: str):
+        if len(piece) > CACHE_LENGTH:
+            return self.make(piece)
         if len(self) >= CACHE_ENTRIES + len(self.table):
             self.clear()
             self.update(self.table)

@@ -338,3 +338,13 @@ def test_copies_of_one_text_teach_no_stem(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     assert toxicity.learn_toxicity(docs, labels).stems == ()
+
+
+def test_ngrams_taken_to_the_driver_are_bounded(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda rows, marks: taken.append(sum(map(len, rows))))
+    quality.learn_quality(docs, labels)
+    monkeypatch.setattr(quality, "MOST_NGRAMS", taken[0] // 2)
+    quality.learn_quality(docs, labels)
+    assert 0 < taken[1] <= taken[0] // 2

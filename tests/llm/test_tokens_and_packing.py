@@ -155,3 +155,29 @@ def test_plan_places_every_piece_once(seed):
     # No two windows could be one.
     total = sum(n * c for n, c in counts.items())
     assert sequences <= 2 * total / window + 1
+
+
+def test_long_pretokens_are_not_kept():
+    cache = tokens._Cache(len, {})
+    assert cache["x" * 10_000] == 10_000 and not cache
+    assert cache["x" * tokens.CACHE_LENGTH] == tokens.CACHE_LENGTH and len(cache) == 1
+
+
+def test_a_third_without_identifiers_and_long_words(spark):
+    """Rows without an identifier, or with one text in common, spread over slices as others do."""
+    rows = [(None if i % 3 == 0 else i, "one and the same" if i % 2 else "z" * 10_000 + f" {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_packing(df, rows, 64)
+    wants = sorted(str((i, len(library_ids(t)))) for i, t in rows)
+    assert sorted(str((r.doc_id, r.n_tokens)) for r in tokens.count_tokens(df, PATH).collect()) == wants
+
+
+def test_slices_of_a_length_are_even(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_ROWS", 500)
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    seen = {}
+    real = packing.uniform
+    monkeypatch.setattr(packing, "uniform", lambda key: seen.setdefault("slice", real(key)))
+    packed = packing.pack_documents(df, PATH, with_ids=False)
+    assert packed.count() == 4000
+    assert "place" in str(seen["slice"])
