@@ -91,7 +91,8 @@ def _cut(rows: DataFrame, budgets: DataFrame, rows_of_slice: int) -> DataFrame:
     only the slice in which the budget ends is sorted.
     """
     sizes = rows.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / rows_of_slice).alias("slices"))
-    sliced = rows.join(budgets.join(sizes, "name"), "name").withColumn("slice", F.floor(F.col("key") / F.lit(float(1 << _KEY_BITS)) * F.col("slices")))
+    asked = _small(budgets.join(sizes, "name"))
+    sliced = rows.join(asked, "name").withColumn("slice", F.floor(F.col("key") / F.lit(float(1 << _KEY_BITS)) * F.col("slices")))
     in_order = Window.partitionBy("name").orderBy("slice")
     sums = sliced.groupBy("name", "slice", "left").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(in_order) - F.col("words"))
     last = sums.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("words"))).select("name", "slice", "before")
