@@ -91,6 +91,8 @@ def test_quality_on_held_out_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     own = split(spark, "op9_toxicity", "toxic", 0.93)
     assert not any(r.predicted and not r.toxic for r in own)
+    toxic = [r for r in own if r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
 
 
 def test_hard_rows_get_scores(spark, hard):
@@ -161,7 +163,7 @@ def brute_score(text, model):
     matched = list(brute_places(text, model.stems))
     found, places = Counter(name for name, _ in matched), [at for name, at in matched if name == "stem"]
     z, size = model.bias, max(1, len(text or ""))
-    rate = max(toxicity.RARE_LANGUAGE * model.chance, toxicity.LEAST_CHANCE)
+    rate = max(model.rare * model.chance, toxicity.LEAST_CHANCE)
     for name, weight in zip(toxicity.PRIOR, model.weights, strict=True):
         if name != "stem":
             n = found[name] + (found["insult_at_target"] if name == "insult" else 0)
@@ -206,7 +208,7 @@ def test_query_equals_brute_force(spark):
 
 
 def test_insults_in_a_long_text_weigh_as_in_a_short_one():
-    model = toxicity.Model(np.array([2.3, 1.0, 2.0, 0.0, 0.1, 3.5]), -5.5, stems=("zorq",), chance=2e-5)  # weights as labels give them
+    model = toxicity.Model(np.array([2.3, 1.0, 2.0, 0.0, 0.1, 3.5]), -5.5, stems=("zorq",), chance=2e-5, rare=10)  # weights as labels give them
     rng = random.Random(2)
     filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
     clause = " zorqa filler zorqeb words zorqon zorqu. Zorqil zorqat. "
@@ -348,3 +350,38 @@ def test_ngrams_taken_to_the_driver_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality, "MOST_NGRAMS", taken[0] // 2)
     quality.learn_quality(docs, labels)
     assert 0 < taken[1] <= taken[0] // 2
+
+
+PLANTED = [
+    ("threat", "Wait there. I will kill you tomorrow.", 1), ("threat", "ich werde dich töten", 1), ("insult", "Shut up, you are a pathetic idiot! You stupid loser, you are trash.", 1),
+    ("denied", "You are not an idiot. You are not stupid, you are never pathetic! They are not clowns.", 0),
+    ("reported", "My teacher said you are an idiot. She called them losers; he said you are stupid. He wrote you are trash.", 0), ("threatless", "The film will kill time; they shoot at noon.", 0),
+]
+
+
+def test_planted_clauses_and_their_layers(spark, tmp_path, monkeypatch):
+    """Threats are caught, denials and reports left alone, in the query; without their layers they are not."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = spark.createDataFrame([(10_000_000 + i, text) for i, (_, text, _) in enumerate(PLANTED)], "doc_id long, text string")
+    docs.select("doc_id", "text").union(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id - 10_000_000: r.predicted for r in queries.op9_toxicity(spark, str(tmp_path)).where("doc_id >= 10000000").collect()}
+    assert [got[i] for i in range(len(PLANTED))] == [toxic for _, _, toxic in PLANTED]
+    model = toxicity.learn_toxicity(docs, labels)
+    negation, report, threat, insult = toxicity.layers()
+    nothing = toxicity.Transducer({})
+    for kind, layers in (("denied", [nothing, report, threat, insult]), ("reported", [negation, nothing, threat, insult]), ("threat", [negation, report, nothing, insult])):
+        monkeypatch.setattr(toxicity, "layers", lambda layers=layers: layers)
+        matcher = model.matcher()
+        assert [model.score(matcher, text) >= 0.7 for name, text, toxic in PLANTED if name == kind] != [bool(toxic) for name, text, toxic in PLANTED if name == kind]
+
+
+def test_rarity_is_chosen_within_the_rows_given():
+    rng = np.random.default_rng(1)
+    size = np.full(300, 2000.0)
+    labels = (np.arange(300) % 2).astype(float)
+    stems = np.where(labels == 1, rng.poisson(6, 300), rng.poisson(0.4, 300)).astype(float)
+    counts = np.column_stack([np.zeros((300, 5)), stems, *([stems] * len(toxicity.STRETCHES)), size])
+    assert toxicity.best_rarity(counts, labels, 2e-4) in toxicity.RARE_LANGUAGE
+    assert toxicity.best_rarity(counts, labels, 2e-4) == toxicity.best_rarity(counts, labels, 2e-4)
