@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.genes import first_gene
 from ..operators.overlap import overlap_join
+from ..operators.tiles import tiled
 
 _NEED = ("chrom", "chromStart", "chromEnd", "strand", "blockSizes", "blockStarts")
 
@@ -53,14 +52,24 @@ REGIONS = ("CDS", "5'UTR", "3'UTR", "exon_unclassified", "intron", "downstream_1
 OUTSIDE = "deep_intergenic"
 
 
+def _with_flags(intervals: DataFrame, sets: dict[str, DataFrame], rid: str, stranded: bool) -> DataFrame:
+    """The intervals with a boolean column for each set that they overlap.
+
+    The sets are tiled first (see :mod:`..operators.tiles`), so an interval meets few
+    segments however many genes lie on one another, and what it meets is one number.
+    """
+    segments = tiled({kind: df.select("chrom", "chromStart", "chromEnd", "strand") for kind, df in sets.items()}, stranded)
+    hits = _pairs(intervals, segments.withColumnRenamed("mask", "name"), rid, stranded, extra=())
+    masks = hits.groupBy(F.col(rid).alias("_rid")).agg(F.bit_or("region_name").alias("_mask"))
+    out = intervals.join(masks, F.col(rid) == F.col("_rid"), "left")
+    flags = [(F.coalesce("_mask", F.lit(0)).bitwiseAND(1 << i) != 0).alias(kind) for i, kind in enumerate(sets)]
+    return out.select(*[intervals[c] for c in intervals.columns if c not in sets], *flags)
+
+
 def region_flags(intervals: DataFrame, sets: dict[str, DataFrame], rid: str = "name", stranded: bool = False) -> DataFrame:
     """Which of the interval sets ``genic exon 5utr 3utr cds upstream_10k downstream_10k`` each
-    interval overlaps, as boolean columns; one overlap join over all sets together."""
-    tagged = [df.select("chrom", "chromStart", "chromEnd", "strand", F.lit(kind).alias("name")) for kind, df in sets.items()]
-    hits = _pairs(intervals, reduce(DataFrame.unionByName, tagged), rid, stranded, extra=())
-    flags = hits.groupBy(rid).agg(*[F.bool_or(F.col("region_name") == kind).alias(kind) for kind in sets])
-    out = intervals.select(rid).join(flags, rid, "left")
-    return out.select(rid, *[F.coalesce(F.col(kind), F.lit(False)).alias(kind) for kind in sets])
+    interval overlaps, as boolean columns."""
+    return _with_flags(intervals, sets, rid, stranded).select(rid, *sets)
 
 
 def _classes() -> dict[str, Column]:
@@ -76,9 +85,10 @@ def _classes() -> dict[str, Column]:
 
 def annotate_region(intervals: DataFrame, sets: dict[str, DataFrame], rid: str = "name", stranded: bool = False, delimiter: str = "||") -> DataFrame:
     """Region labels of each interval, joined by ``delimiter``; ``deep_intergenic`` without any."""
-    flags = region_flags(intervals, sets, rid, stranded)
+    flags = _with_flags(intervals, sets, rid, stranded)
     labels = F.array_join(F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in _classes().items()])), delimiter)
-    return intervals.join(flags.select(rid, F.when(labels == "", OUTSIDE).otherwise(labels).alias("region")), rid, "left")
+    kept = [c for c in intervals.columns if c not in sets]
+    return flags.select(*kept, F.when(labels == "", OUTSIDE).otherwise(labels).alias("region"))
 
 
 def region_summary(intervals: DataFrame, sets: dict[str, DataFrame], rid: str = "name", stranded: bool = False) -> DataFrame:
