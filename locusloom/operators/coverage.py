@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import blocks, strand_keys
 from .overlap import stretched
-from .scan import binned, running
+from .scan import BIN, binned, running
 
 
 def exact_coverage(tags: DataFrame, stranded: bool = False, weight: Column | None = None, ext5: int = 0, ext3: int = 0) -> DataFrame:
@@ -54,35 +54,51 @@ def normalised(coverage: DataFrame, tags: DataFrame, how: str = "none", factor:
 def hopping_windows(tags: DataFrame, lengths: DataFrame, width: int = 100, step: int = 20, stranded: bool = False, nonzero: bool = False, ext5: int = 0, ext3: int = 0) -> DataFrame:
     """Tags that overlap each window ``[i * step, i * step + width)`` inside a chromosome.
 
-    ``lengths`` has ``chrom`` and ``length``.  Every tag names the windows it meets, which
-    is a grouping by window number and never a join of tags with windows.  A spliced tag
-    does not count where the window lies in its intron.  Returns ``n``, ``total`` and
-    ``mean`` score for each window, zeros included unless ``nonzero``.
+    ``lengths`` has ``chrom`` and ``length``.  A tag is two steps, up at the first window it
+    meets and down after the last, and a spliced one two more around the windows that lie
+    in an intron; steps are summed by window and run along the chromosome.  So the width
+    multiplies no rows, and windows are written out at the end only.  Scores are summed to
+    twelve decimals, which sums of steps keep exact.
+
+    Returns ``n``, ``total`` and ``mean`` score for each window, zeros included unless
+    ``nonzero``.
     """
     keys = strand_keys(stranded)
     tags = stretched(tags, ext5, ext3)
-    last = F.floor((F.col("length") - width) / step)
+    lengths = lengths.where(F.col("length") >= width).withColumn("_last", F.floor((F.col("length") - width) / step))
     lowest = F.greatest(F.floor((F.col("chromStart") - width) / step) + 1, F.lit(0))
-    highest = F.least(F.floor((F.col("chromEnd") - 1) / step), last)
-    score = F.col("score") if "score" in tags.columns else F.lit(1.0)
-    met = tags.withColumn("_score", score).withColumn("_blocks", blocks(tags)).join(lengths, "chrom").where((F.col("length") >= width) & (lowest <= highest))
-    met = met.select(*keys, "_score", "_blocks", F.explode(F.sequence(lowest, highest)).alias("window"))
+    highest = F.least(F.floor((F.col("chromEnd") - 1) / step), F.col("_last"))
+    score = (F.col("score") if "score" in tags.columns else F.lit(1.0)).cast("decimal(27,12)")
+    met = tags.withColumn("_score", score).join(lengths, "chrom").withColumn("_lo", lowest).withColumn("_hi", highest).where("_lo <= _hi")
+
+    def change(window: Column, n: int) -> Column:
+        return F.struct(window.cast("long").alias("window"), F.lit(n).alias("d"))
+
+    changes = F.array(change(F.col("_lo"), 1), change(F.col("_hi") + 1, -1))
     if "blockSizes" in tags.columns:
-        at = F.col("window") * step
-        met = met.where(F.exists("_blocks", lambda b: (b["s"] < at + width) & (at < b["e"])) | ~_inside_gap(at, at + width))
-    counts = met.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n"), F.sum("_score").alias("total"))
-    if not nonzero:
-        grid = lengths.where(F.col("length") >= width).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("window"))
-        if stranded:
-            grid = grid.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
-        counts = grid.join(counts, [*keys, "window"], "left")
-    zero = counts.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0.0)))
-    return zero.select(
+        inner = F.transform(_gaps(blocks(tags)), lambda gap: F.struct(F.greatest(F.ceil(gap["s"] / step), F.col("_lo")).alias("lo"), F.least(F.floor((gap["e"] - width) / step), F.col("_hi")).alias("hi")))
+        held = F.filter(inner, lambda g: g["lo"] <= g["hi"])
+        changes = F.concat(changes, F.flatten(F.transform(held, lambda g: F.array(change(g["lo"], -1), change(g["hi"] + 1, 1)))))
+    steps = met.select(*keys, "_score", F.explode(changes).alias("_c")).select(*keys, "_c.window", F.col("_c.d").alias("n"), (F.col("_c.d") * F.col("_score")).cast("decimal(38,12)").alias("total"))
+    # Every bin of windows has a first row, so that no stretch between changes spans bins.
+    edges = lengths.select("chrom", F.explode(F.concat(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long"), F.lit(BIN).cast("long")), F.array((F.col("_last") + 1).cast("long")))).alias("window"))
+    if stranded:
+        edges = edges.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    edges = edges.select(*keys, "window", F.lit(0).alias("n"), F.lit(0).cast("decimal(38,12)").alias("total"))
+    placed = binned(steps.union(edges).groupBy(*keys, "window").agg(F.sum("n").alias("dn"), F.sum("total").cast("decimal(38,12)").alias("dtotal")), "window", BIN)
+    summed = running(placed, keys, ["window"], {"n": ("sum", F.col("dn")), "total": ("sum", F.col("dtotal"))})
+    along, inside = Window.partitionBy(*keys).orderBy("_bin"), Window.partitionBy(*keys, "_bin").orderBy("window")
+    heads = placed.groupBy(*keys, "_bin").agg(F.min("window").alias("_head")).select(*keys, "_bin", F.lead("_head").over(along).alias("_next"))
+    runs = summed.join(heads, [*keys, "_bin"]).withColumn("_end", F.coalesce(F.lead("window").over(inside), F.col("_next"))).where("_end IS NOT NULL")
+    if nonzero:
+        runs = runs.where("n > 0")
+    each = runs.select(*keys, F.explode(F.sequence(F.col("window"), F.col("_end") - 1)).alias("window"), F.col("n").cast("long").alias("n"), F.col("total").cast("double").alias("total"))
+    return each.select(
         *keys, (F.col("window") * step).alias("chromStart"), (F.col("window") * step + width).alias("chromEnd"),
         F.concat(F.lit("w"), F.col("window").cast("string")).alias("name"), "n", "total", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("mean"),
     )
 
 
-def _inside_gap(start: Column, end: Column) -> Column:
-    gaps = F.zip_with(F.slice("_blocks", 1, F.greatest(F.size("_blocks") - 1, F.lit(0))), F.slice("_blocks", 2, F.size("_blocks")), lambda a, b: F.struct(a["e"].alias("s"), b["s"].alias("e")))
-    return F.exists(gaps, lambda gap: (gap["s"] <= start) & (end <= gap["e"]))
+def _gaps(parts: Column) -> Column:
+    """The introns between an interval's blocks."""
+    return F.zip_with(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 2, F.size(parts)), lambda a, b: F.struct(a["e"].alias("s"), b["s"].alias("e")))

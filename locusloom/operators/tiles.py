@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import strand_keys
+from ..storage import saved
 from .scan import binned, running
 
 #: Sets are bits of a 64-bit number, the sign left out.
@@ -31,7 +32,8 @@ def tiled(sets: dict[str, DataFrame], stranded: bool = False) -> DataFrame:
         return df.dropna(subset=[*keys, "chromStart", "chromEnd"]).select(*keys, F.explode(ends).alias("_e"), F.lit(i).alias("set")).select(*keys, "_e.*", "set")
 
     every = reduce(DataFrame.unionByName, [steps(i, df) for i, df in enumerate(sets.values())])
-    counted = every.groupBy(*keys, "pos").agg(*[F.sum(F.when(F.col("set") == i, F.col("d")).otherwise(0)).alias(f"d{i}") for i in range(len(sets))])
+    # Three steps below read it; positions are few beside intervals.
+    counted = saved(every.groupBy(*keys, "pos").agg(*[F.sum(F.when(F.col("set") == i, F.col("d")).otherwise(0)).alias(f"d{i}") for i in range(len(sets))]))
     placed = binned(counted, "pos")
     summed = running(placed, keys, ["pos"], {f"n{i}": ("sum", F.col(f"d{i}")) for i in range(len(sets))})
     mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"n{i}") > 0, F.lit(1 << i)).otherwise(0).cast("long") for i in range(len(sets))])
