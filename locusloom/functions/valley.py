@@ -1,83 +1,99 @@
-"""Peaks of a coverage block that valleys set apart from higher ones."""
+"""Peaks of coverage that valleys set apart from higher ones, bin by bin.
+
+Looking one way along a stretch, a maximum needs the nearest one that outranks it and the
+least height between, and the steps that are lower than all nearer ones.  Two stacks hold
+that for all places further on: maxima of falling rank, and steps of rising height.  A bin
+reduces to the stacks that its end leaves, and stacks of neighbouring bins merge, so no bin
+has to see another's steps.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 
 
-def _extrema(height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps that are local maxima, and minima; a plateau counts at its last step."""
-    n = len(height)
-    down = np.append(height[:-1] > height[1:], True)  # the next step is lower, or there is none
-    up = np.append(height[:-1] < height[1:], False)
-    from_below = np.concatenate([[True], height[1:] >= height[:-1]])
-    from_above = np.concatenate([[True], height[1:] <= height[:-1]])
-    maxima, minima = down & from_below, up & from_above
-    minima[n - 1] = not maxima[n - 1]
-    return maxima, minima
+@dataclass
+class View:
+    """What can be seen from a place, nearest last.
 
+    ``tops``: ``[height, width, start, low]`` of maxima that outrank all nearer ones; ``low`` is
+    the least height between it and the next of them.  ``lows``: ``(height, edge, start)`` of
+    steps lower than all nearer ones.  ``least`` is the least height since the last maximum,
+    ``lead`` that before the first of ``tops``.
+    """
 
-def _nearest_above(height, width, tops, backwards: bool) -> dict[int, int]:
-    """For each maximum the nearest one before (or after) it that outranks it.
+    tops: list[list] = field(default_factory=list)
+    lows: list[tuple] = field(default_factory=list)
+    least: float = np.inf
+    lead: float = np.inf
 
-    Higher outranks; of equal heights the wider does, and looking forward also one of the
-    same width.  A stack of candidates in falling rank makes it linear.
-    """
-    found, stack = {}, []
-    for t in tops if backwards else tops[::-1]:
-        rank = (height[t], width[t])
-        while stack:
-            top = (height[stack[-1]], width[stack[-1]])
-            if top > rank or (not backwards and top == rank):
-                found[t] = stack[-1]
-                break
-            stack.pop()
-        stack.append(t)
-    return found
+
+def local_maxima(height: np.ndarray, before: float | None, after: float | None) -> np.ndarray:
+    """Steps with no higher one before them and a lower one, or none, after; a plateau counts at its last step."""
+    left = np.concatenate([[-np.inf if before is None else before], height[:-1]])
+    right = np.concatenate([height[1:], [-np.inf if after is None else after]])
+    return (height > right) & (height >= left)
 
 
-def block_peaks(start: np.ndarray, end: np.ndarray, height: np.ndarray, depth: float = 0.9) -> list[dict]:
-    """Peaks of one contiguous block of coverage steps, half-open coordinates.
+def look(view: View, height: np.ndarray, width: np.ndarray, start: np.ndarray, edge: np.ndarray, maxima: np.ndarray, ties_outrank: bool) -> dict[int, tuple]:
+    """Walk over steps, keeping the view; for each maximum ``(start of the one that outranks it,
+    least height between, lower steps up to it, nearest first)``, the first None without any.
 
-    A maximum is a peak if, on each side, a minimum of at most ``1 - depth`` of its height
-    lies before the nearest maximum that outranks it, or no such maximum exists.  Its
-    bounds are the lowest steps towards its neighbours, its half-height extent the first
-    steps at or below half.
+    Higher outranks; of equal heights the wider does, and with ``ties_outrank`` also one
+    of the same width.
     """
-    n = len(height)
-    if n == 1:
-        bounds = dict(left=int(start[0]), right=int(end[0]), half_left=int(start[0]), half_right=int(end[0]))
-        return [dict(start=int(start[0]), end=int(end[0]), height=float(height[0]), **bounds)]
-    maxima, minima = _extrema(height)
-    tops = np.flatnonzero(maxima).tolist()
-    width = end - start
-    before, after = _nearest_above(height, width, tops, True), _nearest_above(height, width, tops, False)
-    floor = 1 - depth
-    low = np.where(minima, height, np.inf)
+    found, empty = {}, not view.tops
+    for i, (h, w, s, e, top) in enumerate(zip(height.tolist(), width.tolist(), start.tolist(), edge.tolist(), maxima.tolist(), strict=True)):
+        if top:
+            least = view.least
+            while view.tops:
+                other = (view.tops[-1][0], view.tops[-1][1])
+                if other > (h, w) or (ties_outrank and other == (h, w)):
+                    view.tops[-1][3] = least = min(view.tops[-1][3], least)
+                    break
+                least = min(least, view.tops.pop()[3])
+            limit = view.tops[-1][2] if view.tops else None
+            far = [low for low in reversed(view.lows) if low[0] < h]
+            if limit is not None:
+                ascending = s > limit
+                far = [low for low in far if (low[2] > limit) == ascending and low[2] != limit]
+            found[i] = (limit, least, far)
+            if not view.tops:
+                view.lead = min(view.lead, least)
+            view.tops.append([h, w, s, np.inf])
+            view.least = np.inf
+        else:
+            view.least = min(view.least, h)
+        while view.lows and view.lows[-1][0] >= h:
+            view.lows.pop()
+        view.lows.append((h, e, s))
+    if not view.tops:
+        view.lead = min(view.lead, view.least)
+    return found
 
-    def valley(t: int, lo: int, hi: int) -> bool:
-        return hi > lo and low[lo:hi].min() / height[t] <= floor
 
-    chosen = [t for t in tops if (t not in before or valley(t, before[t] + 1, t)) and (t not in after or valley(t, t + 1, after[t]))]
-    out = []
-    for nth, t in enumerate(chosen):
-        left = max(before[t] + 1 if t in before else 0, chosen[nth - 1] + 1 if nth else 0)
-        right = min(after[t] - 1 if t in after else n - 1, chosen[nth + 1] - 1 if nth + 1 < len(chosen) else n - 1)
-        sides = {}
-        for side, steps in (("left", range(t - 1, left - 1, -1)), ("right", range(t + 1, right + 1))):
-            lowest, half = t, None
-            for s in steps:
-                if half is None and height[s] / height[t] <= 0.5:
-                    half = s
-                if height[s] < height[lowest]:
-                    lowest = s
-            sides[side] = (lowest, lowest if half is None else half)
-        edge = lambda s, t=t: int(end[s]) if s < t else int(start[s])  # noqa: E731  the far side of a step before the peak
-        other = lambda s, t=t: int(start[s]) if s > t else int(end[s])
-        out.append(
-            dict(
-                start=int(start[t]), end=int(end[t]), height=float(height[t]),
-                left=edge(sides["left"][0]), right=other(sides["right"][0]), half_left=edge(sides["left"][1]), half_right=other(sides["right"][1]),
-            )
-        )
+def merged(far: View, near: View, ties_outrank: bool) -> View:
+    """The view from beyond ``near``, whose steps come after those of ``far``."""
+    out = View([list(t) for t in far.tops], list(far.lows), far.least, far.lead)
+    if near.tops:
+        rank, least = (near.tops[0][0], near.tops[0][1]), min(far.least, near.lead)
+        while out.tops:
+            other = (out.tops[-1][0], out.tops[-1][1])
+            if other > rank or (ties_outrank and other == rank):
+                out.tops[-1][3] = min(out.tops[-1][3], least)
+                break
+            least = min(least, out.tops.pop()[3])
+        if not out.tops:
+            out.lead = min(out.lead, least)
+        out.tops += [list(t) for t in near.tops]
+        out.least = near.least
+    else:
+        out.least = min(far.least, near.least)
+        out.lead = min(far.lead, near.least) if not far.tops else far.lead
+    if near.lows:
+        while out.lows and out.lows[-1][0] >= near.lows[0][0]:
+            out.lows.pop()
+        out.lows += near.lows
     return out

@@ -2,55 +2,141 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.stats import scan_p
-from ..functions.valley import block_peaks
+from ..functions.valley import View, local_maxima, look, merged
 from ..model import blocks, strand_keys
 from ..operators.cluster import best_per_island
 from ..operators.coverage import exact_coverage
 from ..operators.overlap import overlap_join
-from ..operators.scan import binned, numbered, running
+from ..operators.scan import binned, numbered, with_previous
 from ..storage import saved
 
-_PEAK = "start:bigint,end:bigint,height:double,left:bigint,right:bigint,half_left:bigint,half_right:bigint"
+#: Coordinates of one bin, which bounds the steps that a task holds.
+VALLEY_BIN = 1 << 17
+_LOWS = "array<struct<height:double,edge:bigint,start:bigint>>"
 
 
-def contiguous_blocks(coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``block``: the start of the unbroken stretch of coverage that a step is in."""
-    placed = running(binned(coverage), keys, ["chromStart"], {"_reach": ("max", F.col("chromEnd"))}, inclusive=False)
-    first = F.when(F.coalesce(F.col("chromStart") > F.col("_reach"), F.lit(True)), F.col("chromStart"))
-    return running(placed.withColumn("_first", first), keys, ["chromStart"], {"block": ("max", F.col("_first"))}).drop("_bin", "_reach", "_first")
+def _stretches(table: pa.Table) -> list[dict[str, np.ndarray]]:
+    """The steps of a bin in order, cut where coverage breaks off."""
+    start, end, height = (table.column(c).to_numpy() for c in ("chromStart", "chromEnd", "score"))
+    order = np.argsort(start)
+    start, end, height = start[order], end[order], height[order]
+    cuts = np.flatnonzero(start[1:] != end[:-1]) + 1
+    parts = zip(*(np.split(x, cuts) for x in (start, end, height)), strict=True)
+    return [dict(start=s, end=e, height=h) for s, e, h in parts]
 
 
-def valley_peaks(coverage: DataFrame, depth: float = 0.9, least: float = 2.0, stranded: bool = True) -> DataFrame:
-    """Local maxima that valleys set apart, with their bounds and half-height extents.
+def _maxima(parts: list[dict], before: float | None, after: float | None) -> list[np.ndarray]:
+    last = len(parts) - 1
+    return [local_maxima(p["height"], before if i == 0 else None, after if i == last else None) for i, p in enumerate(parts)]
 
-    A group is one unbroken stretch of coverage.
-    """
-    keys = strand_keys(stranded)
-    marked = contiguous_blocks(coverage, keys)
-    if not stranded:
-        marked = marked.withColumn("strand", F.lit("+"))
 
-    @F.pandas_udf(f"array<struct<{_PEAK}>>")
-    def find(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([block_peaks(start, end, height, depth) for start, end, height in zip(*batch, strict=True)])
+def _walk(view: View, part: dict, maxima: np.ndarray, forward: bool) -> dict[int, tuple]:
+    """Look back along a stretch, or with ``forward`` ahead: then its steps come in reverse."""
+    s, e, h = part["start"], part["end"], part["height"]
+    if not forward:
+        return look(view, h, e - s, s, e, maxima, False)
+    found = look(view, h[::-1], (e - s)[::-1], s[::-1], s[::-1], maxima[::-1], True)
+    return {len(h) - 1 - i: f for i, f in found.items()}
+
+
+def _summaries(rows: DataFrame, keys: list[str], kinds: str) -> DataFrame:
+    """For every bin the views that its two ends leave, and whether one stretch fills it."""
+
+    def summary(table: pa.Table) -> pa.Table:
+        first = {c: table.column(c)[0].as_py() for c in (*keys, "_bin", "before", "after")}
+        parts = _stretches(table)
+        maxima = _maxima(parts, first["before"], first["after"])
+        back, ahead = View(), View()
+        _walk(back, parts[-1], maxima[-1], False)
+        _walk(ahead, parts[0], maxima[0], True)
+        row = {c: first[c] for c in (*keys, "_bin")}
+        row |= dict(through=len(parts) == 1, joins_left=first["before"] is not None, joins_right=first["after"] is not None, back=pickle.dumps(back), ahead=pickle.dumps(ahead))
+        return pa.Table.from_pylist([row])
+
+    return rows.groupBy(*keys, "_bin").applyInArrow(summary, f"{kinds}, _bin bigint, through boolean, joins_left boolean, joins_right boolean, back binary, ahead binary")
+
 
-    steps = F.sort_array(F.collect_list(F.struct("chromStart", "chromEnd", "score")))
-    whole = marked.groupBy("chrom", "strand", "block").agg(steps.alias("s"))
+def _carried(summaries: DataFrame, keys: list[str], kinds: str) -> DataFrame:
+    """What each bin sees beyond its ends: views merged along the chromosome, a row for each bin."""
 
-    def field(name: str) -> Column:
-        return F.transform("s", lambda step: step[name]).alias(name)
+    def scan(table: pa.Table) -> pa.Table:
+        bins = sorted(table.to_pylist(), key=lambda r: r["_bin"])
+        for way, joined, ties, order in (("back", "joins_left", False, bins), ("ahead", "joins_right", True, bins[::-1])):
+            view = View()
+            for r in order:
+                seen = view if r[joined] else View()
+                own = pickle.loads(r[way])
+                view = merged(seen, own, ties) if r["through"] and r[joined] else own
+                r[f"far_{way}"] = pickle.dumps(seen)
+        return pa.Table.from_pylist([{c: r[c] for c in (*keys, "_bin", "far_back", "far_ahead")} for r in bins])
 
-    columns = [field(c) for c in ("chromStart", "chromEnd", "score")]
-    found = whole.select("chrom", "strand", *columns).select("chrom", "strand", F.explode(find("chromStart", "chromEnd", "score")).alias("p"))
-    peaks = found.select("chrom", "strand", F.col("p.start").alias("chromStart"), F.col("p.end").alias("chromEnd"), F.col("p.height").alias("score"), "p.left", "p.right", "p.half_left", "p.half_right")
+    return summaries.groupBy(*keys).applyInArrow(scan, f"{kinds}, _bin bigint, far_back binary, far_ahead binary")
+
+
+def valley_peaks(coverage: DataFrame, depth: float = 0.9, least: float = 2.0, stranded: bool = True) -> DataFrame:
+    """Local maxima that valleys set apart, with their bounds and half-height extents.
+
+    A maximum is a peak if, on each side, a step of at most ``1 - depth`` of its height lies
+    before the nearest maximum that outranks it, or coverage breaks off before one comes.
+    Its bounds are the lowest steps towards its neighbours, its half-height extent the first
+    steps at or below half.
+
+    Steps are taken in bins of coordinates (see :mod:`..functions.valley`): each bin gives the
+    stacks that are seen from its ends, these are merged along the chromosome, and each bin is
+    then walked once more from what lies beyond it.  A stretch of any length is as many tasks
+    as it has bins, and no task holds more than one bin's steps.
+    """
+    keys = strand_keys(stranded)
+    kinds = ", ".join(f"{k} string" for k in keys)
+    steps = binned(coverage.select(*keys, "chromStart", "chromEnd", F.col("score").cast("double").alias("score")), width=VALLEY_BIN)
+    along = Window.partitionBy(*keys).orderBy("_bin")
+    step = F.struct("chromStart", "chromEnd", "score")
+    ends = steps.groupBy(*keys, "_bin").agg(F.min(step).alias("head"), F.max(step).alias("tail")).select("*", F.lag("tail").over(along).alias("l"), F.lead("head").over(along).alias("r"))
+    ends = ends.select(*keys, "_bin", F.when(F.col("l.chromEnd") == F.col("head.chromStart"), F.col("l.score")).alias("before"), F.when(F.col("tail.chromEnd") == F.col("r.chromStart"), F.col("r.score")).alias("after"))
+    rows = steps.join(ends, [*keys, "_bin"])
+    carried = _carried(_summaries(rows, keys, kinds), keys, kinds)
+
+    def choose(table: pa.Table, beyond: pa.Table) -> pa.Table:
+        first = {c: table.column(c)[0].as_py() for c in (*keys, "_bin", "before", "after")}
+        parts = _stretches(table)
+        maxima = _maxima(parts, first["before"], first["after"])
+        far_back, far_ahead = (pickle.loads(beyond.column(c)[0].as_py()) for c in ("far_back", "far_ahead"))
+        out = []
+        for i, part in enumerate(parts):
+            back = _walk(far_back if i == 0 else View(), part, maxima[i], False)
+            ahead = _walk(far_ahead if i == len(parts) - 1 else View(), part, maxima[i], True)
+            for t, (limit, low, lows) in back.items():
+                height = float(part["height"][t])
+                next_limit, next_low, next_lows = ahead[t]
+                if all(at is None or least / height <= 1 - depth for at, least in ((limit, low), (next_limit, next_low))):
+                    out.append(dict({k: first[k] for k in keys}, chromStart=int(part["start"][t]), chromEnd=int(part["end"][t]), score=height, lows=lows, next_lows=next_lows))
+        return pa.Table.from_pylist([r | {c: [dict(height=h, edge=e, start=s) for h, e, s in r[c]] for c in ("lows", "next_lows")} for r in out], arrow)
+
+    schema = f"{kinds}, chromStart bigint, chromEnd bigint, score double, lows {_LOWS}, next_lows {_LOWS}"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    found = saved(rows.groupBy(*keys, "_bin").cogroup(carried.groupBy(*keys, "_bin")).applyInArrow(choose, schema))
+    # A neighbouring peak ends the search too, wherever it lies.
+    named = with_previous(binned(found), keys, ["chromStart"], "_prior").drop("_bin").withColumn("_away", -F.col("chromStart"))
+    named = with_previous(binned(named, "_away"), keys, ["_away"], "_later").drop("_bin")
+    inner = F.filter("lows", lambda s: F.col("_prior").isNull() | (s["start"] > F.col("_prior.chromStart")))
+    outer = F.filter("next_lows", lambda s: F.col("_later").isNull() | (s["start"] < -F.col("_later._away")))
+    half = F.col("score") / 2
+    bounds = {}
+    for side, lows, own in (("left", inner, "chromStart"), ("right", outer, "chromEnd")):
+        bounds[side] = F.coalesce(F.get(lows, F.size(lows) - 1)["edge"], F.col(own))
+        bounds[f"half_{side}"] = F.coalesce(F.get(F.filter(lows, lambda s: s["height"] <= half), F.lit(0))["edge"], bounds[side])
+    strand = F.col("strand") if stranded else F.lit("+")
+    peaks = named.select("chrom", strand.alias("strand"), "chromStart", "chromEnd", "score", *[bounds[c].alias(c) for c in ("left", "right", "half_left", "half_right")])
     return peaks.where(F.col("score") >= least)
 
 

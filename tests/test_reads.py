@@ -7,7 +7,7 @@ import plain_alignment
 import pytest
 from pyspark.sql import functions as F
 
-from locusloom.functions import em, seq, stats, valley
+from locusloom.functions import em, seq, stats
 from locusloom.operators import collapse, differential, fdr, genes, mutations, reads, rows
 from locusloom.plans import annotate, cims, cits, peaks
 from locusloom.sources import alignments, bed, fastx, tables, tracks
@@ -76,40 +76,6 @@ def test_statistics():
     assert stats.binomial_two_sided(0, 10, 0.5) == pytest.approx(2 / 1024)
 
 
-def brute_peaks(start, end, height, depth):
-    """Valley rules by full scans."""
-    n, floor = len(height), 1 - depth
-    if n == 1:
-        return [start[0]]
-    tops = [i for i in range(n) if (i == n - 1 or height[i] > height[i + 1]) and (i == 0 or height[i] >= height[i - 1])]
-    lows = [i for i in range(n) if i not in tops and (i == n - 1 or height[i] < height[i + 1]) and (i == 0 or height[i] <= height[i - 1])]
-    rank = lambda i: (height[i], end[i] - start[i])
-    keep = []
-    for t in tops:
-        before = next((j for j in reversed(tops) if j < t and rank(j) > rank(t)), None)
-        after = next((j for j in tops if j > t and rank(j) >= rank(t)), None)
-        left = before is None or any(before < v < t and height[v] / height[t] <= floor for v in lows)
-        right = after is None or any(t < v < after and height[v] / height[t] <= floor for v in lows)
-        if left and right:
-            keep.append(start[t])
-    return keep
-
-
-def test_valleys_equal_full_scans():
-    rng = random.Random(3)
-    for _ in range(300):
-        n = rng.randrange(1, 25)
-        width = [rng.randrange(1, 4) for _ in range(n)]
-        start = np.cumsum([0, *width[:-1]])
-        end, height = start + np.array(width), np.array([float(rng.randrange(1, 7)) for _ in range(n)])
-        for i in range(1, n):  # steps of coverage differ
-            if height[i] == height[i - 1]:
-                height[i] += 1
-        found = valley.block_peaks(start, end, height, 0.6)
-        assert [p["start"] for p in found] == brute_peaks(start.tolist(), end.tolist(), height.tolist(), 0.6)
-        assert all(p["left"] <= p["start"] and p["right"] >= p["end"] for p in found)
-
-
 def parsed(spark, lines, **options):
     """Reads (flag, pos, cigar, seq, tags) as parsed by columns, None for those left out."""
     text = [("\t".join([f"q{i}", str(flag), "c", str(pos), "60", cigar, "*", "0", "0", seq, "*", *([tags] if tags else [])]),) for i, (flag, pos, cigar, seq, tags) in enumerate(lines)]
