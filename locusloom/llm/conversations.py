@@ -73,7 +73,7 @@ walk AS (
 sizes AS (SELECT conv, max(n) AS n FROM steps GROUP BY conv),
 ended AS (SELECT walk.* FROM walk JOIN sizes USING (conv, n))"""
 
-_WHOLE_SQL = f"""
+WHOLE_SQL = f"""
 WITH RECURSIVE {_GRAMMAR}, {_WALK.format(every_entry="false")},
 best AS (
   SELECT conv, min(e.cost + gap.cost) AS cost, arg_min(e.audit || gap.audit, (e.cost + gap.cost, e.audit || gap.audit)) AS audit
@@ -315,7 +315,7 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
         named = F.broadcast(named) if longs <= MOST_SENT else named
         near = _by_name(rows, named.select("conv_id"), "left_anti")
     near = near.select("conv_id", F.lit(0).cast("long").alias("part"), "turn", "role", "text", _fault("text").alias("fault"), F.lit(None).cast("boolean").alias("again"))
-    report = saved(_batches(near, _WHOLE_SQL, f"conv_id {_type(rows)}, {_COUNTS}, turns {_TURNS}", total or 0, size or 0))
+    report = saved(_batches(near, WHOLE_SQL, f"conv_id {_type(rows)}, {_COUNTS}, turns {_TURNS}", total or 0, size or 0))
     if not longs:
         return Repaired(report, None)
     more, long = _repair_long(_by_name(rows, named.select("conv_id"), "left_semi"), sizes.select("conv_id", "gaps"))

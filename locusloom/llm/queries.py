@@ -139,6 +139,36 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, every["conv_id"].eqNullSafe(found["conv_id"]), "left").select(every["conv_id"], *counts, *texts)
 
 
+def _op11_sql() -> str:
+    """The whole table as one batch; crc32 by its table of bytes."""
+    body = conversations.WHOLE_SQL.strip().removeprefix("WITH RECURSIVE")
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS steps
+  FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+named AS (SELECT *, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS bytes FROM conversations),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind
+  FROM named, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM keyed),
+turns AS (
+  SELECT conv_id, 0 AS part, turn, role, text, NULL::BOOLEAN AS again,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' END AS fault
+  FROM damaged),
+report AS (WITH RECURSIVE {body}),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(list_transform(list_filter(r.turns, lambda t: t.edit != 'D'), lambda t: t.role || ':' || t.text), chr(10)), '')) AS repaired_sha256
+FROM every e LEFT JOIN report r ON e.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
@@ -197,4 +227,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op5_source_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op12_vector_codes": _op12_sql()}
+    return {"op1_url_filter": OP1_SQL, "op5_source_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op11_conversation_repair": _op11_sql(), "op12_vector_codes": _op12_sql()}

@@ -4,11 +4,12 @@ import re
 import zlib
 from functools import cache
 
+import duckdb
 import pytest
 
 from locusloom.llm import conversations
 from locusloom.llm.conversations import repair_conversations
-from locusloom.llm.queries import op11_conversation_repair
+from locusloom.llm.queries import op11_conversation_repair, oracle_sql
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 NEXT = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
@@ -126,3 +127,15 @@ def test_empty_table_and_clashing_names(spark, tmp_path):
     wide = spark.createDataFrame([(1, 0, "user", "Hi.", 1, 2)], SCHEMA + ", part int, audit int").withColumnRenamed("text", "body")
     found = repair_conversations(wide, text_col="body").report.collect()
     assert [(r["conv_id"], r["cost"], r["audit"]) for r in found] == [(1, 3, "KI")]
+
+
+def test_query_equals_sql(spark, tmp_path):
+    """On a given table and on hard rows; the SQL takes the whole table as one batch."""
+    rows = rows_of(5, 40, 10)
+    of_query(spark, rows, tmp_path)
+    for folder, glob in (("/root/testdata/sf0.001", "conversations.parquet"), (str(tmp_path), "conversations.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/{glob}'")
+        expected = con.execute(oracle_sql()["op11_conversation_repair"]).fetchall()
+        found = op11_conversation_repair(spark, folder).select("conv_id", *COLUMNS).collect()
+        assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected)) and len(expected) > 5
