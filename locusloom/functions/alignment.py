@@ -86,18 +86,23 @@ def between_runs(found: Column, least: int) -> Column:
     return F.struct(F.array_position(long, F.lit(True)).alias("first"), F.when(last == 0, F.lit(0)).otherwise(F.size(found) + 1 - last).cast(_LONG).alias("last"))
 
 
-def mutations(ops: Column, found: Column, runs: Column, indel_runs: Column, seq: Column, start: Column, anchor: int, indel_anchor: int) -> Column:
+def named_tokens(found: Column, pattern: str) -> Column:
+    """The tokens of one kind with their number among all, from 1, as ``at``."""
+    placed = F.transform(found, lambda t, i: F.struct(t["pos"].alias("pos"), t["text"].alias("text"), (i + 1).alias("at")))
+    return F.filter(placed, lambda t: t["text"].rlike(pattern))
+
+
+def mutations(ops: Column, subs: Column, gone: Column, runs: Column, indel_runs: Column, seq: Column, start: Column, anchor: int, indel_anchor: int) -> Column:
     """All mutations in the order of operations.
 
     A substitution lies in the match that covers its position, a deletion is named by the
     MD token at its position, an insertion by the read.  Each is good if runs of matches
     long enough stand somewhere on both of its sides, or, an insertion, far enough from
-    the read's ends.  Bases other than A, C, G, T make none.
+    the read's ends.  Bases other than A, C, G, T make none.  ``subs`` and ``gone`` are the
+    MD's replaced and deleted bases by :func:`named_tokens`.
     """
     plain = r"^[ACGTacgt]*$"
-    placed = F.transform(found, lambda t, i: F.struct(t["pos"].alias("pos"), t["text"].alias("text"), (i + 1).alias("at")))
-    subs = F.filter(placed, lambda t: t["text"].rlike("^[A-Za-z]$"))
-    gone = F.filter(placed, lambda t: t["text"].startswith("^"))
+    none = F.array().cast(f"array<{_MUTATION}>")
 
     def within(at: Column, anchors: Column, least: int) -> Column:
         return F.lit(True) if least <= 0 else (anchors["first"] > 0) & (anchors["first"] < at) & (at < anchors["last"])
@@ -118,7 +123,9 @@ def mutations(ops: Column, found: Column, runs: Column, indel_runs: Column, seq:
         deleted = F.transform(F.slice(here, F.greatest(F.size(here), F.lit(1)), 1), lambda d: of(where, op["n"], op["read"], F.substring(d["text"], 2, 1 << 30), "-", F.lit("."), within(d["at"], indel_runs, indel_anchor)))
         far = (op["read"] >= indel_anchor) & (op["read"] + op["n"] - 1 <= F.length(seq) - 1 - indel_anchor)
         added = F.array(of(where, one_base, op["read"], F.lit("."), "+", bases(op["read"], op["n"]), far))
-        return F.when(op["op"] == "M", replaced).when(op["op"] == "D", deleted).when(op["op"] == "I", added).otherwise(F.array().cast(f"array<{_MUTATION}>"))
+        # Their sizes are asked as well, so that Spark does not move the arrays' making into this step of each operation.
+        some_subs, some_gone = F.size(subs) > 0, F.size(gone) > 0
+        return F.when((op["op"] == "M") & some_subs, replaced).when((op["op"] == "D") & some_gone, deleted).when(op["op"] == "I", added).otherwise(none)
 
     every = F.flatten(F.transform(ops, one))
     return F.filter(every, lambda m: ((m["mtype"] == "+") | m["refBase"].rlike(plain)) & ((m["mtype"] == "-") | m["altBase"].rlike(plain)))

@@ -105,10 +105,10 @@ def parse_sam(sam: DataFrame, least_quality: int = 0, least_length: int = 0, anc
         "*", (~clipped).cast("int").alias("matchStart"), _blocks(F.col("_core")).alias("_blocks"), F.when(~same, A.operations(F.col("_core"))).alias("_ops"), F.when(~same, A.tokens(md)).alias("_tokens"),
         F.when(cut + back > 0, F.substring(F.col("SEQ"), (cut + 1).cast("int"), F.greatest(F.length("SEQ") - cut - back, F.lit(0)).cast("int"))).otherwise(F.col("SEQ")).alias("_seq"), score.alias("_score"),
     )
-    rows = rows.withColumn("_runs", A.between_runs(F.col("_tokens"), anchor)).withColumn("_indel_runs", A.between_runs(F.col("_tokens"), indel_anchor))
-    found = A.mutations(F.col("_ops"), F.col("_tokens"), F.col("_runs"), F.col("_indel_runs"), F.col("_seq"), F.col("POS") - 1, anchor, indel_anchor)
+    made = {"_runs": A.between_runs(F.col("_tokens"), anchor), "_indel_runs": A.between_runs(F.col("_tokens"), indel_anchor), "_subs": A.named_tokens(F.col("_tokens"), "^[A-Za-z]$"), "_gone": A.named_tokens(F.col("_tokens"), r"^\^")}
+    found = A.mutations(F.col("_ops"), F.col("_subs"), F.col("_gone"), F.col("_runs"), F.col("_indel_runs"), F.col("_seq"), F.col("POS") - 1, anchor, indel_anchor)
     none = F.array().cast(_MUTATIONS)
-    return rows.select("chrom", "name", "chromStart", "chromEnd", F.col("_score").cast("double").alias("score"), "strand", "matchStart", F.col("_blocks.sizes").alias("blockSizes"), F.col("_blocks.starts").alias("blockStarts"), F.coalesce(found, none).alias("mutations"))
+    return rows.withColumns(made).select("chrom", "name", "chromStart", "chromEnd", F.col("_score").cast("double").alias("score"), "strand", "matchStart", F.col("_blocks.sizes").alias("blockSizes"), F.col("_blocks.starts").alias("blockStarts"), F.coalesce(found, none).alias("mutations"))
 
 
 def sam_tags(sam: DataFrame, least_quality: int = 0, least_length: int = 0, indel_in_score: bool = False) -> DataFrame:
