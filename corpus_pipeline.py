@@ -29,11 +29,14 @@ def _bounded(spark: SparkSession) -> None:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go.  Null and empty texts have no insults and stay."""
     _bounded(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space the one with the smallest identifier stays, null last;
+    a null text is an empty one."""
     return drop_copies(docs)
 
 
@@ -46,10 +49,12 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those without words are not taken."""
     return mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, a null text having its end id alone."""
     _bounded(spark)
     return pack_documents(docs, public_tokenizers.path(VOCABULARY), with_ids=False)
 
@@ -67,6 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that all stages leave of ``documents``.
+
+    Edge cases: those of the stages; null identifiers are carried along and null sources are
+    one source; extra columns reach the last stage; an empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
