@@ -426,23 +426,36 @@ _add("random_subinterval", lambda v: M.random_subinterval(v["regions"], 10),
         FROM (SELECT *, {_drawn("(chromEnd - chromStart - 10)", "1", "chrom", "chromStart", "chromEnd", "name")} AS d FROM regions)""")
 
 
-def _simulated(total: str, per: str) -> str:
-    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY chrom, chromStart, chromEnd, strand, name) - 1 AS nth, count(*) OVER () AS c FROM tags),
-        ids AS (SELECT unnest(range(0, {total})) AS id), draws AS (SELECT id, id // {per} AS iteration, {_drawn("(SELECT count(*) FROM tags)", "1:tag", "id")} AS nth FROM ids),
-        placed AS (SELECT *, 1 + {_drawn("greatest(chromEnd - chromStart - 2, 1)", "1:place", "id")} AS place FROM draws JOIN numbered USING (nth)),
+def _simulated(total: str, per: str, empirical: bool = False) -> str:
+    offsets, place, drawn, of = "", f"1 + {_drawn('greatest(chromEnd - chromStart - 2, 1)', '1:place', 'id')}", "", ""
+    if empirical:  # a place is the offset of a drawn mutation from its read's 5' end
+        offsets = """offs AS (SELECT CASE m.strand WHEN '+' THEN m.chromStart - t.chromStart ELSE t.chromEnd - m.chromEnd END AS place FROM mutations m JOIN tags t USING (name)),
+        ranked AS (SELECT place, row_number() OVER (ORDER BY place) - 1 AS p FROM offs), """
+        place, drawn, of = "ranked.place", f", {_drawn('(SELECT count(*) FROM offs)', '1:place', 'id')} AS p", " JOIN ranked USING (p)"
+    return f"""{offsets}numbered AS (SELECT *, row_number() OVER (ORDER BY chrom, chromStart, chromEnd, strand, name) - 1 AS nth, count(*) OVER () AS c FROM tags),
+        ids AS (SELECT unnest(range(0, {total})) AS id), draws AS (SELECT id, id // {per} AS iteration, {_drawn("(SELECT count(*) FROM tags)", "1:tag", "id")} AS nth{drawn} FROM ids),
+        placed AS (SELECT draws.id, draws.iteration, numbered.* EXCLUDE (nth), {place} AS place FROM draws JOIN numbered USING (nth){of}),
         sim AS (SELECT iteration::INT AS iteration, chrom, greatest(CASE strand WHEN '+' THEN chromStart + place ELSE chromEnd - 1 - place END, 0) AS chromStart, concat('s', id) AS name, 0.0::DOUBLE AS score, strand FROM placed)"""
 
 
 _add("simulate_sites", lambda v: U.simulate_sites(v["tags"], 1000, 2),
      f", {_simulated('2000', '1000')} SELECT iteration, chrom, chromStart, chromStart + 1 AS chromEnd, name, score, strand FROM sim")
-_add("cims", lambda v: cims.mutation_sites(v["tags"], v["mutations"]).select("chrom", "chromStart", "chromEnd", "name", "score", "strand", "k", "m", _r("fdr"), "sites_ge"),
-     f""", {_SITES.format('')}, {_HIST}, {_simulated("(SELECT 5 * count(*) FROM mutations)", "(SELECT count(*) FROM mutations)")},
+def _cims_sql(empirical: bool = False, kept: str = "true") -> str:
+    return f""", {_SITES.format('')}, {_HIST}, {_simulated("(SELECT 5 * count(*) FROM mutations)", "(SELECT count(*) FROM mutations)", empirical)},
         s3 AS (SELECT iteration, chrom, chromStart, strand, count(*) AS m FROM sim GROUP BY ALL), spots AS (SELECT DISTINCT chrom, chromStart, strand FROM s3),
         deep AS (SELECT p.chrom, p.chromStart, p.strand, count(t.name) AS k FROM spots p LEFT JOIN tags t ON t.chrom = p.chrom AND t.strand = p.strand AND t.chromStart <= p.chromStart AND p.chromStart < t.chromEnd GROUP BY ALL),
         q AS (SELECT k, m, count(*) AS n FROM s3 JOIN deep USING (chrom, chromStart, strand) GROUP BY ALL), qc AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY m DESC) AS c FROM q),
         f AS (SELECT hc.*, CASE WHEN c IS NULL THEN 0 ELSE least(1.0, c / 5.0 / sites_ge) END AS raw FROM hc LEFT JOIN qc USING (k, m)),
         fm AS (SELECT k, m, sites_ge, round(max(raw) OVER (PARTITION BY m ORDER BY k ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS fdr FROM f)
-        SELECT chrom, chromStart, chromEnd, concat(chrom, ':', chromStart, strand) AS name, m::DOUBLE AS score, strand, k, m, fdr, sites_ge FROM k JOIN fm USING (k, m)""")
+        SELECT chrom, chromStart, chromEnd, concat(chrom, ':', chromStart, strand) AS name, m::DOUBLE AS score, strand, k, m, fdr, sites_ge FROM k JOIN fm USING (k, m) WHERE {kept}"""
+
+
+def _cims(v: dict[str, DataFrame], **options) -> DataFrame:
+    return cims.mutation_sites(v["tags"], v["mutations"], **options).select("chrom", "chromStart", "chromEnd", "name", "score", "strand", "k", "m", _r("fdr"), "sites_ge")
+
+
+_add("cims", _cims, _cims_sql())
+_add("cims_empirical", lambda v: _cims(v, empirical=True, least_ratio=0.5), _cims_sql(True, "m / k >= 0.5"))
 
 
 def _scan_sql(p: float, prefix: str) -> str:
