@@ -74,3 +74,11 @@ def test_depths_see_pile_ups_by_position(spark):
     deep = spark.range(20_000).selectExpr("'c' AS chrom", "100L AS chromStart", "130L AS chromEnd", "'+' AS strand")
     site = spark.createDataFrame([("c", 129, 130, "s", 0.0, "+")], BED)
     assert ranks.base_depths(site, deep, stranded=True).first()["n"] == 20_000
+
+
+def test_lengths_are_broadcast(spark, no_broadcast):
+    rows = tags(spark)
+    lengths = rows.groupBy("chrom").agg(F.max("chromEnd").alias("length"))
+    assert "SortMergeJoin" not in plan(geometry.clamp(rows, lengths))
+    met = plan(coverage.hopping_windows(rows, lengths, stranded=True, nonzero=True))
+    assert "[length" not in met or "BroadcastHashJoin [chrom" in met
