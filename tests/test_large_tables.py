@@ -82,3 +82,13 @@ def test_lengths_are_broadcast(spark, no_broadcast):
     assert "SortMergeJoin" not in plan(geometry.clamp(rows, lengths))
     met = plan(coverage.hopping_windows(rows, lengths, stranded=True, nonzero=True))
     assert "[length" not in met or "BroadcastHashJoin [chrom" in met
+
+
+def test_alleles_take_one_group(spark, no_broadcast):
+    rng = random.Random(3)
+    rows = [("c", s := rng.randrange(300), s + 1, f"m{i}", 1.0, rng.choice("+-"), "A", rng.choice(">>-"), rng.choice("CGTN")) for i in range(400)]
+    muts, reads = spark.createDataFrame(rows, BED + ", refBase string, mtype string, altBase string"), tags(spark, reach=300)
+    found, subs = alleles.site_alleles(reads, muts), muts.where("mtype = '>'")
+    assert "Join" not in plan(found)
+    want = mutations.allele_counts(mutations.depth_at(site_counts(subs), reads).withColumn("refBase", F.lit("A")), subs)
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
