@@ -92,3 +92,24 @@ def test_alleles_take_one_group(spark, no_broadcast):
     assert "Join" not in plan(found)
     want = mutations.allele_counts(mutations.depth_at(site_counts(subs), reads).withColumn("refBase", F.lit("A")), subs)
     assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+@pytest.mark.parametrize("error", [None, 0.02])
+def test_mixtures_of_many_places_equal_one_by_one(error):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ACGT") for _ in range(3)) for _ in range(300)]
+    names = [sorted(set(rng.choices(words, k=rng.randrange(1, 30)))) for _ in range(200)] + [["C", "A"], ["A", "C"]]
+    copies = [[float(rng.choice([1, 1, 2, 50, 400])) for _ in row] for row in names]
+    for one, many in zip([em.barcode_mixture(n, c, error) for n, c in zip(names, copies, strict=True)], em.barcode_mixtures(names, copies, error), strict=True):
+        for key, want in one.items():
+            assert np.allclose(many[key], want, rtol=1e-9, atol=1e-12), key
+
+
+def test_error_rate_groups_places_once(spark, monkeypatch):
+    """The table that the rounds read has a row for each place, so none of them shuffles it."""
+    kept = []
+    monkeypatch.setattr(collapse, "saved", lambda df: kept.append(df) or df)
+    monkeypatch.setattr(collapse, "drop_saved", lambda df: None)
+    reads = spark.createDataFrame([("c", 5, 30, f"t{i}", 1.0, "+", b) for i, b in enumerate(["ACG"] * 9 + ["ACT", "GGG"])], BED + ", barcode string")
+    assert 0 < collapse.global_error_rate(reads, least=3) < 0.1
+    assert len(kept) == 1 and kept[0].count() == 1 and "Join" not in plan(kept[0])
