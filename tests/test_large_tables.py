@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from locusloom.functions import em
 from locusloom.operators import collapse, coverage, geometry, mutations, ranks
 from locusloom.operators.cluster import site_counts
-from locusloom.plans import alleles, cims
+from locusloom.plans import alleles, annotate, cims
 
 BED = "chrom string, chromStart long, chromEnd long, name string, score double, strand string"
 
@@ -113,3 +113,18 @@ def test_error_rate_groups_places_once(spark, monkeypatch):
     reads = spark.createDataFrame([("c", 5, 30, f"t{i}", 1.0, "+", b) for i, b in enumerate(["ACG"] * 9 + ["ACT", "GGG"])], BED + ", barcode string")
     assert 0 < collapse.global_error_rate(reads, least=3) < 0.1
     assert len(kept) == 1 and kept[0].count() == 1 and "Join" not in plan(kept[0])
+
+
+@pytest.mark.parametrize("stranded", [False, True])
+def test_flags_need_no_join_by_name(spark, no_broadcast, stranded):
+    """Short, empty and long intervals; only long ones are joined by pairs."""
+    rng = random.Random(6)
+    sets = {k: spark.createDataFrame([("c", s := rng.randrange(9_000), s + rng.choice([1, 9, 60, 700]), k, 0.0, rng.choice("+-")) for _ in range(40)], BED) for k in ("genic", "exon", "cds")}
+    short = [("c", s := rng.randrange(9_000), s + rng.randrange(90), f"t{i}", 1.0, rng.choice("+-")) for i in range(400)] + [(None, 1, 9, "none", 1.0, "+"), ("x", 1, 9, "away", 1.0, "+")]
+    for rows in (short, [*short, ("c", 100, 8_000, "long", 1.0, "+")]):
+        found = annotate.region_flags(spark.createDataFrame(rows, BED), sets, stranded=stranded)
+        assert ("name" in "".join(x for x in plan(found).splitlines() if "Exchange hashpartitioning(name" in x)) == (len(rows) > len(short))
+        got = {r["name"]: tuple(r[k] for k in sets) for r in found.collect()}
+        held = {k: df.collect() for k, df in sets.items()}
+        for chrom, s, e, name, _, strand in rows:
+            assert got[name] == tuple(any(x["chrom"] == chrom and (not stranded or x["strand"] == strand) and s < x["chromEnd"] and x["chromStart"] < e for x in held[k]) for k in sets), name
