@@ -139,6 +139,24 @@ def test_arrays_are_made_once_and_ends_need_none(spark):
     assert "InArrow" not in plan and plan.count("([MIDN])") == plan.count("|[A-Za-z]") == plan.count("^[A-Za-z]$") == 1  # operations, tokens, replaced bases
 
 
+def test_filters_do_not_make_a_line_anew(spark):
+    rows = spark.createDataFrame([("q", "5M", 1)], "name string, cigar string, kind int")
+    text = F.concat_ws("\t", "name", F.lit("0"), F.lit("c"), F.lit("7"), F.lit("60"), F.when(F.col("kind") == 1, F.concat("cigar", F.lit(""))).otherwise("MARKED"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("ACGTA"), F.lit("*"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    for query in (alignments.parse_sam, alignments.sam_tags):
+        assert query(alignments.sam_columns(rows.select(text.alias("value"))))._jdf.queryExecution().optimizedPlan().toString().count("MARKED") == 1
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_short_lines_equal_plain_loops(spark):
+    marks = ["", "0", "12", "5A6", "0A9", "9a2", "6N5", "5^AC7", "5^an7", "4^AC8", "6^ACG6", "11A0", "99A1", "1234567890A1", "6T0T5", "6^AC0T5"]
+    lines = [(side, 11, cigar, seq, f"NM:i:9\tMD:Z:{md}") for side in (0, 16) for cigar in ("12M", "6M3I6M", "5M2D7M", "6M90N6M", "2S6M1I6M3S", "1I9M") for seq in ("ACGTTGCAACGTTGCAACGT", "ACGTTNNNACGT", "*") for md in marks]
+    for anchors in ((1, 5), (0, 0), (6, 6)):
+        found = parsed(spark, lines, anchor=anchors[0], indel_anchor=anchors[1])
+        for line, one in zip(lines, found, strict=True):
+            assert one == plain_alignment.parse_alignment(*line, *anchors, False), line
+
+
 def test_sam_file_to_tags(spark, tmp_path):
     path = tmp_path / "x.sam"
     path.write_text("@HD\tVN:1\nr1\t0\tc\t11\t60\t10M\t*\t0\t0\tACGTACGTAC\t*\tNM:i:1\tMD:Z:5A4\n\nr2\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\t*\nr3\t0\tc\t5\t3\t4M\t*\t0\t0\tACGT\t*\tNM:i:0\tMD:Z:4\n")
