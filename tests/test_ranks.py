@@ -50,3 +50,13 @@ def test_no_tags_and_no_regions(spark):
     some, none = spark.createDataFrame(intervals(6, 20), BED), spark.createDataFrame([], BED)
     assert {r["n"] for r in ranks.region_numbers(some, none).collect()} == {0}
     assert ranks.region_numbers(none, some).count() == 0
+
+
+def test_depths_over_many_bins_need_no_lambda(spark):
+    """Lambdas are interpreted, so a tag that stays in its bin has none; longer ones go up again in each bin."""
+    size = 1 << 14
+    tags = spark.createDataFrame([("c", 5, 3 * size, "t", 0.0, "+"), ("c", size - 1, size + 1, "t", 0.0, "+"), ("c", size, size + 2, "t", 0.0, "-"), ("c", 7, 7, "t", 0.0, "+")], BED)
+    sites = spark.createDataFrame([("c", s, s + 1, "s", 0.0, "+") for s in (4, 5, 7, size - 1, size, size + 1, 2 * size, 3 * size - 1, 3 * size)], BED)
+    deep = ranks.base_depths(sites, tags, stranded=True)
+    assert {r["chromStart"]: r["n"] for r in deep.collect()} == {4: 0, 5: 1, 7: 1, size - 1: 2, size: 2, size + 1: 1, 2 * size: 1, 3 * size - 1: 1, 3 * size: 0}
+    assert "lambda" not in deep._jdf.queryExecution().optimizedPlan().toString()
