@@ -318,6 +318,12 @@ def test_simulation_places_all_sites_on_tags(spark):
     assert {r.chromStart for r in mutations.simulate_sites(tags, 50, 1, offsets=offsets).collect()} == {3, 126}
 
 
+def test_simulation_carries_no_names(spark):
+    tags = spark.range(50).select(F.lit("c").alias("chrom"), F.col("id").alias("chromStart"), (F.col("id") + 9).alias("chromEnd"), F.concat(F.lit("MARKED"), F.col("id").cast("string")).alias("name"), F.lit("+").alias("strand"))
+    drawn = mutations.simulate_sites(tags, 40, 2)
+    assert drawn.count() == 80 and "MARKED" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cims_finds_a_planted_site(spark):
     rng = random.Random(1)
     tags, muts = [], []
