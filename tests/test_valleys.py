@@ -77,5 +77,14 @@ def test_one_long_stretch_is_many_bins(spark, monkeypatch):
     assert "CollectList" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_maxima_of_all_stretches_at_once():
+    import pyarrow as pa
+
+    table = pa.table(dict(chromStart=[9, 0, 2, 4, 11], chromEnd=[11, 2, 4, 6, 12], score=[3.0, 2.0, 2.0, 1.0, 5.0], before=[1.0] * 5, after=[7.0] * 5))
+    parts, steps = peaks._stretches(table)
+    assert [(p.start, p.stop) for p in parts] == [(0, 3), (3, 5)]
+    assert steps["maxima"].tolist() == [False, True, False, False, False] and steps["start"].tolist() == [0, 2, 4, 9, 11]
+
+
 def test_no_coverage(spark):
     assert peaks.valley_peaks(spark.createDataFrame([], "chrom string, strand string, chromStart long, chromEnd long, score double")).count() == 0
