@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusloom.functions import em, seq, stats
-from locusloom.operators import collapse, differential, fdr, genes, mutations, reads, rows
+from locusloom.operators import cluster, collapse, coverage, differential, fdr, genes, mutations, reads, rows
 from locusloom.plans import annotate, cims, cits, peaks
 from locusloom.sources import alignments, bed, fastx, tables, tracks
 
@@ -84,6 +84,34 @@ def parsed(spark, lines, **options):
     return [rows.get(f"q{i}") for i in range(len(lines))]
 
 
+def test_scan_p_values_go_together_by_height(spark):
+    rng = np.random.default_rng(5)
+    height, mean, windows = rng.integers(-1, 40, 500), rng.choice([0.0, 0.3, 2.0, 9.5], 500) * rng.random(500), rng.random(500) * 90 + 1
+    many = stats.scan_p_values(height, mean, windows)
+    assert np.array_equal(many, [stats.scan_p_value(*row) for row in zip(height, mean, windows, strict=True)])
+    assert np.all((many >= 0) & (many <= 1)) and np.all(many[height <= 0] == 1) and np.all(many[(height > 1) & (mean == 0)] == 0)
+    rows = spark.createDataFrame([(3.0, 1.0, 9.0), (None, 1.0, 9.0), (3.0, float("nan"), 9.0)], "h double, m double, w double")
+    found = [r.p for r in rows.select(stats.scan_p(F.col("h"), F.col("m"), F.col("w")).alias("p")).collect()]
+    assert found[0] == stats.scan_p_value(3, 1.0, 9.0) and found[1:] == [None, None]
+
+
+def test_clusters_carry_no_names(spark):
+    """Only rows shorter than the overlap asked for need telling apart."""
+    name = lambda n: F.concat(F.lit("MARKED"), F.col("id").cast("string")).alias(n)
+    tags = spark.range(40).select(F.lit("c").alias("chrom"), (F.floor(F.col("id") / 2) * 7).alias("chromStart"), (F.floor(F.col("id") / 2) * 7 + 5).alias("chromEnd"), name("name"), F.lit(1.0).alias("score"), F.lit("+").alias("strand"))
+    made = cluster.cluster(tags, -1, stranded=True)
+    assert [r.n for r in made.collect()] == [2] * 20 and "MARKED" not in made._jdf.queryExecution().optimizedPlan().toString()
+    empty = tags.withColumn("chromEnd", F.col("chromStart"))
+    assert [r.n for r in cluster.cluster(empty, -1, stranded=True).collect()] == [1] * 40
+
+
+def test_coverage_looks_at_its_bins_once(spark):
+    tags = spark.createDataFrame([("c", 5, 300_000, "t", 1.0, "+"), ("c", 7, 9, "t", 1.0, "+"), (None, 1, 2, "t", 1.0, "+")], BED)
+    found = coverage.exact_coverage(tags)
+    assert sorted(map(tuple, found.collect())) == [("c", 5, 7, 1.0), ("c", 7, 9, 2.0), ("c", 9, 300_000, 1.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
 def test_alignment_rules(spark):
     a, b, c, d = parsed(spark, [(0, 101, "3S10M2D10M100N5M", "NNN" + "A" * 25, "NM:i:3\tMD:Z:4C5^GT15"), (16, 1, "6M2I6M", "ACGTACTTACGTAC", "NM:i:2\tMD:Z:12"), (4, 1, "*", "A", ""), (0, 1, "5M", "ACGTA", "")])
     assert (a["chromStart"], a["chromEnd"], a["matchStart"], a["score"]) == (100, 227, 0, 1.0)
