@@ -159,3 +159,12 @@ def test_collapse_em_of_a_place_with_many_barcodes(spark):
     assert set(got) == {b for b, (_, sure) in fitted.items() if sure >= 30}
     for b, r in got.items():
         assert (r.n, r.error) == pytest.approx((fitted[b][0], e), rel=1e-6) and r.score == pytest.approx(fitted[b][1], abs=0.006, rel=1e-6)
+
+
+def test_global_error_of_a_place_with_many_barcodes(spark):
+    """The smaller place has too few copies to count."""
+    counts = many_barcodes(2_100)
+    error = 0.02
+    for _ in range(3):
+        error = all_pairs(counts, error)[2] / sum(counts.values()) / 6
+    assert collapse.global_error_rate(weighted_place(spark, counts), least=9, weight=True) == pytest.approx(error, rel=1e-6)
